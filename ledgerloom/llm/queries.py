@@ -6,10 +6,13 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import packing, token_files
+from ledgerloom.llm import line_dedup, ngram_join, oracles, packing, token_files
 
 CAPACITY, END_ID = 4096, 1
+MIN_WORDS = 50
+NGRAM, JACCARD = 5, 0.8
 
 
 def tokenizer_path() -> str:
@@ -31,9 +34,20 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), MIN_WORDS)
+    runs = F.array_join(F.transform("deleted_runs", lambda r: F.concat_ws("-", r["b"], r["e"])), ",")
+    return found.select("doc_id", "n_lines", "n_deleted", runs.alias("deleted"), "text")
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"), NGRAM, JACCARD)
+    return found.select("doc_id", "class_id", "n_links", "is_first")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op8_token_files)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op8_token_files, op9_line_dedup, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": oracles.OP9, "op10_ngram_jaccard_join": oracles.OP10}
