@@ -11,19 +11,17 @@ compared on their full n-gram sets, and only counts and spanning links leave it.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.bytehash import ALNUM, LOWER, MULTIPLIER, Texts, mix, slices, window_hashes
 from ledgerloom.llm.common import col, cut, source_columns, whole_row
 from ledgerloom.llm.components import components
 
-ROWS, SLICE_BYTES = 6, 1 << 20
+ROWS = 6
 
 
 def band_count(threshold: float, target_recall: float, rows: int = ROWS) -> int:
@@ -31,25 +29,6 @@ def band_count(threshold: float, target_recall: float, rows: int = ROWS) -> int:
     return math.ceil(math.log(1 - target_recall) / math.log(1 - threshold**rows))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-@lru_cache(maxsize=1)
-def _constants(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Byte tables and powers of an odd base and of its inverse, for buffers of up to n bytes."""
-    byte = np.arange(256, dtype=np.uint8)
-    lower = np.where((byte >= 65) & (byte <= 90), byte + 32, byte).astype(np.uint8)
-    word = ((lower >= 48) & (lower <= 57)) | ((lower >= 97) & (lower <= 122)) | (lower >= 128)
-    value = _mix(byte.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    base = 0x9E3779B97F4A7C15 | 1
-    power, inverse = np.full(n, base, dtype=np.uint64), np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
-    power[0] = inverse[0] = 1
-    return lower, word, value, np.cumprod(power), np.cumprod(inverse)
-
-
 def ngram_sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
     """For each text its set of hashed word n-grams, sorted.
 
@@ -57,30 +36,10 @@ def ngram_sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
     characters. A text of fewer than n words has one gram of all its words; a
     null text or one without words has an empty set.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    if not len(texts) or offsets[-1] == offsets[0]:
-        return [np.zeros(0, dtype=np.uint64)] * len(texts)
-    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    lower, word, value, power, inverse = _constants(max(SLICE_BYTES, 1 << (len(data) - 1).bit_length()))
-    low = lower[data]
-    inside = word[low]
-    apart = np.zeros(len(data) + 1, dtype=bool)  # a text begins here
-    apart[offsets] = True
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | apart[1:-1]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:] | apart[1:-1]
-    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(value[low] * power[: len(data)], out=sums[1:])
-    words = _mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
-    at = np.searchsorted(starts, offsets)
-    grams = np.zeros(len(words), dtype=np.uint64)
-    for k in range(n):
-        grams[: len(words) - k] = grams[: len(words) - k] * np.uint64(0xFF51AFD7ED558CCD) + words[k:]
-    grams = _mix(grams)
+    batch = Texts(texts)
+    starts, stops, at = batch.runs(ALNUM)
+    words = batch.hashes(starts, stops, LOWER)
+    grams = window_hashes(words, n)
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a >= n:
@@ -88,7 +47,7 @@ def ngram_sets(texts: pa.Array, n: int = 5) -> list[np.ndarray]:
         elif b > a:
             whole = np.array([b - a], dtype=np.uint64)
             for k in range(a, b):
-                whole = _mix(whole * np.uint64(0xFF51AFD7ED558CCD) + words[k : k + 1])
+                whole = mix(whole * MULTIPLIER + words[k : k + 1])
             out.append(whole)
         else:
             out.append(np.zeros(0, dtype=np.uint64))
@@ -113,31 +72,19 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int = ROWS, seed: int
             key = np.full(stop - start, band + 1, dtype=np.uint64)
             for row in range(rows):
                 np.multiply(flat, factors[band * rows + row], out=buffer)
-                key = _mix(key * np.uint64(0xFF51AFD7ED558CCD) + np.minimum.reduceat(buffer, first))
+                key = mix(key * MULTIPLIER + np.minimum.reduceat(buffer, first))
             out[start:stop, band] = key
         start = stop
     return out
 
 
-def _runs(texts: pa.Array) -> Iterator[pa.Array]:
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    start, held = 0, 0
-    for i, size in enumerate(sizes.tolist()):
-        if i > start and held + size > SLICE_BYTES:
-            yield texts.slice(start, i - start)
-            start, held = i, 0
-        held += size
-    if len(texts) > start:
-        yield texts.slice(start)
-
-
 def _sketch_udf(bands: int, n: int):
     @F.arrow_udf("struct<grams:long,digest:binary,bands:array<long>>")
     def sketch(texts: pa.Array) -> pa.Array:
         import xxhash
 
         grams, digests, keys, sizes = [], [], [], []
-        for run in _runs(texts):
+        for run in slices(texts):
             sets = ngram_sets(run, n)
             grams += [len(s) for s in sets]
             digests += [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -249,7 +196,7 @@ def near_duplicates(
         for a, b in zip(edges[:-1], edges[1:]):
             part = block.slice(a, b - a).combine_chunks()
             sets: list[np.ndarray] = []
-            for run in _runs(part["text"].combine_chunks()):
+            for run in slices(part["text"].combine_chunks()):
                 sets += ngram_sets(run, n)
             signature = part["bands"].combine_chunks().flatten().to_numpy().reshape(b - a, bands)
             reps_here = part["node"].to_numpy()

@@ -55,3 +55,56 @@ links AS (SELECT a, count(*) AS n FROM pair GROUP BY a)
 SELECT cls.doc_id, class_id, coalesce(n, 0) AS n_links, cls.doc_id = class_id AS is_first
 FROM cls LEFT JOIN links ON cls.doc_id = links.a
 """
+
+OP5 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {TOKEN})) AS size,
+         md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS draw FROM documents),
+s AS (
+  SELECT source, source_size, 2 * source_size AS cap,
+         [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
+lv AS (
+  SELECT 1.5::DOUBLE * sum(source_size) / sum(w) AS level, 0 AS i FROM s
+  UNION ALL
+  SELECT (SELECT (1.5::DOUBLE * sum(source_size) - coalesce(sum(cap) FILTER (cap < w * lv.level), 0)) / sum(w) FILTER (cap >= w * lv.level) FROM s), i + 1
+  FROM lv WHERE i < 40),
+t AS (
+  SELECT source, source_size, least(cap::DOUBLE, w * (SELECT max(level) FROM lv)) AS target FROM s),
+x AS (
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+o AS (
+  SELECT d.doc_id, d.size, x.source_size, x.target, x.whole, x.target - x.whole * x.source_size AS extra,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       ((whole + CASE WHEN size > 0 AND upto - size / 2.0::DOUBLE <= extra THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM o
+"""
+
+OP3 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.v, b.v)::BIGINT DESC, b.vec_id) AS rank
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+WHERE rank <= 5
+"""
+
+OP6 = r"""
+WITH u AS (
+  SELECT page_id,
+         CASE WHEN url LIKE '%://%' THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages),
+base(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+own(h) AS (SELECT n || '.example.' || t FROM (VALUES ('adult-x'), ('ads-track'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) a(n), (VALUES ('com'), ('net'), ('org')) b(t)),
+hit AS (
+  SELECT page_id, host, path, h || p AS rule, v FROM u LEFT JOIN base ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) = 1)
+SELECT page_id, host, path, rule,
+       coalesce(v, CASE WHEN EXISTS (SELECT 1 FROM own WHERE host = h OR ends_with(host, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM hit
+"""

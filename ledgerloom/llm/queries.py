@@ -8,8 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import line_dedup, ngram_join, oracles, packing, token_files
+from ledgerloom.llm import license_scan, line_dedup, mixing, ngram_join, oracles, packing, pii, quality, token_files, topk_search, url_filter
 
+#: Host, path, verdict of the contract's rules, and hosts that the method blocks where none of these fits.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 CAPACITY, END_ID = 4096, 1
 MIN_WORDS = 50
 NGRAM, JACCARD = 5, 0.8
@@ -26,6 +29,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    starts = F.transform("base", lambda b: b["start"])
+    labels = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    base = F.transform("base", lambda b: b["label"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"),
+        labels(F.concat(base, F.transform("found", lambda d: d["label"]))).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda d: d["score"])), F.lit(0.0)).alias("score"),
+        F.size("found").cast("long").alias("n_found"),
+    )
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [(*r, 0) for r in URL_RULES] + [(f"{n}.example.{top}", "", "block", 1) for n in BLOCKED_NAMES for top in ("com", "net", "org")]
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), spark.createDataFrame(rules, url_filter.RULES))
+    base, own = F.col("hits")[0], F.col("hits")[1]
+    return judged.select("page_id", "host", "path", base["rule"].alias("rule"), F.coalesce(base["verdict"], own["verdict"], F.lit("allow")).alias("verdict"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.STATISTICS, "base_failed", "kept", "score")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY, END_ID)
 
@@ -46,8 +91,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op8_token_files, op9_line_dedup, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (
+        op1_license_scan, op2_best_fit_packing, op3_exact_top_k, op4_personal_data, op5_source_mix, op6_url_filter,
+        op7_quality_rules, op8_token_files, op9_line_dedup, op10_ngram_jaccard_join,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": oracles.OP9, "op10_ngram_jaccard_join": oracles.OP10}
+    return {"op3_exact_top_k": oracles.OP3, "op5_source_mix": oracles.OP5, "op6_url_filter": oracles.OP6, "op9_line_dedup": oracles.OP9, "op10_ngram_jaccard_join": oracles.OP10}
