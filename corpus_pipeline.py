@@ -1,6 +1,80 @@
-STAGES = []
+"""A training corpus from raw documents: quality, line and near-duplicate removal, mixing, packing.
+
+Each stage is a function of (spark, docs, sf_dir); its result is written as
+Parquet and read again as the next stage's documents. A stage that begins
+deletes what the one before wrote for itself in the shared folder.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import common, line_dedup, mixing, ngram_join, packing, quality
+from ledgerloom.llm.queries import CAPACITY, END_ID, JACCARD, MIN_WORDS, NGRAM, table, tokenizer_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base limits and the trees keep."""
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.where("kept").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the runs of lines that stood earlier; n_chars counts what is left.
+
+    A document of which nothing is left goes; one that was empty before stays.
+    """
+    left = line_dedup.dedup_lines(docs, MIN_WORDS).where("n_deleted = 0 OR text <> ''")
+    return left.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: that of the smallest id."""
+    return ngram_join.near_duplicates(docs, NGRAM, JACCARD).where("is_first").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: one row per piece of a document."""
+    return packing.pack(docs, tokenizer_path(), CAPACITY, END_ID)
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _after_release(stage: Stage) -> Stage:
+    @wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release()
+        return stage(spark, docs, sf_dir)
+
+    return begin
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", _after_release(quality_rules)),
+    ("line dedup", _after_release(dedup_lines)),
+    ("n-gram Jaccard join", _after_release(near_duplicates)),
+    ("mixing sources", _after_release(mix_sources)),
+    ("best-fit packing", _after_release(pack)),
+]
+#: Fitted trees and a tokenizer are beyond SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = common.cut(docs, f"stage{k}", keep=True)
+    return docs

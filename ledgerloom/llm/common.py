@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 LOCAL_SHARED_DIR = "/tmp/ledgerloom-shared"
 
 _written: list[tuple[SparkSession, str]] = []
+_kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,24 +20,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL_SHARED_DIR}/ledgerloom"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted by :func:`release` or when Python ends."""
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path in the shared folder, deleted by :func:`release` (unless kept) or when Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    (_kept if keep else _written).append((spark, path))
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files every executor sees."""
-    path = new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name, keep)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every table written so far; call once the results built on them are stored."""
-    while _written:
-        spark, path = _written.pop()
+def release(paths: list[tuple[SparkSession, str]] = _written) -> None:
+    """Delete the tables written so far; call once the results built on them are stored."""
+    while paths:
+        spark, path = paths.pop()
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
@@ -46,6 +47,7 @@ def release() -> None:
 
 
 atexit.register(release)
+atexit.register(release, _kept)
 
 
 def col(name: str) -> Column:
