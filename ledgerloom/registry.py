@@ -1,4 +1,41 @@
 """Registered queries of the release-evidence engine: name to function and name to SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of one folder, read when they are named."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    """Register a function of the tables under its name, with the SQL of the same rows."""
+
+    def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[build.__name__] = lambda spark, folder: build(Tables(spark, folder))
+        if sql:
+            ORACLES[build.__name__] = sql
+        return build
+
+    return register
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from ledgerloom.plans import evidence, serving, text, timeline  # noqa: F401
+
+
+load()
