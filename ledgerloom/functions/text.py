@@ -9,14 +9,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def strip(c: Column) -> Column:
+    """No white space at either end (``trim`` takes spaces only)."""
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def normal(c: Column) -> Column:
     """Trimmed text, blank and null alike as empty."""
-    return F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    return strip(F.coalesce(c.cast("string"), F.lit("")))
 
 
 def known(c: Column) -> Column:
     """Trimmed text, blank as null."""
-    return F.nullif(F.trim(c.cast("string")), F.lit(""))
+    return F.nullif(strip(c.cast("string")), F.lit(""))
 
 
 def first_known(*columns: Column) -> Column:
@@ -68,7 +73,7 @@ def strip_tags(c: Column, entities: bool = True) -> Column:
     ):
         c = F.regexp_replace(c, pattern, to)
     c = unescape(c) if entities else c
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "[ \t]{2,}", " "), "[ \t]+\n", "\n"))
+    return strip(F.regexp_replace(F.regexp_replace(c, "[ \t]{2,}", " "), "[ \t]+\n", "\n"))
 
 
 def html_title(c: Column) -> Column:

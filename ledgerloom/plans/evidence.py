@@ -177,7 +177,7 @@ def emh_upsert(t: Tables):
 SELECT user_id, event_type, count(*) FILTER (value >= 50) AS accepted, count(*) AS candidates,
        CASE WHEN count(*) FILTER (value >= 50) > 0 AND event_type = 'error' THEN 'partial' WHEN count(*) FILTER (value >= 50) > 0 THEN 'success'
             WHEN event_type = 'error' THEN 'broken' WHEN count(*) > 0 THEN 'manual_review_needed' ELSE 'no_results' END AS status
-FROM events GROUP BY ALL""")
+FROM events GROUP BY user_id, event_type""")
 def method_health_status(t: Tables):
     counts = t.events.groupBy("user_id", "event_type").agg(F.count_if(F.col("value") >= 50).alias("accepted"), F.count("*").alias("candidates"))
     errors = F.when(F.col("event_type") == "error", 1).otherwise(0)

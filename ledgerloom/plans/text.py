@@ -134,7 +134,7 @@ def containment_join(t: Tables):
 
 STRIP = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
  '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</p\s*>', chr(10) || chr(10), 'g'),
- '<[^>]+>', ' ', 'g'), '[ \t]{2,}', ' ', 'g'), '[ \t]+\n', chr(10), 'g'))"""
+ '<[^>]+>', ' ', 'g'), '[ \t]{2,}', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"""
 
 
 @query(f"SELECT page_id, md5({STRIP}) AS text_md5, length({STRIP})::BIGINT AS n FROM pages")
