@@ -55,11 +55,13 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     """
     windows = cut(_windows(docs, min_words, id_col, text_col), "windows")
     places = windows.select("doc", "k", "at", "fp").distinct()
-    shared = places.groupBy("fp").agg(F.count("*").alias("places")).where("places > 1").select("fp")
+    # written tables of unique keys: both sides of the joins are then dealt anew, and a hot key's rows can be split
+    shared = cut(places.groupBy("fp").agg(F.count("*").alias("places")).where("places > 1").select("fp"), "fingerprints")
     # a fingerprint at one place may still hold two windows; those share it and differ
     likely = windows.join(shared, "fp", "left_semi")
     place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "k", "b")
     alike = likely.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").drop("times")
+    alike = cut(alike, "repeated")
     later = likely.join(alike, ["d1", "d2"]).where(place != F.col("first")).select("doc", "k", "b", "e")
     doc = Window.partitionBy("doc", "k").orderBy("b", "e")
     reach = F.max("e").over(doc.rowsBetween(Window.unboundedPreceding, -1))
