@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import col, cut, source_columns, text_of, whole_row, words_in
 
+#: So many fingerprints (16 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_FINGERPRINTS = 500_000
+
 
 def _windows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """One row per distinct window: its document, lines b to e, fingerprint line and content digest."""
@@ -58,7 +61,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     # written tables of unique keys: both sides of the joins are then dealt anew, and a hot key's rows can be split
     shared = cut(places.groupBy("fp").agg(F.count("*").alias("places")).where("places > 1").select("fp"), "fingerprints")
     # a fingerprint at one place may still hold two windows; those share it and differ
-    likely = windows.join(shared, "fp", "left_semi")
+    few = shared.count() <= BROADCAST_FINGERPRINTS
+    likely = windows.join(F.broadcast(shared) if few else shared, "fp", "left_semi")
     place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "k", "b")
     alike = likely.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").drop("times")
     alike = cut(alike, "repeated")
