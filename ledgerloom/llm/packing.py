@@ -3,15 +3,16 @@
 Documents are encoded and cut into pieces; full pieces are sequences of their
 own. The others are dealt to shards of bounded size. In each shard, best-fit
 decreasing opens the bins; a local search then exchanges one document for one,
-two for one, or moves one, between underfull bins. Every step puts more into
-the fuller bin, so the sum of squared fills rises (and the search ends) until
-the emptiest bins run empty. Bins that are still well below capacity go to a
-next round on fewer shards, until one shard is left.
+two for one, one for two, or moves one, between any two underfull bins, until
+no step raises the sum of squared fills; so the emptiest bins run empty. Bins
+that are still well below capacity go to a next round on fewer shards, until
+one shard is left.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
 import math
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ from ledgerloom.llm.common import col, cut
 from ledgerloom.llm.tokens import encoder
 
 PIECES = "doc_id long, key long, piece int, start long, length long, ids_crc32 long"
+_NONE = np.iinfo(np.int64).max
 PACKED = PIECES + ", bin long, offset long, fill long"
 
 
@@ -88,60 +90,121 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _step(full: list[int], low: list[int], lengths: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """The move or exchange that puts most into ``full``: what it gives and what it gets from ``low``."""
-    best, found = 0, None
-    for y in low:  # a move
-        if best < lengths[y] <= room:
-            best, found = lengths[y], ([], [y])
-    if best == room:
-        return found
-    sizes = sorted((lengths[y], y) for y in low)
-    keys = [s for s, _ in sizes]
-    for x in full:  # one for one: the longest y that fits once x is out
-        at = bisect.bisect_right(keys, room + lengths[x]) - 1
-        if at >= 0 and keys[at] - lengths[x] > best:
-            best, found = keys[at] - lengths[x], ([x], [sizes[at][1]])
-    if best == room:
-        return found
-    for x in full:  # two for one: two pointers over the sorted lengths
-        i, j, most = 0, len(sizes) - 1, room + lengths[x]
-        while i < j:
-            both = keys[i] + keys[j]
-            if both > most:
-                j -= 1
-                continue
-            if both - lengths[x] > best:
-                best, found = both - lengths[x], ([x], [sizes[i][1], sizes[j][1]])
-            i += 1
-    return found
+class _Search:
+    """The underfull bins of a shard, and for each number of tokens the emptiest bin that can give it.
+
+    ``least[k][s]`` is the fill of the emptiest bin that holds ``k`` documents
+    of ``s`` tokens together (k 1 or 2). Heaps give it; entries of a bin that
+    has changed since carry an old stamp and are dropped when they come up.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.bins, self.lengths, self.capacity = bins, lengths, capacity
+        self.fills = [sum(lengths[i] for i in b) for b in bins]
+        self.stamps = [0] * len(bins)
+        self.sums: list[tuple[list[int], list[int]]] = [([], [])] * len(bins)
+        self.heaps: tuple[dict[int, list], dict[int, list]] = ({}, {})
+        self.least = tuple(np.full(capacity + 1, _NONE, dtype=np.int64) for _ in range(2))
+        self.gains = np.arange(1, capacity + 1)
+        for k in range(len(bins)):
+            self.put(k)
+
+    def renew(self, k: int) -> None:
+        """Note what one and what two documents of a bin hold."""
+        sizes = sorted(self.lengths[i] for i in self.bins[k])
+        one = sorted(set(sizes))
+        self.sums[k] = (one, sorted({x + y for i, x in enumerate(one) for y in one[i + 1 :]} | {2 * x for x, y in zip(sizes, sizes[1:]) if x == y}))
+
+    def put(self, k: int) -> None:
+        """Make a bin a giver, unless it is empty or full."""
+        if not 0 < self.fills[k] < self.capacity:
+            return
+        self.renew(k)
+        entry = (self.fills[k], k, self.stamps[k])
+        for heaps, least, sums in zip(self.heaps, self.least, self.sums[k]):
+            for s in sums:
+                heapq.heappush(heaps.setdefault(s, []), entry)
+                if entry[0] < least[s]:
+                    least[s] = entry[0]
 
+    def take(self, k: int) -> None:
+        """The bin gives nothing until it is put back."""
+        self.stamps[k] += 1
+        for heaps, least, sums in zip(self.heaps, self.least, self.sums[k]):
+            for s in sums:
+                heap = heaps[s]
+                while heap and heap[0][2] != self.stamps[heap[0][1]]:
+                    heapq.heappop(heap)
+                least[s] = heap[0][0] if heap else _NONE
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, tries: int = 64) -> list[list[int]]:
-    """Empty the least filled bins into the other underfull ones.
+    def find(self, k: int) -> tuple[int, int, int, int] | None:
+        """The step that puts most into bin ``k`` and raises squared fill: its gain, what ``k`` gives, how many documents it gets, from where."""
+        fill, (one, two) = self.fills[k], self.sums[k]
+        gains = self.gains[: self.capacity - fill]
+        best = None
+        for n, outs in enumerate(([0, *one, *two], one)):  # a move, one for one, one for two; two for one
+            outs = np.array(outs)
+            # the giver ends below where k began, or it was the emptier one
+            fits = self.least[n][outs[:, None] + gains] < fill + gains
+            found = np.flatnonzero(fits.any(axis=0))
+            if len(found) and (best is None or found[-1] + 1 > best[0]):
+                gain = int(found[-1]) + 1
+                out = int(outs[fits[:, gain - 1].argmax()])
+                best = (gain, out, n + 1, self.heaps[n][out + gain][0][1])
+        return best
 
-    ``tries`` bounds how many fuller bins are tried for each bin that is being
-    emptied (those with most room first), not which bins or documents count.
+    def pick(self, k: int, total: int, most: int) -> list[int]:
+        """Documents of bin ``k`` of ``total`` tokens: none, one, or at most ``most``."""
+        if not total:
+            return []
+        by_length: dict[int, list[int]] = {}
+        for i in self.bins[k]:
+            by_length.setdefault(self.lengths[i], []).append(i)
+        if total in by_length and most != 2:
+            return by_length[total][:1]
+        for x, here in by_length.items():
+            if len(there := by_length.get(total - x, [])) > (2 * x == total):
+                return [here[0], there[-1]]
+        raise AssertionError("no such documents")
+
+    def swap(self, k: int, step: tuple[int, int, int, int]) -> int:
+        """Take the step with bin ``k``, which is no giver now; returns the other bin."""
+        gain, out, n, low = step
+        one = n == 2 or out in self.sums[k][0]
+        gives, gets = self.pick(k, out, 1 if one else 2), self.pick(low, out + gain, n)
+        self.take(low)
+        self.bins[k] = [i for i in self.bins[k] if i not in gives] + gets
+        self.bins[low] = [i for i in self.bins[low] if i not in gets] + gives
+        self.fills[k] += gain
+        self.fills[low] -= gain
+        self.put(low)
+        return low
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Moves and exchanges between all pairs of underfull bins, until none raises squared fill.
+
+    Bins take their turns fullest first. In its turn a bin takes, of all steps
+    with all other underfull bins (a move, one for one, two for one, one for
+    two), the one that puts most into it, until there is none. Turns go on
+    until no bin has changed since every other one's last turn.
     """
-    fills = [sum(lengths[i] for i in b) for b in bins]
-    order = sorted((k for k in range(len(bins)) if fills[k] < capacity), key=lambda k: fills[k])
-    for at, low in enumerate(order):
-        others = order[at + 1 :][:tries]
-        moved = True
-        while moved and bins[low]:
-            moved = False
-            for full in others:
-                while bins[low] and fills[low] <= fills[full] < capacity and (found := _step(bins[full], bins[low], lengths, capacity - fills[full])):
-                    out, into = found
-                    gain = sum(lengths[i] for i in into) - sum(lengths[i] for i in out)
-                    bins[full] = [i for i in bins[full] if i not in out] + into
-                    bins[low] = [i for i in bins[low] if i not in into] + out
-                    fills[full] += gain
-                    fills[low] -= gain
-                    moved = True
-        if bins[low]:
-            break  # what cannot be emptied now would not be emptied by fewer bins
-    return [b for b in bins if b]
+    search = _Search([list(b) for b in bins], lengths, capacity)
+    clock, seen = 1, [0] * len(bins)
+    while True:
+        began = clock
+        for k in sorted(range(len(bins)), key=lambda k: (-search.fills[k], k)):
+            if seen[k] == clock or not 0 < search.fills[k] < capacity:
+                continue
+            search.take(k)
+            while search.fills[k] < capacity and (step := search.find(k)):
+                search.swap(k, step)
+                clock += 1
+                search.renew(k)
+            search.put(k)
+            seen[k] = clock
+        if clock == began:
+            return [b for b in search.bins if b]
 
 
 def _pack_shard(key: tuple, pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:

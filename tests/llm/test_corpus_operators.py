@@ -1,5 +1,7 @@
 """Packing, search, mixing, token files, line dedup, n-gram join, pipeline: against plain versions and on odd inputs."""
 
+import itertools
+
 import numpy as np
 import pytest
 import reference as plain
@@ -88,6 +90,35 @@ def test_local_search_empties_bins():
     assert len(swapped) == 2
 
 
+def steps_left(bins, lengths, capacity):
+    """Moves, one for one, two for one and one for two that would raise squared fill."""
+    fills = [sum(lengths[i] for i in b) for b in bins]
+    for a, b in itertools.permutations(range(len(bins)), 2):
+        for n_out, n_in in ((0, 1), (1, 1), (1, 2), (2, 1)):
+            for out in itertools.combinations(bins[a], n_out):
+                for into in itertools.combinations(bins[b], n_in):
+                    gain = sum(lengths[i] for i in into) - sum(lengths[i] for i in out)
+                    if 0 < gain <= capacity - fills[a] and (fills[a] + gain) ** 2 + (fills[b] - gain) ** 2 > fills[a] ** 2 + fills[b] ** 2:
+                        yield out, into
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=40))
+def test_local_search_ends_where_no_step_is_left(lengths):
+    after = packing.local_search(packing.best_fit(lengths, 97), lengths, 97)
+    assert sorted(i for b in after for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) <= 97 for b in after)
+    assert next(steps_left(after, lengths, 97), None) is None
+
+
+def test_local_search_saves_bins_among_many_underfull_ones():
+    lengths = np.random.default_rng(1).integers(700, 1301, 2000).tolist()
+    best = packing.best_fit(lengths, 4096)
+    after = packing.local_search(best, lengths, 4096)
+    assert sorted(i for b in after for i in b) == list(range(2000)) and all(sum(lengths[i] for i in b) <= 4096 for b in after)
+    assert len(best) == 529 and len(after) <= 500  # at least 492
+
+
 def test_search_matches_sql_on_ties_and_bad_vectors(spark):
     nan = float("nan")
     rows = [(i, [float(i % 7) / 3, -0.5, 0.25 * (i % 3)]) for i in range(120)] + [(100, [9.0, 9.0, 9.0])]
