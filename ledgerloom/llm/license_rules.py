@@ -2,7 +2,7 @@
 
 A rule has a label, a priority (3 identifier, 2 grant, 1 name or phrase), a
 root and a keyword that every match contains, a pattern and a score. Named
-licenses get their rules from the forms below; the order of the list decides
+licenses and identifiers get their rules from the forms below; the order of the list decides
 between equal rules.
 """
 
@@ -92,6 +92,79 @@ NAMES = (
     ("cc-by", "creative commons", r"creative commons attribution(?: [0-9] [0-9])?(?: international| unported)?"),
     ("cc", "creative commons", r"creative commons licen[cs]e"),
 )
+_LATER = r"(?: or later)"
+#: Label, keyword, pattern of the identifiers that tags and "licensed under" name without the word license.
+IDENTIFIERS = (
+    ("apache-1.1", "apache 1", r"apache 1 1"),
+    ("apache-2.0", "apache 2", r"apache 2(?: 0)?"),
+    ("apache", "apache", r"apache"),
+    ("mit-0", "mit 0", r"mit 0"),
+    ("mit", "mit", r"mit"),
+    ("expat", "expat", r"expat"),
+    ("x11", "x11", r"x11"),
+    ("isc", "isc", r"isc"),
+    ("bsd-0-clause", "0bsd", r"0bsd"),
+    ("bsd-2-clause", "bsd 2", r"bsd 2 clause(?: patent| views)?"),
+    ("bsd-3-clause", "bsd 3", r"bsd 3 clause(?: clear| attribution)?"),
+    ("bsd-4-clause", "bsd 4", r"bsd 4 clause"),
+    ("bsd", "bsd", r"bsd"),
+    *((f"{kind}-{n}.{m}{plus}", kind, rf"(?:gnu )?{kind} ?v?{n}{'(?: 0)?' if m == 0 else f' {m}'}{later}")
+      for kind, of in (("gpl", ((1, 0), (2, 0), (3, 0))), ("lgpl", ((2, 0), (2, 1), (3, 0))), ("agpl", ((1, 0), (3, 0)))) for n, m in of
+      for plus, later in (("+", _LATER), ("", "(?: only)?"))),
+    ("gpl", "gpl", r"(?:gnu )?gpl"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
+    ("agpl", "agpl", r"(?:gnu )?agpl"),
+    ("gfdl", "gfdl", rf"(?:gnu )?gfdl(?: 1 [0-3])?(?: (?:no )?invariants)?(?: only|{_LATER})?"),
+    ("mpl-1.1", "mpl 1", r"mpl 1 1"),
+    ("mpl-2.0", "mpl 2", r"mpl 2(?: 0)?(?: no copyleft exception)?"),
+    ("mpl", "mpl", r"mpl"),
+    ("epl-1.0", "epl 1", r"epl 1(?: 0)?"),
+    ("epl-2.0", "epl 2", r"epl 2(?: 0)?"),
+    ("epl", "epl", r"epl"),
+    ("cddl-1.0", "cddl", r"cddl(?: 1 0)?"),
+    ("cpl-1.0", "cpl 1", r"cpl 1 0"),
+    ("eupl", "eupl", r"eupl(?: 1 [0-2])?"),
+    ("artistic-2.0", "artistic 2", r"artistic 2(?: 0)?"),
+    ("artistic", "artistic 1", r"artistic 1 0(?: perl| cl8)?"),
+    ("zlib", "zlib", r"zlib"),
+    ("bsl-1.0", "bsl 1", r"bsl 1 0"),
+    ("psf-2.0", "psf 2", r"psf 2(?: 0)?"),
+    ("python", "python 2", r"python 2 0(?: 1)?"),
+    ("php", "php 3", r"php 3 0?[01]"),
+    ("ruby", "ruby", r"ruby"),
+    ("openssl", "openssl", r"openssl"),
+    ("ms-pl", "ms pl", r"ms pl"),
+    ("ms-rl", "ms rl", r"ms rl"),
+    ("osl-3.0", "osl 3", r"osl 3 0"),
+    ("afl-3.0", "afl 3", r"afl 3 0"),
+    ("ofl-1.1", "ofl 1", r"(?:sil )?ofl 1 1(?: (?:no )?rfn)?"),
+    ("odbl", "odbl", r"odbl(?: 1 0)?"),
+    ("pddl", "pddl", r"pddl(?: 1 0)?"),
+    ("unlicense", "unlicense", r"unlicense"),
+    ("wtfpl", "wtfpl", r"wtfpl"),
+    ("vim", "vim", r"vim"),
+    ("postgresql", "postgresql", r"postgresql"),
+    ("elastic-2.0", "elastic 2", r"elastic 2 0"),
+    ("sspl-1.0", "sspl", r"sspl(?: 1 0)?"),
+    ("busl-1.1", "busl", r"busl(?: 1 1)?"),
+    ("cecill", "cecill", r"cecill(?: (?:1 [01]|2 [01]|b|c))?"),
+    *((f"cc-{'-'.join(kind.split())}", f"cc {kind}", rf"cc {kind}(?: [0-9] [0-9])?") for kind in ("by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by")),
+    ("cc0", "cc0", r"cc0(?: 1 0)?"),
+)
+#: Identifiers that are products too: "available under x11" names no license.
+PRODUCTS = ("apache", "x11", "ruby", "openssl", "vim", "postgresql")
+#: An identifier of a tag's expression and the operator after it; longer ones are tried first.
+_OPERAND = rf"(?:{'|'.join(sorted((i[2] for i in IDENTIFIERS), key=len, reverse=True))})(?: with (?:[a-z0-9]+ ){{1,4}}exception(?: [0-9])*)? (?:or|and) "
+#: Priority, score, root, prefix, and what comes before the keyword. The second and third identifier of a tag begin a
+#: word later each, so that none lies in another.
+IDENTIFIER_FORMS = (
+    (3, 1.0, "spdx", r"spdx licen[cs]e identifier ", "identifier "),
+    (3, 1.0, "identifier", rf"licen[cs]e identifier {_OPERAND}", ""),
+    (3, 1.0, "identifier", rf"identifier {_OPERAND}{_OPERAND}", ""),
+    (2, 0.95, "licen", r"(?:is |are )?licen[cs]ed (?:to you )?under (?:the )?(?:terms of )?(?:the |a )?", ""),
+    (2, 0.9, "ed under", r"(?:released|distributed|published) under (?:the )?(?:terms of )?(?:the |a )?", ""),
+    (2, 0.9, "available under", r"available under (?:the )?(?:terms of )?(?:the |a )?", ""),
+)
 #: Priority, score, root, prefix and suffix of the forms in which a name may stand.
 FORMS = (
     (3, 1.0, "spdx", r"spdx licen[cs]e identifier ", ""),
@@ -131,6 +204,13 @@ def _root(keyword: str, pattern: str) -> str:
 def rules() -> list[dict]:
     """All rules in order, the contract's phrases first."""
     out = [dict(label=label, priority=1, score=0.7, base=True, root={"cc by": " cc "}.get(phrase, phrase.rsplit(" ")[-1][:5]), keyword=f" {phrase} ", pattern=phrase) for phrase, label in BASE_PHRASES]
+    for priority, score, root, before, lead in IDENTIFIER_FORMS:
+        for label, keyword, name in IDENTIFIERS:
+            if priority == 2 and root != "licen" and label in PRODUCTS:
+                continue
+            # a GNU name may begin with gnu
+            key = " " + (lead if not name.startswith("(?:") else "") + keyword
+            out.append(dict(label=label, priority=priority, score=score, base=False, root=root, keyword=key, pattern=before + name))
     for priority, score, root, before, after in FORMS:
         for label, keyword, name in NAMES:
             out.append(dict(label=label, priority=priority, score=score, base=False, root=root or _root(keyword, name), keyword=keyword, pattern=before + name + after))

@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
-Texts become lower-cased words joined by single spaces. A text that holds a
-root of some rule is tried with the rules whose keyword it holds. Each match is
+Texts become lower-cased words joined by single spaces. A text is
+tried with the rules whose root and keyword it holds. Each match is
 an interval of words; one that lies in another of at least its priority is
 suppressed (of equal ones, the rule that comes first stays).
 """
@@ -36,24 +36,23 @@ def scan_licenses(docs: DataFrame, rules: list[dict] | None = None, id_col: str
     other columns are not read.
     """
     rules = rules or license_rules.rules()
-    table = F.from_json(F.lit(json.dumps(rules)), _SCHEMA)
     words = F.regexp_replace(F.translate(text_of(text_col), UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).alias("id"), F.concat(F.lit(" "), F.btrim(words), F.lit(" ")).alias("words"))
     rows = rows.withColumn("n_words", F.when(F.length("words") == 2, F.lit(0)).otherwise(_spaces(F.col("words")) - 1).cast("long"))
-    gate = F.lit(False)
+    tried = []
     for root in sorted({r["root"] for r in rules}):
-        gate = gate | F.contains(F.col("words"), F.lit(root))
-    tried = F.filter(table, lambda r: F.contains(F.col("words"), r["keyword"]))
+        table = F.from_json(F.lit(json.dumps([r for r in rules if r["root"] == root])), _SCHEMA)
+        tried.append(F.when(F.contains(F.col("words"), F.lit(root)), F.filter(table, lambda r: F.contains(F.col("words"), r["keyword"]))).otherwise(F.array().cast(_SCHEMA)))
     # what lies before each match, and the match, as numbers of spaces
     hits = F.transform(
-        tried,
+        F.concat(*tried),
         lambda r: F.struct(
             r["rule"].alias("rule"), r["label"].alias("label"), r["priority"].alias("priority"), r["score"].alias("score"), r["base"].alias("base"),
             F.transform(F.split(F.col("words"), r["pattern"], -1), _spaces).alias("gaps"),
             F.transform(F.regexp_extract_all(F.col("words"), r["pattern"], F.lit(0)), _spaces).alias("matches"),
         ),
     )
-    hits = F.filter(F.when(gate, hits), lambda h: F.size(h["matches"]) > 0)
+    hits = F.filter(hits, lambda h: F.size(h["matches"]) > 0)
     opened = rows.select("row", "id", "n_words", F.explode_outer(hits).alias("hit"))
     opened = opened.select("row", "id", "n_words", "hit.*").select("*", F.posexplode_outer("matches").alias("nth", "inner"))
     opened = opened.withColumn("gap", F.get("gaps", F.col("nth"))).drop("gaps", "matches").repartition("row")

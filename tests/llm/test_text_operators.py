@@ -55,6 +55,34 @@ def test_license_rules_overlap_and_odd_texts(spark, odd_documents, no_documents)
     assert license_scan.scan_licenses(no_documents).count() == 0
 
 
+def test_license_identifiers_of_real_tags(spark):
+    tags = {
+        "MIT": "mit", "Apache-2.0": "apache-2.0", "BSD-3-Clause": "bsd-3-clause", "BSD-2-Clause": "bsd-2-clause", "MPL-2.0": "mpl-2.0", "ISC": "isc", "EPL-2.0": "epl-2.0",
+        "GPL-2.0-only": "gpl-2.0", "GPL-2.0-or-later": "gpl-2.0+", "LGPL-2.1-or-later": "lgpl-2.1+", "AGPL-3.0-only": "agpl-3.0", "CC0-1.0": "cc0", "0BSD": "bsd-0-clause", "MS-PL": "ms-pl",
+        "Zlib": "zlib", "BSL-1.0": "bsl-1.0", "Unlicense": "unlicense", "Apache-2.0 WITH LLVM-exception": "apache-2.0",
+        "MIT OR Apache-2.0": "apache-2.0,mit", "(GPL-2.0-only WITH Linux-syscall-note)": "gpl-2.0", "Apache-2.0 WITH LLVM-exception OR MIT OR Zlib": "apache-2.0,mit,zlib",
+    }
+    cases = [(f"// SPDX-License-Identifier: {t}\nint main;", 1.0, w) for t, w in tags.items()]
+    cases += [("released under MIT", 0.9, "mit"), ("distributed under Apache-2.0.", 0.9, "apache-2.0"), ("licensed under Apache-2.0", 0.95, "apache-2.0"), ("available under X11 and mitigated", 0.0, "")]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id bigint, text string")
+    for r in license_scan.scan_licenses(df).collect():
+        text, score, labels = cases[r["id"]]
+        n, _, kept = plain_license(text)
+        assert sorted((d["start"], d["length"], d["label"]) for d in r["found"]) == sorted((d[0], d[1], d[4]) for d in kept)
+        top = [d for d in r["found"] if d["score"] == score]
+        assert (max((d["score"] for d in r["found"]), default=0.0), ",".join(sorted({d["label"] for d in top}))) == (score, labels), text
+
+
+def test_every_identifier_has_a_tag_that_its_rules_find():
+    assert {i[0] for i in license_rules.NAMES} - {i[0] for i in license_rules.IDENTIFIERS} <= {"cc"}
+    for r in license_rules.rules():
+        if r["root"] in ("spdx", "identifier", "ed under", "available under"):
+            for label, keyword, _ in license_rules.IDENTIFIERS:
+                for lead in ("spdx license identifier ", "spdx license identifier mit or ", "spdx license identifier mit or isc and ", "released under ", "available under "):
+                    norm = f" {lead}{keyword} 0 1 0 clause or later "
+                    assert not re.search(r["pattern"], norm) or (r["keyword"] in norm and r["root"] in norm)
+
+
 def test_rules_hold_their_keyword_and_root():
     rules = license_rules.rules()
     assert len(rules) > 200
