@@ -4,9 +4,8 @@ Documents are encoded and cut into pieces; full pieces are sequences of their
 own. The others are dealt to shards of bounded size. In each shard, best-fit
 decreasing opens the bins; a local search then exchanges one document for one,
 two for one, one for two, or moves one, between any two underfull bins, until
-no step raises the sum of squared fills; so the emptiest bins run empty. Bins
-that are still well below capacity go to a next round on fewer shards, until
-one shard is left.
+no step raises the sum of squared fills; so the emptiest bins run empty. The
+underfull bins of all shards are dealt anew while a round saves sequences.
 """
 
 from __future__ import annotations
@@ -211,6 +210,9 @@ def _pack_shard(key: tuple, pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["key", "piece"], ignore_index=True)
     lengths = pdf["length"].tolist()
     bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+    if (pdf["was"] >= 0).all():  # packed before: the bins of that round are no worse a start
+        kept = local_search([b.tolist() for b in pdf.groupby("was").indices.values()], lengths, capacity)
+        bins = min(kept, bins, key=len)
     rows = np.fromiter((i for b in bins for i in b), dtype=np.int64)
     sizes = np.array([len(b) for b in bins])
     out = pdf.iloc[rows].reset_index(drop=True)
@@ -221,7 +223,7 @@ def _pack_shard(key: tuple, pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     out["offset"] = before - np.repeat(before[first], sizes)
     out["fill"] = np.repeat(np.add.reduceat(length, first), sizes)
     out["shard"] = key[0]
-    return out
+    return out.drop(columns="was")
 
 
 def pack(
@@ -230,7 +232,6 @@ def pack(
     capacity: int = 4096,
     end_id: int = 1,
     shard_pieces: int = 20_000,
-    good_fill: float = 0.97,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -240,28 +241,32 @@ def pack(
     Null ids stay null and repeated rows are packed one by one; null and empty
     texts are one end token; an empty table gives an empty result; other
     columns, whatever their names, are not read. ``shard_pieces`` bounds what
-    one task packs; bins filled below ``good_fill`` are packed again in the
-    next round, which has fewer shards, until a round has one.
+    one task packs on average. Full bins are final; the others are dealt anew,
+    bin by bin, as long as there are several shards, a round has saved
+    sequences and fewer sequences could hold their tokens.
     """
-    rest = cut(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+    rest = cut(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces").withColumn("was", F.lit(-1).cast("long"))
     done: list[DataFrame] = []
-    shards, count = None, rest.count()
+    count, before = rest.count(), None
     while True:
-        fewer = max(1, math.ceil(count / shard_pieces))
-        last = fewer == 1 or (shards is not None and fewer >= shards)
-        number, shards = len(done), fewer
-        packed = rest.withColumn("shard", F.pmod(F.xxhash64(F.lit(number), "key", "piece"), F.lit(shards)))
+        shards, number = max(1, math.ceil(count / shard_pieces)), len(done)
+        unit = [F.col("was")] if number else [F.col("key"), F.col("piece")]
+        packed = rest.withColumn("shard", F.pmod(F.xxhash64(F.lit(number), *unit), F.lit(shards)))
         packed = cut(packed.groupBy("shard").applyInPandas(lambda key, pdf: _pack_shard(key, pdf, capacity), PACKED + ", shard long"), "packed")
-        number = F.lit(number).cast("long")
+        packed = packed.withColumn("was", F.shiftleft("shard", 28) + F.col("bin"))
         ready = packed.select(
             "doc_id", "piece", "start", "length", "ids_crc32",
-            (F.shiftleft(number, 58) + F.shiftleft("shard", 32) + F.col("bin")).alias("sequence_id"), "offset", "fill",
+            (F.shiftleft(F.lit(number).cast("long"), 52) + F.col("was")).alias("sequence_id"), "offset", "fill",
         )
-        if last:
+        # every bin has one piece at offset 0
+        full = F.col("fill") == capacity
+        made, loose, count, tokens = packed.agg(
+            F.count_if(F.col("offset") == 0), F.count_if(~full & (F.col("offset") == 0)), F.count_if(~full), F.coalesce(F.sum(F.when(~full, F.col("length"))), F.lit(0))
+        ).first()
+        if shards == 1 or loose == math.ceil(tokens / capacity) or (before is not None and made >= before):
             done.append(ready.drop("fill"))
             break
-        enough = F.lit(int(good_fill * capacity))
-        done.append(ready.where(F.col("fill") >= enough).drop("fill"))
-        rest = packed.where(F.col("fill") < enough).select("doc_id", "key", "piece", "start", "length", "ids_crc32")
-        count = rest.count()
+        done.append(ready.where(full).drop("fill"))
+        rest = packed.where(~full).select("doc_id", "key", "piece", "start", "length", "ids_crc32", "was")
+        before = loose
     return reduce(DataFrame.unionByName, done)

@@ -72,6 +72,23 @@ def test_packing_in_rounds_and_odd_documents(spark, odd_documents, no_documents,
     assert packing.pack(no_documents, tokenizer_file).count() == 0
 
 
+def test_packing_deals_underfull_bins_anew(spark, tokenizer_file):
+    """One-token words and the end token; bins of a shard that are 98% full still take part."""
+    words = np.random.default_rng(3).integers(20, 60, 600).tolist()
+    docs = spark.createDataFrame([(i, "a " * n) for i, n in enumerate(words)], "doc_id bigint, text string")
+    cut_up = packing.pieces(docs, tokenizer_file, 128).collect()
+    lengths = {r["doc_id"]: r["length"] for r in cut_up}
+    assert len(cut_up) == len(lengths) == 600 and max(lengths.values()) < 128
+    rows = packing.pack(docs, tokenizer_file, capacity=128, shard_pieces=20).collect()
+    fills, ids = {}, []
+    for r in rows:
+        fills.setdefault(r["sequence_id"], []).append(r["length"])
+        ids.append(r["doc_id"])
+    assert sorted(ids) == list(range(600)) and all(sum(f) <= 128 for f in fills.values())
+    least = -(-sum(lengths.values()) // 128)
+    assert least == 190 and len(fills) <= 192
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 50), min_size=1, max_size=60))
 def test_local_search_never_adds_bins(lengths):
