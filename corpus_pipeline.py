@@ -26,9 +26,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the runs of lines that stood earlier; n_chars counts what is left.
 
-    A document of which nothing is left goes; one that was empty before stays.
+    A document of which no word is left goes; one that had none before stays.
     """
-    left = line_dedup.dedup_lines(docs, MIN_WORDS).where("n_deleted = 0 OR text <> ''")
+    left = line_dedup.dedup_lines(docs, MIN_WORDS).where((F.col("n_deleted") == 0) | (common.words_in(F.col("text")) > 0))
     return left.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -294,3 +294,12 @@ def test_pipeline_stages_keep_the_columns(spark, sf_dir, odd_documents):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).columns == docs.columns, name
         assert stage(spark, docs.where("doc_id < 0"), sf_dir).count() == 0, name
+
+
+def test_pipeline_drops_copies_of_which_blank_lines_are_left(spark, sf_dir):
+    import corpus_pipeline
+
+    line = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, line), (2, "\n\n" + line), (3, line + "\n\n \n"), (4, "\n\n"), (5, line + "\n\nrest")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_lines(spark, docs, sf_dir).collect()) == [1, 4, 5]
