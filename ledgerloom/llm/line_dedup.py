@@ -3,10 +3,11 @@
 A window is the shortest run of consecutive non-blank lines, begun or ended at
 a line, that holds ``min_words`` words. Its smallest line hash is its
 fingerprint: a repeated run of ``min_words`` words holds a whole window, so
-its copies share the fingerprint. Positions are joined on fingerprints that
-stand at two places or more; from a fingerprint's line the match is extended
-both ways to the window and compared. Windows that stood earlier are repeated;
-overlapping ones are joined to maximal runs, which are deleted.
+its copies share the fingerprint. Only windows whose fingerprint stands at two
+places or more are kept; these are compared by digests of their whole content.
+Positions are not joined and no match is extended. Windows that stood earlier
+are repeated; overlapping ones are joined to maximal runs, which are deleted.
+Repeats that begin or end inside a line count only by their whole lines.
 """
 
 from __future__ import annotations
