@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut
+from ledgerloom.llm.common import cut, spread_join
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` for every node of an edge; ``root`` is the component's smallest node.
 
     Each step links a node's neighbours to the smallest of them, so a hub's
-    edges are joined with one aggregated row a node and never paired. Every
-    round's edges are written to the shared folder; the driver sees a count
-    and a checksum. Rounds grow with the logarithm of the size.
+    edges are joined with one aggregated row a node and never paired, and the
+    edges of the largest hubs stay where they are. Every round's edges are
+    written to the shared folder; the driver sees a count and a checksum.
+    Rounds grow with the logarithm of the size.
     """
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now, seen = cut(now, "edges"), None
@@ -22,12 +23,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == seen or not found[0]:
             break
-        seen = found
+        seen, most = found, 2 * found[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both.where("v > u"), least, ["u"], total=most).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(large, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, ["u"], total=most).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

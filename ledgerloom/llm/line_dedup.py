@@ -1,28 +1,25 @@
 """Line deduplication across documents by winnowing, in DataFrame operations only.
 
 A window is the shortest run of consecutive non-blank lines, begun or ended at
-a line, that holds ``min_words`` words. Its smallest line hash is its
-fingerprint: a repeated run of ``min_words`` words holds a whole window, so
-its copies share the fingerprint. Only windows whose fingerprint stands at two
-places or more are kept; these are compared by digests of their whole content.
-Positions are not joined and no match is extended. Windows that stood earlier
-are repeated; overlapping ones are joined to maximal runs, which are deleted.
+a line, that holds ``min_words`` words. The place of its smallest line hash is
+its fingerprint: a repeated run of ``min_words`` words holds a whole window, so
+its copies share a fingerprint. Places are joined on their fingerprints; from a
+shared one the match is extended both ways to the bounds of each window that it
+stands for, where digests of the whole content decide. Matched windows that
+stood earlier are extended by those they overlap to maximal runs, and deleted.
 Repeats that begin or end inside a line count only by their whole lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import col, cut, source_columns, text_of, whole_row, words_in
+from ledgerloom.llm.common import col, cut, source_columns, spread_join, text_of, whole_row, words_in
 
-#: So many fingerprints (16 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_FINGERPRINTS = 500_000
 
-
-def _windows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per distinct window: its document, lines b to e, fingerprint line and content digest."""
+def _fingerprints(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per fingerprint place: ``doc, k, at, fp`` and the windows it stands for, as ``b, e, d1, d2``."""
     lines = docs.select(col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).select(
         "doc", F.xxhash64("text").alias("k"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
     )
@@ -31,25 +28,23 @@ def _windows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Dat
     lines = lines.where("w > 0").repartition("doc", "k").distinct()
     doc = Window.partitionBy("doc", "k")
     lines = lines.withColumn("d", F.sum("w").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    lines = lines.withColumn("c", F.col("d") - F.col("w")).withColumn("all", F.max("d").over(doc))
-    found = []
-    for over in (
-        doc.orderBy("c").rangeBetween(0, min_words - 1),  # begun here
-        doc.orderBy("d").rangeBetween(1 - min_words, 0),  # ended here
-    ):
-        begun = not found
-        rows = lines.select(
-            "doc", "k", "w",
+    lines = lines.withColumn("c", F.col("d") - F.col("w"))
+
+    def window(over: Window) -> list[Column]:
+        return [
             F.min("pos").over(over).alias("b"), F.max("pos").over(over).alias("e"), F.sum("w").over(over).alias("held"),
-            F.min(F.struct("h", "pos")).over(over).alias("least"),
-            F.collect_list("h").over(over).alias("hs"), F.collect_list("g").over(over).alias("gs"),
-        ).where(F.col("held") >= min_words)
-        if not begun:  # the others are the windows that their first line begins
-            rows = rows.where(F.col("held") - F.col("w") >= min_words)
-        found.append(
-            rows.select("doc", "k", "b", "e", F.col("least.h").alias("fp"), F.col("least.pos").alias("at"), F.xxhash64("hs").alias("d1"), F.xxhash64("gs").alias("d2"))
-        )
-    return found[0].unionByName(found[1])
+            F.min(F.struct("h", "pos")).over(over).alias("least"), F.collect_list("h").over(over).alias("hs"), F.collect_list("g").over(over).alias("gs"),
+        ]
+
+    begun = lines.withColumn("begun", F.struct(*window(doc.orderBy("c").rangeBetween(0, min_words - 1))))
+    both = begun.withColumn("ended", F.struct(*window(doc.orderBy("d").rangeBetween(1 - min_words, 0))))
+    # a window that its first line begins and its last line ends is taken once
+    again = F.col("ended.held") - F.col("w") < min_words
+    found = both.select("doc", "k", F.inline(F.array_compact(F.array(
+        F.when(F.col("begun.held") >= min_words, F.col("begun")), F.when((F.col("ended.held") >= min_words) & ~again, F.col("ended"))
+    ))))
+    found = found.select("doc", "k", F.col("least.pos").alias("at"), F.col("least.h").alias("fp"), F.struct("b", "e", F.xxhash64("hs").alias("d1"), F.xxhash64("gs").alias("d2")).alias("window"))
+    return found.groupBy("doc", "k", "at", "fp").agg(F.collect_list("window").alias("windows"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,17 +52,14 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
 
     Earlier: in a smaller id (null last), or further up. ``k`` hashes the text.
     """
-    windows = cut(_windows(docs, min_words, id_col, text_col), "windows")
-    places = windows.select("doc", "k", "at", "fp").distinct()
-    # written tables of unique keys: both sides of the joins are then dealt anew, and a hot key's rows can be split
-    shared = cut(places.groupBy("fp").agg(F.count("*").alias("places")).where("places > 1").select("fp"), "fingerprints")
-    # a fingerprint at one place may still hold two windows; those share it and differ
-    few = shared.count() <= BROADCAST_FINGERPRINTS
-    likely = windows.join(F.broadcast(shared) if few else shared, "fp", "left_semi")
+    places = cut(_fingerprints(docs, min_words, id_col, text_col), "fingerprints")
+    # a fingerprint at one place may still stand for two windows; those share it and differ
+    shared = cut(places.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    met = spread_join(places, shared, ["fp"], "left_semi").select("doc", "k", F.inline("windows"))
+    met = cut(met, "extended")
     place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "k", "b")
-    alike = likely.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").drop("times")
-    alike = cut(alike, "repeated")
-    later = likely.join(alike, ["d1", "d2"]).where(place != F.col("first")).select("doc", "k", "b", "e")
+    first = cut(met.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "repeated")
+    later = spread_join(met, first, ["d1", "d2"]).where(place != F.col("first")).select("doc", "k", "b", "e")
     doc = Window.partitionBy("doc", "k").orderBy("b", "e")
     reach = F.max("e").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     later = later.withColumn("opens", F.coalesce(F.col("b") > reach, F.lit(True)).cast("int"))
@@ -82,13 +74,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     ``min_words`` words (runs outside ``[\\x20\\x09-\\x0D]``) that stands
     earlier too; blank lines inside a run go with it. ``deleted_runs`` is an
     array of ``b, e`` (lines from 0, both included). Null text stays null, empty
-    text stays empty; a text all of whose lines go is left empty. Rows that
+    text stays empty; a text all of whose lines go is left empty. Texts of any
+    length are read whole, as rows of lines. Rows that
     repeat a document's id and text get one result, as one document. Null ids
     come last. An empty table gives an empty result; input columns named like
     the three added ones are replaced.
     """
     runs = repeated_runs(docs, min_words, id_col, text_col)
-    runs = runs.groupBy("doc", "k").agg(F.sort_array(F.collect_list(F.struct("b", "e"))).alias("runs"))
+    # a document's runs are fewer than its lines; written, so that both sides of the join are dealt anew and repeated rows can be split
+    runs = cut(runs.groupBy("doc", "k").agg(F.sort_array(F.collect_list(F.struct("b", "e"))).alias("runs")), "runs")
     rows = docs.select(col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("key"), whole_row(docs).alias("src"))
     rows = rows.join(runs, F.col("id").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("k")), "left")
     text = F.col("src").getField(text_col).cast("string")
