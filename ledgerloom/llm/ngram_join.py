@@ -2,10 +2,10 @@
 
 Texts with equal n-gram sets are one class representative with a number of
 copies. Bands of a representative's MinHash signature are dealt by their hash;
-members of a bucket are linked to the bucket's smallest member (one row each,
-never pairs), and connected groups of candidates are verified together, in
-blocks of bounded size: inside a task, every two texts that share a band are
-compared on their full n-gram sets, and only counts and spanning links leave it.
+of buckets with the same members one is kept. A bucket's texts are compared on
+their full n-gram sets inside tasks, a large bucket's in blocks of bounded size,
+and each two texts only in the first band that they share. Counts and spanning
+links leave a task, never pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bytehash import ALNUM, LOWER, MULTIPLIER, Texts, mix, slices, window_hashes
-from ledgerloom.llm.common import col, cut, source_columns, whole_row
+from ledgerloom.llm.common import col, cut, source_columns, spread_join, whole_row
 from ledgerloom.llm.components import components
 
 ROWS = 6
@@ -97,8 +97,12 @@ def _sketch_udf(bands: int, n: int):
     return sketch
 
 
-def _verify(reps: np.ndarray, copies: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, cross: bool, threshold: float):
-    """For each text of a block its linked copies and the smallest text its links reach here."""
+def _verify(reps: np.ndarray, copies: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, band: int, cross: bool, threshold: float):
+    """For each text of a block its linked copies and the smallest text its links reach here.
+
+    Two texts that share a band before ``band`` are left to that one. In a
+    block of two sides only texts of different sides are compared.
+    """
     sizes = np.array([len(s) for s in sets])
     names, flat = np.unique(np.concatenate(sets), return_inverse=True)
     first = np.cumsum(sizes) - sizes
@@ -111,20 +115,19 @@ def _verify(reps: np.ndarray, copies: np.ndarray, sides: np.ndarray, sets: list[
         return x
 
     for i in range(len(reps)):
-        others = np.flatnonzero(sides != sides[i]) if cross else np.arange(i + 1, len(reps))
         if cross and sides[i]:
             continue
+        others = np.flatnonzero(sides) if cross else np.arange(i + 1, len(reps))
         others = others[(sizes[others] >= threshold * sizes[i] - 1e-9) & (sizes[others] * threshold <= sizes[i] + 1e-9)]
         if len(others):
-            others = others[(bands[others] == bands[i]).any(axis=1)]
+            others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)]
         if not len(others):
             continue
         mine = flat[first[i] : first[i] + sizes[i]]
         marked[mine] = 1
-        if len(others) * 8 < len(reps):
-            common = np.array([marked[flat[first[j] : first[j] + sizes[j]]].sum() for j in others])
-        else:
-            common = np.add.reduceat(marked[flat], first)[others]
+        held = sizes[others]
+        opens = np.cumsum(held) - held
+        common = np.add.reduceat(marked[flat[np.repeat(first[others] - opens, held) + np.arange(held.sum())]], opens)
         marked[mine] = 0
         for j in others[common >= threshold * (sizes[i] + sizes[others] - common) - 1e-9].tolist():
             links[i] += copies[j]
@@ -152,8 +155,8 @@ def near_duplicates(
     the rows linked to a row (copies included), ``is_first`` is true for one
     row of each class: the smallest id, null ids last. Every link is found with probability
     ``target_recall`` or more, all reported ones are exact up to 64-bit gram
-    hashes. Rows without words (null, empty) link to nothing. Repeated rows
-    and ids are rows of their own. An empty table gives an empty result;
+    hashes. Rows without words (null, empty) link to nothing. Texts of any
+    length count whole. Repeated rows and ids are rows of their own. An empty table gives an empty result;
     input columns named like the three added ones are replaced.
     ``block_texts`` and ``block_grams`` bound what a verification task holds
     of each side.
@@ -168,30 +171,38 @@ def near_duplicates(
     alike = keyed.groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("copies"), first)
     reps = cut(alike.join(keyed.select("row", "grams", "bands"), "row").withColumnRenamed("row", "rep"), "representatives")
 
-    keys = reps.select("rep", F.explode("bands").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    groups = components(keys.join(leaders.drop("members"), "key").select("rep", "leader").where("rep <> leader"), "rep", "leader")
-
-    sized = groups.join(reps.select(F.col("rep").alias("node"), "grams", "copies", "bands"), "node")
-    total = groups.count()
-    bins = max(1, math.ceil(total / (block_texts // 2)))
-    shape = sized.groupBy("root").agg(F.count("*").alias("texts"), F.sum("grams").alias("all_grams"))
-    shape = shape.select("root", F.greatest(F.ceil(F.col("texts") / block_texts), F.ceil(F.col("all_grams") / block_grams)).alias("chunks"))
-    dealt = sized.join(shape, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    keys = reps.select("rep", "grams", F.posexplode("bands").alias("band", "key"))
+    buckets = keys.groupBy("key").agg(
+        F.count("*").alias("n"), F.sum("grams").alias("all_grams"), F.min("band").alias("band"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("members")
+    )
+    # buckets of the same members differ in their bands only: the first one stands for them
+    one = F.min(F.struct("band", "key", "all_grams")).alias("one")
+    buckets = buckets.where("n > 1").groupBy("n", "least", "members").agg(one).select("n", "one.*")
+    chunks = F.greatest(F.ceil(F.col("n") / block_texts), F.ceil(F.col("all_grams") / block_grams))
+    buckets = cut(buckets.withColumn("chunks", chunks), "buckets")
+    small = F.col("chunks") == 1
+    texts, held = buckets.where(small).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("all_grams"), F.lit(0))).first()
+    bins = max(1, math.ceil(2 * texts / block_texts), math.ceil(2 * held / block_grams))  # small buckets share tasks
+    dealt = spread_join(keys.select("rep", "key"), buckets.select("key", "band", "chunks", "n"), ["key"])
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    dealt = cut(dealt.select("rep", "key", "band", "chunks", "chunk"), "candidates")
+
+    # one text a candidate, then as often as its buckets' blocks need it
+    text = F.col("src").getField(text_col).cast("string").alias("text")
+    wanted = dealt.select("rep").distinct().join(reps.select("rep", "copies", "bands"), "rep")
+    wanted = cut(wanted.join(rows.select(F.col("row").alias("rep"), text), "rep"), "texts")
+    dealt = dealt.join(wanted, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     dealt = dealt.select(
-        F.when(F.col("chunks") > 1, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(bins))).alias("bin"),
+        F.when(small, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key")).alias("bin"), small.alias("small"),
         F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).alias("second"),
-        "root", "node", "copies", "bands",
+        "key", "band", "rep", "copies", "bands", "text",
     )
-    text = F.col("src").getField(text_col).cast("string").alias("text")
-    dealt = dealt.join(rows.select(F.col("row").alias("node"), text), "node")
 
     def verify(block: pa.Table) -> pa.Table:
-        block = block.combine_chunks().sort_by([("root", "ascending"), ("node", "ascending")])
+        block = block.combine_chunks().sort_by([("key", "ascending"), ("rep", "ascending")])
         cross = bool(len(block)) and block["i"][0] != block["j"][0]
-        roots = block["root"].to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(roots)) + 1).tolist(), len(roots)]
+        buckets = block["key"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
         nodes, all_links, reached = [], [], []
         for a, b in zip(edges[:-1], edges[1:]):
             part = block.slice(a, b - a).combine_chunks()
@@ -199,27 +210,29 @@ def near_duplicates(
             for run in slices(part["text"].combine_chunks()):
                 sets += ngram_sets(run, n)
             signature = part["bands"].combine_chunks().flatten().to_numpy().reshape(b - a, bands)
-            reps_here = part["node"].to_numpy()
+            reps_here = part["rep"].to_numpy()
             sides = part["second"].combine_chunks().to_numpy(zero_copy_only=False)
-            links, tops = _verify(reps_here, part["copies"].to_numpy(), sides, sets, signature, cross, threshold)
+            links, tops = _verify(reps_here, part["copies"].to_numpy(), sides, sets, signature, part["band"][0].as_py(), cross, threshold)
             nodes += reps_here.tolist()
             all_links += links.tolist()
             reached += [int(t) for t in tops]
         return pa.table({"node": pa.array(nodes, pa.int64()), "links": pa.array(all_links, pa.int64()), "reached": pa.array(reached, pa.int64())})
 
-    found = cut(dealt.groupBy("bin", "i", "j").applyInArrow(verify, "node long, links long, reached long").where("links > 0"), "links")
+    found = cut(dealt.groupBy("small", "bin", "i", "j").applyInArrow(verify, "node long, links long, reached long").where("links > 0"), "links")
     classes = components(found, "node", "reached")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     info = reps.select("rep", "digest", "copies", "first").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     info = info.join(links.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    heads = info.groupBy("root").agg(F.min("first").alias("head"))
-    info = info.join(heads, "root").select(F.col("digest").alias("set"), "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = rows.withColumn("set", F.col("sketch.digest")).join(info, "set", "left")
+    info = cut(info, "classes")
+    heads = info.groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("n"))
+    info = spread_join(info, heads, ["root"]).select(F.col("digest").alias("set"), "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("copies").alias("n"))
+    rows = rows.withColumn("set", F.col("sketch.digest"))
+    wordless = rows.where("set IS NULL").select("*", F.lit(None).cast(info.schema["head"].dataType).alias("head"), F.lit(0).cast("long").alias("links"), F.lit(0).cast("long").alias("n"))
+    out = spread_join(rows, cut(info, "sets"), ["set"]).unionByName(wordless)
     added = {
         "class_id": F.coalesce(F.col("head.id"), F.when(F.col("head").isNull(), F.col("id"))),
-        "n_links": F.coalesce("links", F.lit(0)).cast("long"),
+        "n_links": F.col("links").cast("long"),
         "is_first": F.coalesce(F.col("head.row") == F.col("row"), F.lit(True)),
     }
-    kept = [c for c in source_columns(docs) if True]
-    kept = [c for c, name in zip(kept, docs.columns) if name.lower() not in added]
+    kept = [c for c, name in zip(source_columns(docs), docs.columns) if name.lower() not in added]
     return out.select(*kept, *[v.alias(k) for k, v in added.items()])
