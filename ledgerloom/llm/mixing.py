@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import col, cut, partition_starts, source_columns, text_of, whole_row, words_in
+from ledgerloom.llm.common import col, cut, partition_starts, source_columns, spread_join, text_of, whole_row, words_in
 
 BUCKETS = 4096
 
@@ -23,7 +23,7 @@ def _ranked(sources: DataFrame) -> DataFrame:
     ranged = cut(ranged, "sources")
     bases = partition_starts(ranged.groupBy("part").agg(F.count("*").alias("n")), "part", "n")
     within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
-    return ranged.withColumn("within", within).join(F.broadcast(bases), "part").select("source", "source_size", (F.col("base") + F.col("within")).alias("rank"))
+    return ranged.withColumn("within", within).join(F.broadcast(bases), "part").withColumn("rank", F.col("base") + F.col("within")).drop("part", "base", "within")
 
 
 def water_level(sources: DataFrame, share: float, max_epochs: float) -> tuple[float, float]:
@@ -46,9 +46,48 @@ def water_level(sources: DataFrame, share: float, max_epochs: float) -> tuple[fl
         level = after
 
 
-def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
-    text = text_of(text_col)
-    return F.xxhash64(text).alias("k"), F.xxhash64(F.coalesce(col(id_col).cast("string"), F.lit("")), text).alias("kk")
+def _taken(docs: DataFrame, carried: list[Column], weights, share, max_epochs, seed, id_col, text_col, source_col) -> DataFrame:
+    """The rows of :func:`plan` with the ``carried`` columns beside them."""
+    text, source = text_of(text_col), col(source_col).cast("string")
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(col(id_col).cast("string"), F.lit("")), F.md5(text)))
+    rows = docs.select(
+        col(id_col).cast("long").alias("id"), source.alias("source"), words_in(text).alias("size"), order.alias("draw"),
+        F.xxhash64(*[col(c) for c, kind in docs.dtypes if "map<" not in kind]).alias("tie"), *carried,
+    )
+    rows = rows.withColumn("bucket", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int"))
+    # null is a source: its key is one that no name has
+    rows = cut(rows.withColumn("key", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source"))), "sizes")
+
+    # sums of hash buckets: a hot source is 4096 rows here, whatever it holds
+    sums = cut(rows.groupBy("source", "key", "bucket").agg(F.sum("size").alias("held"), F.count("*").alias("n")), "buckets")
+    sources = _ranked(sums.groupBy("source", "key").agg(F.sum("held").alias("source_size"), F.sum("n").alias("n")))
+    turn = F.array(*[F.lit(float(w)) for w in weights])
+    sources = sources.withColumn("weight", F.get(turn, F.pmod(F.col("rank"), F.lit(len(weights))).cast("int")))
+    level, _ = water_level(sources, share, max_epochs)
+    cap = F.col("source_size") * F.lit(float(max_epochs))
+    target = F.least(cap, F.col("weight") * F.lit(level)) if level != float("inf") else cap
+    sources = sources.select("key", "source_size", target.alias("target"), "n")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    sources = sources.withColumn("whole", whole.cast("long"))
+    sources = sources.withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
+
+    # the bucket in which a source's fraction runs out
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("key", "bucket", "held", before.alias("before")).join(sources.select("key", "extra"), "key")
+    ends = (F.col("before") < F.col("extra")) & (F.col("before") + F.col("held") > F.col("extra"))
+    full = F.max(F.when((F.col("before") < F.col("extra")) & (F.col("before") + F.col("held") <= F.col("extra")), F.col("bucket"))).alias("full")
+    edge = F.max(F.when(ends, F.struct("bucket", "before"))).alias("edge")
+    sources = cut(sources.join(sums.groupBy("key").agg(full, edge), "key"), "targets")
+
+    dealt = spread_join(rows, sources, ["key"])
+    inside_edge = F.coalesce(F.col("bucket") == F.col("edge.bucket"), F.lit(False))
+    by_bucket = dealt.where(~inside_edge).withColumn("more", F.coalesce((F.col("bucket") <= F.col("full")).cast("int"), F.lit(0)))
+    inside = Window.partitionBy("key").orderBy("draw", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    near = dealt.where(inside_edge).withColumn("upto", F.col("edge.before") + F.sum("size").over(inside))
+    # the document that crosses the target is taken if that comes nearer
+    near = near.withColumn("more", (F.col("upto") - F.col("size") / 2 <= F.col("extra")).cast("int")).drop("upto")
+    both = by_bucket.unionByName(near).withColumn("repeats", F.col("whole") + F.col("more"))
+    return both.withColumn("taken", F.col("repeats") * F.col("size"))
 
 
 def plan(
@@ -61,61 +100,36 @@ def plan(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per document: ``id, k, kk, source, size, source_size, target, repeats, taken``.
+    """One row per document: ``id, source, size, source_size, target, repeats, taken``.
 
     Sources in code point order (null last) take ``weights`` in turn. ``size``
-    counts words (null text: 0); ``repeats`` is how often the mix takes the
-    document and ``taken`` its words, repeats counted. The order of the
-    documents of a source is the md5 of seed, id and text, so reruns agree;
-    rows that agree in all of these are taken one by one. Documents of size 0
+    counts words of the whole text (null text: 0); ``repeats`` is how often the
+    mix takes the document and ``taken`` its words, repeats counted. The order
+    of the documents of a source is the md5 of seed, id and text, then a hash
+    of the whole row, so reruns agree in any order of the input; rows that are
+    equal in every column may stand for each other. Documents of size 0
     follow the order like all others, and are left out where their source has
-    no words. ``k`` and ``kk`` hash the text, and the id and the text. An empty
-    table gives an empty result; other columns are not read.
+    no words. An empty table gives an empty result. The 4,096th part of a
+    source in which its fraction ends is sorted in one task, and spills there.
     """
-    text, source = text_of(text_col), col(source_col).cast("string")
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(col(id_col).cast("string"), F.lit("")), F.md5(text)))
-    rows = docs.select(col(id_col).cast("long").alias("id"), source.alias("source"), words_in(text).alias("size"), order.alias("draw"), *_keys(id_col, text_col))
-    rows = cut(rows.withColumn("bucket", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int")), "sizes")
+    rows = _taken(docs, [], weights, share, max_epochs, seed, id_col, text_col, source_col)
+    return rows.select("id", "source", "size", "source_size", "target", "repeats", "taken")
 
-    # sums of hash buckets: a hot source is 4096 rows here, whatever it holds
-    sums = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("held")), "buckets")
-    sources = _ranked(sums.groupBy("source").agg(F.sum("held").alias("source_size")))
-    turn = F.array(*[F.lit(float(w)) for w in weights])
-    sources = sources.withColumn("weight", F.get(turn, F.pmod(F.col("rank"), F.lit(len(weights))).cast("int")))
-    level, _ = water_level(sources, share, max_epochs)
-    cap = F.col("source_size") * F.lit(float(max_epochs))
-    target = F.least(cap, F.col("weight") * F.lit(level)) if level != float("inf") else cap
-    sources = sources.select("source", "source_size", target.alias("target"))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    sources = sources.withColumn("whole", whole.cast("long"))
-    sources = sources.withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
-
-    # the bucket in which a source's fraction runs out
-    before = F.coalesce(F.sum("held").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("before", before).join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    sums = sums.select(
-        "source", "bucket", "before", "source_size", "target", "whole", "extra",
-        F.when(F.col("before") >= F.col("extra"), F.lit(0)).when(F.col("before") + F.col("held") <= F.col("extra"), F.lit(1)).alias("state"),
-    )
-    dealt = rows.join(sums.withColumnsRenamed({"source": "of", "bucket": "at"}), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
-    by_bucket = dealt.where("state IS NOT NULL").withColumn("more", F.col("state"))
-    inside = Window.partitionBy("source", "bucket").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = dealt.where("state IS NULL").withColumn("upto", F.col("before") + F.sum("size").over(inside))
-    # the document that crosses the target is taken if that comes nearer
-    edge = edge.withColumn("more", (F.col("upto") - F.col("size") / 2 <= F.col("extra")).cast("int")).drop("upto")
-    repeats = (F.col("whole") + F.col("more")).alias("repeats")
-    return by_bucket.unionByName(edge).select("id", "k", "kk", "source", "size", "source_size", "target", repeats, (repeats * F.col("size")).alias("taken"))
 
-
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5, 2, 1),
+    share: float = 1.5,
+    max_epochs: int = 2,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """The documents' rows, each as often as :func:`plan` takes it; the columns stay.
 
-    Options are those of :func:`plan`, whose docstring says what nulls, ties,
-    repeated rows and empty tables give.
+    Each row keeps its own repeats, whatever other rows share its id and text.
+    Nulls, ties, repeated rows and empty tables are as in :func:`plan`.
     """
-    keys = _keys(options.get("id_col", "doc_id"), options.get("text_col", "text"))
-    taken = plan(docs, **options).groupBy("k", "kk").agg(F.sort_array(F.collect_list("repeats")).alias("each"))
-    rows = docs.select(*keys, whole_row(docs).alias("src")).join(taken, ["k", "kk"])
-    nth = F.row_number().over(Window.partitionBy("k", "kk").orderBy(F.lit(0)))
-    rows = rows.withColumn("nth", nth).withColumn("repeats", F.get("each", F.col("nth") - 1)).where("repeats > 0")
+    rows = _taken(docs, [whole_row(docs).alias("src")], weights, share, max_epochs, seed, id_col, text_col, source_col).where("repeats > 0")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(*source_columns(docs))
