@@ -1,33 +1,36 @@
 """Exact top-k search by integer inner product with MaxScore.
 
-Components are the terms of a vector. In a shard, a term's postings are its
-column, and its largest and smallest value bound what it can add to a query's
-score. Terms are taken by falling bound: the essential ones are traversed for
-all vectors; once the terms that are left cannot lift a vector to the k-th
-best score, it is dropped, and only vectors that still compete are probed in
-the non-essential ones. Shards' results are merged by score and id.
-
-Vectors are dealt to shards and queries to groups; a task has one shard and
-one group, both of bounded size.
+Components are the terms of a vector. A shard's postings of a term are its
+column; the term's largest and smallest value there bound what it adds to a
+query's score. For a threshold that k vectors are known to reach, the terms
+whose bounds together cannot lift a vector over it are non-essential. The
+essential postings are traversed block by block; vectors that still compete
+are probed in the non-essential terms, largest bound first, and dropped as soon
+as they cannot reach the threshold, which rises with every block.
+
+Vectors are dealt to shards once and stay there. Each query first searches the
+shard it lies in, then travels with the threshold found to all others, where
+queries are read as a stream; shards' results are merged by score and id.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import col
+from ledgerloom.llm.common import col, cut
 
-_EXACT = float(1 << 53)
+#: Sums below these are exact in doubles and in single floats.
+_EXACT, _EXACT_SINGLE = float(1 << 53), float(1 << 24)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(lists: pa.ListArray) -> np.ndarray:
     """Rows of integer lists as a matrix, shorter ones filled with 0."""
-    lists = column.combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     out = np.zeros((len(lists), int(sizes.max()) if len(sizes) else 0), dtype=np.int64)
     flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -38,46 +41,67 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 class Shard:
     """Postings of some vectors: one column per term, with its bounds."""
 
-    def __init__(self, ids: np.ndarray, known: np.ndarray, vectors: np.ndarray, chunk: int = 8):
+    def __init__(self, ids: np.ndarray, known: np.ndarray, vectors: np.ndarray, block: int = 4096):
         order = np.lexsort((ids, ~known))  # ties go to the smaller id, null last
-        self.ids, self.known, self._chunk = ids[order], known[order], chunk
+        self.ids, self.known, self._block = ids[order], known[order], block
         self._columns = np.ascontiguousarray(vectors[order].T)
-        self._floats = self._columns.astype(np.float64)
+        self._held: dict[type, np.ndarray] = {}
         self._high, self._low = vectors.max(axis=0), vectors.min(axis=0)
 
-    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int]]:
-        """Places and scores of the k best vectors but ``own``, best first."""
-        size = max(len(query), len(self._columns))
-        if len(query) < size or len(self._columns) < size:  # terms that one side lacks add nothing
-            size = min(len(query), len(self._columns))
-            query = query[:size]
-        columns, high, low = self._floats[:size], self._high[:size].astype(float), self._low[:size].astype(float)
-        q = query.astype(np.float64)
-        most = np.maximum(q * high, q * low)
-        least = np.minimum(q * high, q * low)
-        if np.maximum(np.abs(most), np.abs(least)).sum() >= _EXACT:
+    def best(self, query: np.ndarray, own: int, k: int, reached: float = -np.inf) -> tuple[np.ndarray, list[int]]:
+        """Places and scores of the k best vectors but ``own``, best first; those below ``reached`` may be left out.
+
+        ``reached`` is a score that k vectors are known to have, here or elsewhere.
+        """
+        size = min(len(query), len(self._columns))  # terms that one side lacks add nothing
+        q = query[:size].astype(np.float64)
+        high, low = self._high[:size].astype(float), self._low[:size].astype(float)
+        most, least = np.maximum(q * high, q * low), np.minimum(q * high, q * low)
+        largest = np.maximum(np.abs(most), np.abs(least)).sum()
+        if largest >= _EXACT:
             return self._plain(query, own, k)
-        order = np.argsort(least - most, kind="stable")  # terms by falling range
-        left = np.concatenate([np.cumsum(most[order][::-1])[::-1], [0.0]])  # what terms from here on can add
-        live = np.flatnonzero(~(self.known & (self.ids == own)))
-        if len(live) <= k:
-            theta = -np.inf
-        else:  # the k-th best of the vectors that lead after the first terms is a lower bound
-            first = order[: self._chunk]
-            lead = (q[first] @ columns[first])[live]
-            seeds = live[np.argpartition(-lead, k - 1)[: 4 * k]]
-            theta = np.partition(q @ columns[:, seeds], len(seeds) - k)[len(seeds) - k]
-        scores = np.zeros(len(live))
-        at = 0
-        while at < size and len(live):
-            terms = order[at : at + self._chunk]
-            scores = scores + q[terms] @ (columns[terms] if len(live) == columns.shape[1] else columns[np.ix_(terms, live)])
-            at += len(terms)
-            competes = scores + left[at] >= theta
-            if not competes.all():
-                live, scores = live[competes], scores[competes]
-        top = np.lexsort((live, -scores))[:k]
-        return live[top], [int(s) for s in scores[top]]
+        postings = self._postings(np.float32 if largest < _EXACT_SINGLE else np.float64)[:size]
+        q = q.astype(postings.dtype)
+        order = np.argsort(least - most, kind="stable")  # terms by falling bound
+        bound = np.concatenate([np.cumsum((most - least)[order][::-1])[::-1], [0.0]])  # what terms from here on can add to the least score
+        floor = np.concatenate([np.cumsum(least[order][::-1])[::-1], [0.0]])
+        own_at = np.flatnonzero(self.known & (self.ids == own))
+        found, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+        for start in range(0, postings.shape[1], self._block):
+            block = postings[:, start : start + self._block]
+            # non-essential: the terms from the first on whose bounds cannot lift the least score to the threshold
+            essential = min(size, int((bound + floor[0] >= reached).sum())) if reached > -np.inf else size
+            mask = np.zeros(size, dtype=q.dtype)
+            mask[order[:essential]] = q[order[:essential]]
+            part = mask @ block
+            competes = part + (floor[essential] + bound[essential]) >= reached
+            competes[own_at[(own_at >= start) & (own_at < start + block.shape[1])] - start] = False
+            live = np.flatnonzero(competes)
+            if len(live) * 8 > block.shape[1]:  # most compete: their other postings are read in one go
+                part = (part + (q - mask) @ block)[live]
+            else:
+                part, at = part[live], essential
+                while at < size and len(live):
+                    terms = order[at : at + 8]
+                    part = part + q[terms] @ block[np.ix_(terms, live)]
+                    at = min(at + 8, size)
+                    competes = part + (floor[at] + bound[at]) >= reached
+                    live, part = live[competes], part[competes]
+            if len(live) > k:
+                best = np.flatnonzero(part >= np.partition(part, len(part) - k)[len(part) - k])
+                live, part = live[best], part[best]
+            found, scores = np.concatenate([found, live + start]), np.concatenate([scores, part.astype(np.float64)])
+            if len(found) >= k:
+                top = np.lexsort((found, -scores))[:k]
+                found, scores = found[top], scores[top]
+                reached = max(reached, float(scores[-1]))
+        top = np.lexsort((found, -scores))[:k]
+        return found[top], [int(s) for s in scores[top]]
+
+    def _postings(self, kind: type) -> np.ndarray:
+        if kind not in self._held:
+            self._held[kind] = self._columns.astype(kind)
+        return self._held[kind]
 
     def _plain(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int]]:
         """Values too large for exact doubles: Python's integers, all vectors, cut to 64 bits at the end."""
@@ -100,8 +124,7 @@ def top_k(
     every: int = 50,
     k: int = 5,
     scale: int = 256,
-    shard_rows: int = 16_384,
-    query_rows: int = 512,
+    shard_rows: int = 65_536,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -112,32 +135,63 @@ def top_k(
     Null ids are no query. Rows that repeat id and vector are one query but
     each is a candidate. Missing components of shorter vectors count as 0.
     Scores beyond 64 bits are cut to them. An empty table gives an empty
-    result; other columns are not read.
+    result; other columns are not read. A task holds one shard of about
+    ``shard_rows`` vectors (fewer where cores would idle) and reads queries in
+    batches; each query is sent to ``n / shard_rows`` shards, each of the ``n`` vectors to one.
     """
-    rows = integer_vectors(vectors, id_col, vector_col, scale)
-    queries = rows.where(F.col("id") % every == 0).distinct()
-    count, asked = rows.count(), queries.count()
-    shards, groups = max(1, math.ceil(count / shard_rows)), max(1, math.ceil(asked / query_rows))
-    deal = F.xxhash64("id", "vector")
-    left = rows.withColumn("s", F.pmod(deal, F.lit(shards))).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    right = queries.withColumn("g", F.pmod(deal, F.lit(groups))).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def search(candidates: pa.Table, asked: pa.Table) -> pa.Table:
-        out: tuple[list, ...] = ([], [], [], [])
-        if len(candidates) and len(asked):
-            ids = candidates["id"].combine_chunks()
-            shard = Shard(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), _matrix(candidates["vector"]))
-            for own, key, query in zip(asked["id"].to_pylist(), asked["key"].to_pylist(), _matrix(asked["vector"])):
-                places, scores = shard.best(query, own, k)
+    rows = cut(integer_vectors(vectors, id_col, vector_col, scale), "vectors")
+    count, cores = rows.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, math.ceil(count / shard_rows), min(cores, math.ceil(count / 4096)))
+    at = F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).alias("s")
+    none = F.lit(None).cast("double")
+    held = rows.select(at, F.lit(0).alias("asks"), F.lit(0).cast("long").alias("key"), none.alias("reached"), "id", "vector")
+    queries = rows.where(F.col("id") % every == 0).distinct().select(at, F.lit(1).alias("asks"), F.xxhash64("vector").alias("key"), none.alias("reached"), "id", "vector")
+    queries = cut(queries, "queries")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, shard, here = [], None, None  # a partition has its shards one after the other, the vectors of each before its queries
+
+        def flush(asked: pa.RecordBatch) -> pa.RecordBatch:
+            out: tuple[list, ...] = ([], [], [], [])
+            for own, key, reached, query in zip(asked["id"].to_pylist(), asked["key"].to_pylist(), asked["reached"].to_pylist(), _matrix(asked["vector"])):
+                places, scores = shard.best(query, own, k, -np.inf if reached is None else reached)
                 out[0].extend([own] * len(places))
                 out[1].extend([key] * len(places))
                 out[2].extend(int(shard.ids[p]) if shard.known[p] else None for p in places)
                 out[3].extend(scores)
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_id", "key", "vec_id", "score"), out)})
-
-    found = (
-        left.groupBy("s", "g").cogroup(right.withColumn("key", F.xxhash64("vector")).groupBy("s", "g"))
-        .applyInArrow(search, "query_id long, key long, vec_id long, score long")
-    )
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["query_id", "key", "vec_id", "score"])
+
+        for batch in batches:
+            kinds = batch["s"].to_numpy() * 2 + batch["asks"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                run, which = batch.slice(a, b - a), int(kinds[a]) // 2
+                if which != here:
+                    parts, shard, here = [], None, which
+                if kinds[a] % 2 == 0:
+                    parts.append(run.select(["id", "vector"]))
+                    continue
+                if shard is None and parts:
+                    table = pa.Table.from_batches(parts).combine_chunks()
+                    ids = table["id"].combine_chunks()
+                    shard = Shard(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), _matrix(table["vector"].combine_chunks()))
+                    parts = []
+                if shard is not None:
+                    yield flush(run)
+
+    def searched(asked: DataFrame) -> DataFrame:
+        dealt = held.unionByName(asked).repartition(shards, "s").sortWithinPartitions("s", "asks")
+        return dealt.mapInArrow(search, "query_id long, key long, vec_id long, score long")
+
+    near = cut(searched(queries), "near")
+    # the k-th score of a query's own shard is the threshold in the others
+    known = near.groupBy("query_id", "key").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least")).where(F.col("n") >= k)
+    others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda s: s != F.col("s")))
+    found = near
+    if shards > 1:
+        told = queries.join(known.withColumnRenamed("query_id", "id").drop("n"), ["id", "key"], "left").withColumn("reached", F.col("least")).drop("least")
+        found = near.unionByName(searched(told.withColumn("s", others)))
     merged = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
