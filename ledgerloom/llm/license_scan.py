@@ -18,6 +18,8 @@ from ledgerloom.llm.common import col, text_of
 
 _SCHEMA = "array<struct<rule:int,label:string,priority:int,score:double,base:boolean,root:string,keyword:string,pattern:string>>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Stands in no text of words.
+MARK = "\x01"
 FOUND = "array<struct<label:string,start:long,length:long,priority:int,score:double,base:boolean>>"
 
 
@@ -31,7 +33,8 @@ def scan_licenses(docs: DataFrame, rules: list[dict] | None = None, id_col: str
     Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII
     characters. ``base`` has the start and label of every place of a base
     rule, ``found`` the detections that are not suppressed; both are arrays
-    ordered by place. Null text counts as empty. Rows are scanned one by one:
+    ordered by place. Null text counts as empty; texts of any length and with
+    any number of matches are scanned whole. Rows are scanned one by one:
     null and repeated ids stay apart; an empty table gives an empty result;
     other columns are not read.
     """
@@ -43,25 +46,23 @@ def scan_licenses(docs: DataFrame, rules: list[dict] | None = None, id_col: str
     for root in sorted({r["root"] for r in rules}):
         table = F.from_json(F.lit(json.dumps([r for r in rules if r["root"] == root])), _SCHEMA)
         tried.append(F.when(F.contains(F.col("words"), F.lit(root)), F.filter(table, lambda r: F.contains(F.col("words"), r["keyword"]))).otherwise(F.array().cast(_SCHEMA)))
-    # what lies before each match, and the match, as numbers of spaces
+    # one pass marks a rule's matches; of the pieces between marks, by their spaces, every second one is a match
     hits = F.transform(
         F.concat(*tried),
         lambda r: F.struct(
             r["rule"].alias("rule"), r["label"].alias("label"), r["priority"].alias("priority"), r["score"].alias("score"), r["base"].alias("base"),
-            F.transform(F.split(F.col("words"), r["pattern"], -1), _spaces).alias("gaps"),
-            F.transform(F.regexp_extract_all(F.col("words"), r["pattern"], F.lit(0)), _spaces).alias("matches"),
+            F.transform(F.split(F.regexp_replace(F.col("words"), r["pattern"], F.lit(f"{MARK}$0{MARK}")), MARK, -1), _spaces).alias("pieces"),
         ),
     )
-    hits = F.filter(hits, lambda h: F.size(h["matches"]) > 0)
+    hits = F.filter(hits, lambda h: F.size(h["pieces"]) > 1)
     opened = rows.select("row", "id", "n_words", F.explode_outer(hits).alias("hit"))
-    opened = opened.select("row", "id", "n_words", "hit.*").select("*", F.posexplode_outer("matches").alias("nth", "inner"))
-    opened = opened.withColumn("gap", F.get("gaps", F.col("nth"))).drop("gaps", "matches").repartition("row")
+    opened = opened.select("row", "id", "n_words", "hit.rule", "hit.label", "hit.priority", "hit.score", "hit.base", F.col("hit.pieces").alias("pieces"))
+    # each number leaves its array once, whatever the number of matches
+    opened = opened.select("row", "id", "n_words", "rule", "label", "priority", "score", "base", F.posexplode_outer("pieces").alias("nth", "inner")).repartition("row")
 
-    of_rule = Window.partitionBy("row", "rule").orderBy("nth")
-    to_here = F.sum(F.col("gap")).over(of_rule.rowsBetween(Window.unboundedPreceding, 0))
-    inside = F.coalesce(F.sum(F.col("inner")).over(of_rule.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = opened.withColumn("start", (to_here + inside - 1).cast("long")).withColumn("length", (F.col("inner") + 1).cast("long"))
-    placed = placed.withColumn("end", F.col("start") + F.col("length"))
+    of_rule = Window.partitionBy("row", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    placed = opened.withColumn("start", (F.sum("inner").over(of_rule) - 1).cast("long")).where("nth IS NULL OR nth % 2 = 1")
+    placed = placed.withColumn("length", (F.col("inner") + 1).cast("long")).withColumn("end", F.col("start") + F.col("length"))
     before = Window.partitionBy("row").orderBy("start", F.desc("length"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     covered = F.lit(False)
     for level in sorted({r["priority"] for r in rules}):
