@@ -108,3 +108,48 @@ SELECT page_id, host, path, rule,
        coalesce(v, CASE WHEN EXISTS (SELECT 1 FROM own WHERE host = h OR ends_with(host, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM hit
 """
+
+LICENSE_BASE = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all({LOWER}, {WORD}) AS ws FROM documents),
+p(phrase, label) AS (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')),
+n AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+h AS (SELECT doc_id, label, i - 1 AS start FROM n JOIN p ON ws[i] = phrase[1] AND ws[i : i + len(phrase) - 1] = phrase)
+SELECT w.doc_id, any_value(len(ws))::BIGINT AS n_words, count(label) AS n_base, min(start)::BIGINT AS first_word, max(start)::BIGINT AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM w LEFT JOIN h ON w.doc_id = h.doc_id GROUP BY w.doc_id
+"""
+
+PERSONAL_BASE = r"""
+WITH pat(kind, ord, rx) AS (VALUES
+  ('email', 0, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)'), ('ip', 1, '([0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+))'),
+  ('card', 2, '([0-9](?:[\x20-]?[0-9])+)'), ('phone', 3, '(\+[0-9][\x20().0-9-]+[0-9])')),
+cut AS (
+  SELECT doc_id, kind, ord, string_split(regexp_replace(coalesce(text, ''), rx, chr(1) || '\1' || chr(1), 'g'), chr(1)) AS ps FROM documents, pat),
+piece AS (SELECT doc_id, kind, ord, unnest(ps) AS hit, generate_subscripts(ps, 1) AS n FROM cut),
+placed AS (
+  SELECT *, sum(length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY n) AS stop, regexp_replace(hit, '[^0-9]', '', 'g') AS digits FROM piece),
+found AS (
+  SELECT doc_id, kind, ord, (stop - length(hit))::BIGINT AS start, stop::BIGINT AS stop FROM placed
+  WHERE n % 2 = 0 AND CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS INT), 256) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i:
+      CASE WHEN i % 2 = 0 THEN digits[length(digits) - i]::INT ELSE 2 * digits[length(digits) - i]::INT - CASE WHEN digits[length(digits) - i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    ELSE length(digits) BETWEEN 9 AND 15 END)
+SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+       count(*) FILTER (kind = 'phone') AS n_phone, sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY ord, start), '')) AS base_sha256
+FROM documents d LEFT JOIN found ON d.doc_id = found.doc_id GROUP BY d.doc_id
+"""
+
+STATISTICS = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, {TOKEN}) AS ws FROM t),
+g AS (SELECT doc_id, i, array_to_string(ws[i : i + 4], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS place FROM twice) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, {TOKEN}) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+       len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+       len(ws) < 10 OR 100 * coalesce(covered.n, 0) > 20 * len(ws) AS base_failed
+FROM w LEFT JOIN l ON w.doc_id = l.doc_id LEFT JOIN covered ON w.doc_id = covered.doc_id
+"""

@@ -47,7 +47,7 @@ def _automaton():
     cues = ahocorasick.Automaton()
     for kind, words in _IDENTIFIERS.items():
         for word in words:
-            for spelled in {word, word.upper(), word.capitalize()}:
+            for spelled in {word, word.upper(), word.capitalize(), word.title()}:
                 cues.add_word(spelled, (kind, len(spelled)))
     for sign, kind in {"@": "at", "+": "plus", "://": "scheme", **{d: "digit" for d in "0123456789"}}.items():
         cues.add_word(sign, (kind, len(sign)))

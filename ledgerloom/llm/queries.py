@@ -52,7 +52,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *[count(k) for k in pii.BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), *[count(k) for k in pii.KINDS if k not in pii.BASE],
+    )
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,12 +93,30 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", "is_first")
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 owes to its contract alone."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 owes to its contract alone."""
+    return op4_personal_data(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in pii.BASE], "base_sha256")
+
+
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 owes to its contract alone."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", *quality.STATISTICS, "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_best_fit_packing, op3_exact_top_k, op4_personal_data, op5_source_mix, op6_url_filter,
-        op7_quality_rules, op8_token_files, op9_line_dedup, op10_ngram_jaccard_join,
+        op7_quality_rules, op8_token_files, op9_line_dedup, op10_ngram_jaccard_join, license_base, personal_data_base, quality_statistics,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": oracles.OP3, "op5_source_mix": oracles.OP5, "op6_url_filter": oracles.OP6, "op9_line_dedup": oracles.OP9, "op10_ngram_jaccard_join": oracles.OP10}
+    return {
+        "op3_exact_top_k": oracles.OP3, "op5_source_mix": oracles.OP5, "op6_url_filter": oracles.OP6, "op9_line_dedup": oracles.OP9, "op10_ngram_jaccard_join": oracles.OP10,
+        "license_base": oracles.LICENSE_BASE, "personal_data_base": oracles.PERSONAL_BASE, "quality_statistics": oracles.STATISTICS,
+    }

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from oracle import assert_same, connect
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import line_dedup, mixing, ngram_join, packing, queries, token_files, tokens, topk_search
+from ledgerloom.llm import common, line_dedup, mixing, ngram_join, packing, queries, token_files, tokens, topk_search
 from ledgerloom.llm.components import components
 
 
@@ -136,6 +136,18 @@ def test_local_search_saves_bins_among_many_underfull_ones():
     assert len(best) == 529 and len(after) <= 500  # at least 492
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(-300, 300), min_size=6, max_size=6), min_size=1, max_size=80), st.integers(1, 6), st.integers(1, 20))
+def test_shard_finds_the_best_for_any_threshold_that_k_reach(vectors, k, block):
+    x = np.array(vectors, dtype=np.int64)
+    shard = topk_search.Shard(np.arange(len(x)), np.ones(len(x), dtype=bool), x, block)
+    scores = x @ x[0]
+    wanted = sorted(range(1, len(x)), key=lambda i: (-scores[i], i))[:k]
+    for reached in (-np.inf, float(scores[wanted[-1]]) if len(wanted) == k else -np.inf):
+        places, found = shard.best(x[0], 0, k, reached)
+        assert (places.tolist(), found) == (wanted, [int(scores[i]) for i in wanted])
+
+
 def test_search_matches_sql_on_ties_and_bad_vectors(spark):
     nan = float("nan")
     rows = [(i, [float(i % 7) / 3, -0.5, 0.25 * (i % 3)]) for i in range(120)] + [(100, [9.0, 9.0, 9.0])]
@@ -147,7 +159,7 @@ def test_search_matches_sql_on_ties_and_bad_vectors(spark):
         scored = sorted(((-sum(a * b for a, b in zip(v, w)), i is None, i or 0, i) for i, w in kept if i != q))
         wanted += [(q, k + 1, s[3], -s[0]) for k, s in enumerate(scored[:5])]
     for shard in (16, 4096):
-        got = topk_search.top_k(df, shard_rows=shard, query_rows=2).collect()
+        got = topk_search.top_k(df, shard_rows=shard).collect()
         assert sorted((r["query_id"], r["rank"], r["score"], str(r["vec_id"])) for r in got) == sorted((q, k, s, str(i)) for q, k, i, s in wanted)
     assert topk_search.top_k(df.where("vec_id < 0")).count() == 0
     huge = spark.createDataFrame([(0, [3e18]), (1, [3e18]), (2, [-1.0])], "vec_id bigint, embedding array<double>")
@@ -172,6 +184,20 @@ def test_mixing_odd_documents(spark, odd_documents, no_documents):
     assert mixing.plan(no_documents).count() == 0 and mixing.mix(no_documents).count() == 0
 
 
+def test_rows_of_one_id_and_text_keep_their_sources_repeats(spark):
+    """Two sources share ids and texts; the mix of any order of the rows takes from each what the plan says."""
+    rows = [(i, f"w{i} a b c d", s, k) for i in range(200) for k, s in enumerate(("s1", "s2"))]
+    schema = "doc_id bigint, text string, source string, nr int"
+    wanted = None
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: (r[2], -r[0]))):
+        df = spark.createDataFrame(order, schema).repartition(3)
+        took = {r["source"]: r["t"] for r in mixing.plan(df, share=0.5).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+        got = sorted(tuple(r) for r in mixing.mix(df, share=0.5).collect())
+        assert {s: 5 * sum(g[2] == s for g in got) for s in took} == took
+        wanted = wanted or got
+        assert got == wanted
+
+
 def test_one_source_takes_its_cap(spark):
     df = spark.createDataFrame([(i, "a b", "s") for i in range(9)], "doc_id bigint, text string, source string")
     got = mixing.plan(df, share=5.0).collect()
@@ -263,6 +289,37 @@ def test_band_count_reaches_its_recall():
     assert 1 - (1 - 0.8**ngram_join.ROWS) ** bands >= 0.9999
 
 
+def test_near_duplicates_of_a_hot_group_and_of_null_texts(spark):
+    """A third of all rows is one text, a third has none."""
+    docs = [(i, "one two three four five six") for i in range(60)] + [(100 + i, None) for i in range(60)] + [(200 + i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(60)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [(r["class_id"], r["n_links"], r["is_first"]) for r in got] == [(0, 59, i == 0) for i in range(60)] + [(i, 0, True) for i in range(100, 160)] + [(i, 0, True) for i in range(200, 260)]
+
+
+def test_spread_join_is_a_join(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 99, i) for i in range(200)] + [(None, -1)], "k int, i int")
+    keyed = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("most")).where("k IS NULL OR k < 99 AND k > 1 OR k = 99")
+    for parts in (1, 4, 1024):
+        got = common.spread_join(rows, keyed, ["k"], parts=parts)
+        assert sorted(map(tuple, got.select("k", "i", "most").collect())) == sorted(map(tuple, rows.join(keyed, "k").select("k", "i", "most").collect()))
+        semi = common.spread_join(rows, keyed, ["k"], "left_semi", parts=parts)
+        assert sorted(map(tuple, semi.collect())) == sorted(map(tuple, rows.join(keyed, "k", "left_semi").collect()))
+
+
+def test_a_pipeline_stage_deletes_no_other_result(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    packed = queries.op2_best_fit_packing(spark, sf_dir)
+    count = packed.count()
+    first = corpus_pipeline.STAGES[1][1](spark, docs, sf_dir)
+    left = first.count()
+    corpus_pipeline.STAGES[1][1](spark, docs, sf_dir).count()
+    assert (packed.count(), first.count()) == (count, left)
+    corpus_pipeline.run(spark, sf_dir).count()
+    assert packed.count() == count
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300), (5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

@@ -55,6 +55,31 @@ def test_license_rules_overlap_and_odd_texts(spark, odd_documents, no_documents)
     assert license_scan.scan_licenses(no_documents).count() == 0
 
 
+def test_license_scan_of_very_many_matches(spark):
+    """A text of 100,000 matches of one rule, and others'."""
+    text = "all rights reserved copyright 2020 x " * 50_000
+    (r,) = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert r["n_words"] == 300_000 and len(r["base"]) == 50_000 and len(r["found"]) == 100_000
+    assert [d["start"] for d in r["found"][:4]] == [0, 3, 6, 9]
+
+
+def test_license_sentences(spark):
+    """What a rule needs at least stands in every match, so that no gate hides one."""
+    cases = {
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl-2.0",
+        "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa", "under the same terms as Perl itself": "artistic",
+        "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version": "gpl-2.0+",
+        "Neither the name of the Foo University nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
+        "This is free and unencumbered software released into the public domain": "unlicense", "released under the CreativeML OpenRAIL-M license": "openrail",
+        "the software shall be used for Good, not Evil": "json", "The Universal Permissive License (UPL) v1": "upl-1.0", "Unauthorized copying of this file is strictly prohibited": "proprietary",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    for r in license_scan.scan_licenses(df).collect():
+        text = list(cases)[r["id"]]
+        assert cases[text] in {d["label"] for d in r["found"]}, text
+        assert sorted((d["start"], d["length"], d["label"]) for d in r["found"]) == sorted((d[0], d[1], d[4]) for d in plain_license(text)[2])
+
+
 def test_license_identifiers_of_real_tags(spark):
     tags = {
         "MIT": "mit", "Apache-2.0": "apache-2.0", "BSD-3-Clause": "bsd-3-clause", "BSD-2-Clause": "bsd-2-clause", "MPL-2.0": "mpl-2.0", "ISC": "isc", "EPL-2.0": "epl-2.0",
