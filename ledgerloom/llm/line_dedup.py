@@ -84,7 +84,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     # a document's runs are fewer than its lines; written, so that both sides of the join are dealt anew and repeated rows can be split
     runs = cut(runs.groupBy("doc", "k").agg(F.sort_array(F.collect_list(F.struct("b", "e"))).alias("runs")), "runs")
     rows = docs.select(col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("key"), whole_row(docs).alias("src"))
-    rows = rows.join(runs, F.col("id").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("k")), "left")
+    # one plan at every size: texts are dealt by document, never met by a table that grows with them
+    rows = rows.join(runs.hint("merge"), F.col("id").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("k")), "left")
     text = F.col("src").getField(text_col).cast("string")
     rows = rows.select("src", text.alias("text"), F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("lines"), F.coalesce("runs", F.array().cast("array<struct<b:int,e:int>>")).alias("runs"))
     size, n = F.size("lines"), F.size("runs")

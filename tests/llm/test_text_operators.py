@@ -13,11 +13,14 @@ from hypothesis import strategies as st
 from ledgerloom.llm import boosting, license_rules, license_scan, pii, quality, queries, url_filter
 
 
+LICENSE_RULES = [r | {"pattern": re.compile(r["pattern"])} for r in license_rules.rules()]
+
+
 def plain_license(text):
     w = plain.words(text)
     norm, found, base = " " + " ".join(w) + " ", [], []
-    for r in license_rules.rules():
-        for m in re.finditer(r["pattern"], norm):
+    for r in LICENSE_RULES:
+        for m in r["pattern"].finditer(norm):
             start, length = norm[: m.start()].count(" ") - 1, m[0].count(" ") + 1
             found.append((start, length, r["priority"], r["rule"], r["label"], r["score"]))
             if r["base"]:
