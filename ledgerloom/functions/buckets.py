@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.fixed import NON_REPORT_TERMS
 from ledgerloom.functions.text import normal, public_phrase
 
 # Fixed values of the evidence model.
@@ -12,7 +13,6 @@ SENTIMENTS = ("positive", "moderate", "negative")
 SEVERITIES = ("low", "medium", "high", "critical")
 METHOD_STATUSES = ("success", "no_results", "partial", "blocked", "broken", "stale", "low_confidence", "manual_review_needed", "disabled")
 DECISIVE_TERMS = ("crash", "bug", "broken", "failed", "regression")
-NON_REPORT_TERMS = ("release notes", "changelog", "what's new", "whats new", "announcement", "download", "version history", "new features")
 
 
 def _any(text: Column, terms: tuple[str, ...]) -> Column:
@@ -87,14 +87,23 @@ def severity_rank(c: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), severity(c)), F.lit(0)).cast("int")
 
 
+#: Verdicts in their order of risk.
+VERDICTS = ("AVOID", "WAIT", "TEST FIRST", "SECURITY UPDATE", "SAFE ENOUGH", "OFFICIAL ONLY", "INSUFFICIENT DATA", "MANUAL WATCH")
+
+
 def verdict_rank(label: Column) -> Column:
-    """Order of verdicts in risk lists: worst first."""
+    """Order of verdicts in risk lists: worst first, unknown ones last."""
     text, out = F.upper(F.coalesce(label, F.lit(""))), None
-    for i, word in enumerate(("AVOID", "WAIT", "TEST FIRST", "SAFE ENOUGH", "INSUFFICIENT", "OFFICIAL")):
+    for i, word in enumerate(VERDICTS):
         out = F.when(F.contains(text, F.lit(word)), i) if out is None else out.when(F.contains(text, F.lit(word)), i)
     return out.otherwise(99)
 
 
+def evidence_rank(count: Column) -> Column:
+    """Tier of a number of reports, 0 to 4."""
+    return F.when(count >= 33, 4).when(count >= 25, 3).when(count >= 8, 2).when(count > 0, 1).otherwise(0)
+
+
 def known_status(c: Column) -> Column:
     """A method status; anything unknown is broken."""
     text = F.lower(normal(c))

@@ -56,3 +56,18 @@ def relative_date(text: Column, captured: Column) -> Column:
 def since(today: Column, days: int) -> Column:
     """The day so many days ago, today if negative."""
     return F.date_sub(today.cast("date"), max(0, days))
+
+
+def normalize(c: Column, now: Column) -> Column:
+    """A feed's date as ISO text in UTC: ISO with Z as it is, RFC 822 converted, a day within the text at midnight, else the text; blank is now."""
+    text = F.trim(F.coalesce(c, F.lit("")))
+    mail = F.coalesce(
+        F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3},\s*", ""), r"\s(?:GMT|UTC|UT|Z)$", " +0000"), F.lit("d MMM yyyy HH:mm:ss Z")),
+        F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3},\s*", ""), r"\s(?:GMT|UTC|UT|Z)$", " +0000"), F.lit("d MMM yyyy HH:mm Z")),
+    )
+    day = F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1)
+    iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return (
+        F.when(text == "", iso(now.cast("timestamp"))).when(text.rlike("T.*Z$"), text).when(mail.isNotNull(), iso(mail))
+        .when(day != "", F.concat(day, F.lit("T00:00:00Z"))).otherwise(text)
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 
 import pandas as pd
 from pyspark.sql import Column
@@ -116,3 +117,72 @@ def number_word(n: Column) -> Column:
 def scrub_secrets(c: Column) -> Column:
     """Values of sensitive URL parameters as REDACTED."""
     return F.regexp_replace(c, r"(?i)([?&](?:access_token|token|api_?key|key|secret|password|sig|signature)=)[^&#\s]+", "$1REDACTED")
+
+
+def normal_notes(c: Column) -> Column:
+    """Release notes in a readable form: the heading of a generated list, pull requests and the changelog as links."""
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?im)^(#{1,6})\s+What['\u2019]s Changed\s*$", "$1 Changes")
+    c = F.regexp_replace(c, r"\s+by\s+(@[A-Za-z0-9_.-]+)\s+in\s+(https://github\.com/[^\s)]+/pull/(\d+))", " by $1 ([PR #$3]($2))")
+    return F.regexp_replace(c, r"(?im)^\*\*Full Changelog\*\*:\s*(https://github\.com/\S+)\s*$", "[Full changelog]($1)")
+
+
+def plain_markdown(c: Column, entities: bool = False) -> Column:
+    """Text of a Markdown body: no tags, headings, bullets, code marks or link targets."""
+    c = normal_notes(strip_tags(F.coalesce(c, F.lit("")), entities))
+    for pattern, to in ((r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"`([^`]+)`", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1")):
+        c = F.regexp_replace(c, pattern, to)
+    return collapse(c)
+
+
+def summarize(c: Column, most: int = 420) -> Column:
+    """The plain text of notes, cut at a word and ended with a point."""
+    plain = plain_markdown(c)
+    head = F.substring(plain, 1, most)
+    cut = F.when(F.contains(head, F.lit(" ")), F.regexp_extract(head, r"(?s)^(.*) [^ ]*$", 1)).otherwise(head)
+    short = F.concat(F.regexp_replace(cut, "[.,;:]+$", ""), F.lit("."))
+    none = "Official release notes were detected, but no summary has been generated yet."
+    return F.when(plain == "", F.lit(none)).when(F.length(plain) <= most, plain).otherwise(short)
+
+
+def truncate(c: Column, most: int = 140) -> Column:
+    """A public phrase of at most ``most`` characters before its mark."""
+    phrase = public_phrase(c)
+    return F.when(F.length(phrase) <= most, phrase).otherwise(F.concat(F.rtrim(F.substring(phrase, 1, most - 1)), F.lit("...")))
+
+
+def short_hash(*parts: Column, size: int = 16) -> Column:
+    """The first hex digits of the SHA-256 of the parts in a row: an id where a source has none."""
+    return F.substring(F.sha2(F.concat(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, size)
+
+
+def main_body(page: Column, least: int = 300, most: int = 9000) -> Column:
+    """Text of a page's article, else of its main part, if it is longer than ``least``; else empty."""
+    out = F.lit("")
+    for tag in ("main", "article"):
+        inner = strip_tags(F.regexp_extract(F.coalesce(page, F.lit("")), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), entities=False)
+        out = F.when(F.length(inner) > least, F.substring(inner, 1, most)).otherwise(out)
+    return out
+
+
+def json_strings(c: Column) -> Column:
+    """All strings of a JSON text, however deep, joined by spaces in order; built-in functions do not recurse."""
+
+    def walk(value) -> list[str]:
+        if isinstance(value, str):
+            return [value]
+        inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else []
+        return [s for v in inner for s in walk(v)]
+
+    @F.pandas_udf("string")
+    def strings(texts: pd.Series) -> pd.Series:
+        return texts.map(_json).map(lambda v: " ".join(walk(v)))
+
+    return strings(c)
+
+
+def _json(text: str | None):
+    """The value of a JSON text; null for bad or no text."""
+    try:
+        return json.loads(text) if isinstance(text, str) else None
+    except ValueError:
+        return None

@@ -20,7 +20,9 @@ def publish(df: DataFrame, path: str, valid: Column | None = None, fmt: str = "p
     """Write to a staging folder beside ``path``, check every row, and put it in place; returns the rows.
 
     If a row is not valid nothing changes: the staged files go and an error
-    says how many rows failed.
+    says how many rows failed. Folders cannot be exchanged in one step on
+    every store, so a reader may meet none for the moment between two renames;
+    if the second one fails, the first is taken back.
     """
     staged = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     fs, target = _fs(df, path)
@@ -33,9 +35,13 @@ def publish(df: DataFrame, path: str, valid: Column | None = None, fmt: str = "p
         if bad:
             raise ValueError(f"{bad} of {n} rows are not valid; nothing was published")
         old = _fs(df, f"{staged}-old")[1]
-        if fs.exists(target):
-            fs.rename(target, old)
-        fs.rename(stage, target)
+        had = fs.exists(target)
+        if had and not fs.rename(target, old):
+            raise OSError(f"{path} could not be set aside")
+        if not fs.rename(stage, target):
+            if had:
+                fs.rename(old, target)
+            raise OSError(f"{path} could not be put in place")
         fs.delete(old, True)
         return n
     finally:
@@ -44,7 +50,7 @@ def publish(df: DataFrame, path: str, valid: Column | None = None, fmt: str = "p
 
 def json_report(df: DataFrame, path: str) -> None:
     """Rows as JSON lines, null fields left out."""
-    df.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+    publish(df, path, fmt="json")
 
 
 def split_log(rows: DataFrame, path: str, reason: str = "exclusion_reason") -> None:
@@ -62,7 +68,7 @@ def documents(rows: DataFrame, fields: list[str], body: str = "body") -> DataFra
 
 def save_ledger(rows: DataFrame, path: str, source: str, newest: list[Column], most: int = 200) -> None:
     """The newest ids of each source."""
-    recent_only(rows, [source], newest, most).write.mode("overwrite").parquet(path)
+    publish(recent_only(rows, [source], newest, most), path)
 
 
 def fresh_if_all(rows: DataFrame, guards: dict[str, Column]) -> Column:

@@ -112,10 +112,10 @@ WITH m AS (SELECT user_id AS k, count(*) FILTER (event_type = 'view') AS views F
 SELECT c_custkey AS product_id, n_name AS company, coalesce(views, 0) AS views,
        CASE WHEN views IS NULL THEN 'no source' WHEN views = 0 THEN 'no views' ELSE 'collecting' END AS state
 FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN m ON c_custkey = k
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def staged_products(t: Tables):
     m = t.events.groupBy(F.col("user_id").alias("k")).agg(F.count_if(F.col("event_type") == "view").alias("views"))
-    idle = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    idle = t.customer.join(t.orders.where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     rows = idle.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(m, F.col("c_custkey") == F.col("k"), "left")
     state = F.when(F.col("views").isNull(), "no source").when(F.col("views") == 0, "no views").otherwise("collecting")
     return rows.select(F.col("c_custkey").alias("product_id"), F.col("n_name").alias("company"), F.coalesce("views", F.lit(0)).alias("views"), state.alias("state"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ledgerloom.operators import consensus, dedupe
 
@@ -20,34 +22,64 @@ def available_now(query, checkpoint: str):
 
 
 def ingest(stream: DataFrame, store: str, checkpoint: str, source: str, record: str, order: str, limit: int | None = None):
-    """Append records that the store does not hold, each batch's first ``limit`` a source; later ones wait in ``deferred``.
+    """Append records that the store does not hold, at most ``limit`` a source and batch; the others wait and come first in the next batch.
 
-    A batch is written under its id, so one that runs again after a failure
-    replaces its own files and appends nothing twice.
+    What waits is a table of its own (``deferred``), of which the last batch's
+    counts; a run that finds nothing new takes the next ones from it. A batch
+    is written under its id, so one that runs again after a failure replaces
+    its own files and appends nothing twice.
     """
 
-    def batch(rows: DataFrame, epoch: int) -> None:
-        spark = rows.sparkSession
-        stored = read_store(spark, store, rows.schema.simpleString(), before=epoch)
-        new = dedupe.keep_first(rows, [F.col(source), F.col(record)], [F.col(order)])
+    def take(rows: DataFrame, epoch: float) -> None:
+        spark, shape = rows.sparkSession, rows.schema
+        stored, waiting = read_store(spark, store, shape, before=epoch), read_deferred(spark, store, shape, before=epoch)
+        rows = rows.withColumn("_late", F.lit(1))
+        if waiting is not None:
+            rows = rows.unionByName(waiting.withColumn("_late", F.lit(0)))
+        new = dedupe.keep_first(rows, [F.col(source), F.col(record)], [F.col("_late"), F.col(order)])
         if stored is not None:
             new = new.join(stored.select(source, record).distinct(), [source, record], "left_anti")
         if limit:
-            new = dedupe.write_quota(new, source, F.lit(False), [F.col(order)], limit)
-            new.where("action = 'defer'").drop("action", "is_seen").write.mode("overwrite").parquet(f"{store}/deferred/epoch={epoch}")
+            new = dedupe.write_quota(new, source, F.lit(False), [F.col("_late"), F.col(order)], limit)
+            new.where("action = 'defer'").drop("action", "is_seen", "_late").write.mode("overwrite").parquet(f"{store}/deferred/epoch={epoch}")
             new = new.where("action = 'create'").drop("action", "is_seen")
-        new.write.mode("overwrite").parquet(f"{store}/records/epoch={epoch}")
+        new.drop("_late").write.mode("overwrite").parquet(f"{store}/records/epoch={epoch}")
+
+    took: list[int] = []
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        took.append(epoch)
+        take(rows, float(epoch))
+
+    run = available_now(stream.writeStream.foreachBatch(batch), checkpoint)
+    spark = stream.sparkSession
+    if limit and not took and (waiting := read_deferred(spark, store, stream.schema)) is not None and not waiting.isEmpty():
+        # between the last batch and the next one, whatever the number of such runs
+        last = _epochs(spark, f"{store}/deferred")[-1]
+        take(waiting.limit(0), (last + math.floor(last) + 1) / 2)
+    return run
+
+
+def _epochs(spark: SparkSession, folder: str) -> list[float]:
+    """The batch ids under a folder, ascending."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    return sorted(float(n.split("=", 1)[1]) for n in names if n.startswith("epoch="))
+
 
-    return available_now(stream.writeStream.foreachBatch(batch), checkpoint)
+def read_deferred(spark: SparkSession, store: str, schema: StructType | str, before: float | None = None) -> DataFrame | None:
+    """Rows that wait after the last batch (before ``before``), or None if no batch has deferred any."""
+    epochs = [e for e in _epochs(spark, f"{store}/deferred") if before is None or e < before]
+    return spark.read.schema(schema).parquet(f"{store}/deferred/epoch={epochs[-1]}") if epochs else None
 
 
-def read_store(spark: SparkSession, store: str, schema: str, before: int | None = None) -> DataFrame | None:
+def read_store(spark: SparkSession, store: str, schema: StructType | str, before: float | None = None) -> DataFrame | None:
     """Rows appended so far (by earlier batches than ``before``), or None if there are none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/records")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    rows = spark.read.parquet(f"{store}/records")
-    return (rows.where(F.col("epoch") < before) if before is not None else rows).drop("epoch")
+    epochs = [e for e in _epochs(spark, f"{store}/records") if before is None or e < before]
+    return spark.read.schema(schema).parquet(*[f"{store}/records/epoch={e}" for e in epochs]) if epochs else None
 
 
 def unseen(stream: DataFrame, keys: list[str], moment: str | None = None, delay: str = "30 days") -> DataFrame:

@@ -20,8 +20,21 @@ def test_ingest_appends_each_record_once(spark, tmp_path):
     land(spark, landing, [("p", "2", 0, False, "x"), ("p", "4", 1, False, "x"), ("p", "4", 2, False, "x")])
     incremental.ingest(stream(spark, landing), store, checkpoint, "pid", "record", "pos", limit=2)
     found = incremental.read_store(spark, store, SCHEMA)
-    assert sorted((r["pid"], r["record"]) for r in found.collect()) == [("p", "1"), ("p", "2"), ("p", "4"), ("q", "1")]
-    assert [r["record"] for r in spark.read.parquet(f"{store}/deferred").collect()] == ["3"]
+    assert sorted((r["pid"], r["record"]) for r in found.collect()) == [("p", "1"), ("p", "2"), ("p", "3"), ("p", "4"), ("q", "1")]
+    assert incremental.read_deferred(spark, store, SCHEMA).isEmpty()
+
+
+def test_deferred_records_are_taken_up_by_later_runs(spark, tmp_path):
+    landing, store, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "store", "ck"))
+    land(spark, landing, [("p", str(i), i, False, "x") for i in range(5)])
+    held = []
+    for _ in range(5):  # nothing new lands after the first run
+        incremental.ingest(stream(spark, landing), store, checkpoint, "pid", "record", "pos", limit=2)
+        held.append(sorted(r["record"] for r in incremental.read_store(spark, store, SCHEMA).collect()))
+    assert held == [["0", "1"], ["0", "1", "2", "3"], ["0", "1", "2", "3", "4"], ["0", "1", "2", "3", "4"], ["0", "1", "2", "3", "4"]]
+    land(spark, landing, [("p", "9", 0, False, "x"), ("p", "1", 0, False, "x")])
+    incremental.ingest(stream(spark, landing), store, checkpoint, "pid", "record", "pos", limit=2)
+    assert [r["record"] for r in incremental.read_store(spark, store, SCHEMA).where("pos = 0").orderBy("record").collect()] == ["0", "9"]
 
 
 def test_failure_states_carry_over(spark, tmp_path):
