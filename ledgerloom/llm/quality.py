@@ -37,7 +37,7 @@ _TABLES = {
 
 
 def _repeated(grams: np.ndarray) -> int:
-    """Words that lie in a window found twice or more."""
+    """Words that lie in a window found twice or more, by 64-bit hashes of the windows' word hashes."""
     if len(grams) < 6:  # fewer than two windows
         return 0
     grams = grams[: len(grams) - 4]
@@ -88,16 +88,33 @@ def _features_udf():
     return features
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, max_labels: int = 10_000, keep_share: float = 0.998, id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[Trees, float]:
+def held_out(x: np.ndarray, y: np.ndarray, folds: int = 3) -> np.ndarray:
+    """Each row's score by trees that were fitted without its fold."""
+    scores, fold = np.zeros(len(y)), np.arange(len(y)) % folds
+    for k in range(folds):
+        if (fold == k).any():
+            scores[fold == k] = fit(x[fold != k], y[fold != k], np.array(list(FEATURES.values()))).score(x[fold == k])
+    return scores
+
+
+def keep_limit(scores: np.ndarray, y: np.ndarray, good_weight: float = 10.0) -> float:
+    """The limit, 0.5 at most, at which good rows dropped (times the weight) and bad rows kept are fewest, as shares; of equal ones the lowest."""
+    if not len(y) or not (y == 1).any():
+        return 0.0
+    limits = np.linspace(0.02, 0.5, 49)
+    dropped = np.searchsorted(np.sort(scores[y == 1]), limits, side="left") / max(1, int((y == 1).sum()))
+    kept = 1 - np.searchsorted(np.sort(scores[y == 0]), limits, side="left") / max(1, int((y == 0).sum()))
+    return float(limits[int(np.argmin(good_weight * dropped + kept))])
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labels: int = 10_000, good_weight: float = 10.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[Trees, float]:
     """Trees for quality 1 and the score from which a document is kept.
 
     At most ``max_labels`` labelled ids are used, those with the smallest hash;
     an id with several labels counts as its lowest, one with several texts as
-    its first. The limit is 0.5, or lower if that would drop more than 1 -
-    ``keep_share`` of the sample's good documents. Without usable labels every
-    document is kept.
+    its first. The limit is chosen on held-out folds by both errors
+    (:func:`keep_limit`); a good document dropped weighs ``good_weight`` bad
+    ones kept. Without usable labels every document is kept.
     """
     sample = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
     sample = sample.orderBy(F.xxhash64("id"), "id").limit(max_labels)
@@ -108,16 +125,15 @@ def train(
     x = np.array([r["x"] for r in rows], dtype=float).reshape(-1, len(FEATURES))
     y = np.array([float(r["quality"] > 0) for r in rows])
     trees = fit(x, y, np.array(list(FEATURES.values())))
-    good = trees.score(x[y == 1]) if len(rows) else np.zeros(0)
-    return trees, min(0.5, float(np.quantile(good, 1 - keep_share))) if len(good) else 0.0
+    return trees, keep_limit(held_out(x, y), y, good_weight) if len(rows) else 0.0
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All rows with the statistics, ``base_failed``, ``score`` and ``kept``.
 
     Words are runs outside ``[\\x20\\x09-\\x0D]``. ``base_failed``: fewer than 10
-    words, or over 20% of them in repeated 5-word windows. Null text counts as
-    empty, so it fails. Rows are judged one by one, so ties and repeated rows
+    words, or over 20% of them in repeated 5-word windows. Whole texts are
+    measured, however long. Null text counts as empty, so it fails. Rows are judged one by one, so ties and repeated rows
     make no difference; an empty table gives an empty result; input columns
     named like the added ones are replaced.
     """
