@@ -200,18 +200,25 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """Single tokens: ``doc_id, place, token`` for each ``doc_id, place`` of ``wanted`` that exists."""
+    """Single tokens: ``doc_id, place, token`` for each ``doc_id, place`` of ``wanted`` that exists.
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, places, ats, payloads = batch.columns
-            found = [int(Segment(p.as_buffer()).get(np.array([a.as_py()]))[0]) for a, p in zip(ats, payloads)]
-            yield pa.RecordBatch.from_arrays([ids, places, pa.array(found, pa.int64())], names=["doc_id", "place", "token"])
+    Documents' places are joined first; each segment with wanted tokens is
+    then read once, with all of its places.
+    """
+
+    def tokens(segments: pa.Table, places: pa.Table) -> pa.Table:
+        found = np.zeros(len(places), dtype=np.int64)
+        if len(segments) and len(places):
+            found = Segment(segments["payload"][0].as_buffer()).get(places["at"].to_numpy()).astype(np.int64)
+        return pa.table({"doc_id": places["doc_id"], "place": places["place"], "token": pa.array(found)})
 
     docs = _segments(spark, path).withColumn("ends", F.concat(F.slice("starts", 2, F.size("starts")), F.array("tokens")))
-    docs = docs.select("payload", F.explode(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("starts").alias("a"), F.col("ends").alias("b"))).alias("d"))
+    docs = docs.select("part", "segment", F.explode(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("starts").alias("a"), F.col("ends").alias("b"))).alias("d"))
     found = docs.join(wanted.select("doc_id", "place"), (F.col("d.doc_id") == F.col("doc_id")) & (F.col("place") >= 0) & (F.col("d.a") + F.col("place") < F.col("d.b")))
-    return found.select("doc_id", "place", (F.col("d.a") + F.col("place")).alias("at"), "payload").mapInArrow(tokens, "doc_id long, place long, token long")
+    found = found.select("part", "segment", "doc_id", "place", (F.col("d.a") + F.col("place")).alias("at"))
+    touched = found.select("part", "segment").distinct()
+    read = _segments(spark, path).join(touched, ["part", "segment"], "left_semi").select("part", "segment", "payload")
+    return read.groupBy("part", "segment").cogroup(found.groupBy("part", "segment")).applyInArrow(tokens, "doc_id long, place long, token long")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,11 +9,21 @@ pre-tokens here and given to the library's model; all other words
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
 import numpy as np
 
+#: The normaliser and pre-tokenizer for which words can be encoded by themselves as below.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: No apostrophe (it opens contractions) and no "<" (it opens special tokens).
 _PLAIN_WORD = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 _LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
@@ -59,21 +69,28 @@ class _Words(dict):
 class TextEncoder:
     """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    Made for files whose pre-tokenizer never joins characters across a space
-    or a line feed and drops both, as ``word_bpe_49k.json`` does; the tests
-    compare it with the library on arbitrary texts. ``most`` bounds the
-    remembered words and pre-tokens of a worker; the first ones, which hold
-    the frequent ones, stay.
+    Words are encoded by themselves if the file's normaliser and pre-tokenizer
+    are the ones above, which never join characters across a space or a line
+    feed and drop both; the tests compare it with the library on arbitrary
+    texts. With any other file whole texts go to the library. ``most`` bounds
+    the remembered words and the remembered pre-tokens of a worker (about 100
+    MB each when full); the first ones, which hold the frequent ones, stay.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int, most: int = 500_000):
         from tokenizers import Tokenizer
 
-        self._ids = _Words(Tokenizer.from_file(tokenizer_path), most).__getitem__
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        file = json.loads(tokenizer.to_str())
+        self.by_words = file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == PRE_TOKENIZER and file["model"]["type"] == "BPE"
+        self._whole = tokenizer
+        self._ids = _Words(tokenizer, most).__getitem__
         self._end = np.array([end_id], dtype="<u4").tobytes()
 
     def document(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text (null: empty), then the end id."""
+        if not self.by_words:
+            return np.array(self._whole.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes() + self._end
         return b"".join(map(self._ids, (text or "").replace("\n", " ").split(" "))) + self._end
 
 

@@ -36,7 +36,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", broadcas
     subdomains where the URL's path starts with the rule's. In each rank the
     longest fitting rule wins (host and path together; of equal ones ``block``).
     ``hits`` is an array by rank of ``length, verdict, rule``. Null URLs and those without ``://`` have
-    empty host and path and fit no rule. Repeated rows are judged one by one;
+    empty host and path and fit no rule; URLs of any length are judged whole. Repeated rows are judged one by one;
     rules that repeat change nothing; empty tables are fine; input columns named
     like the added ones are replaced. Up to ``broadcast_rules`` rules are
     broadcast; more are dealt by hash, the URLs' side salted.

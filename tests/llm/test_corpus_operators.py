@@ -1,6 +1,7 @@
 """Packing, search, mixing, token files, line dedup, n-gram join, pipeline: against plain versions and on odd inputs."""
 
 import itertools
+import json
 
 import numpy as np
 import pytest
@@ -34,6 +35,18 @@ def encoder_library(path, held={}):
     return held.setdefault(path, Tokenizer.from_file(path))
 
 
+def test_other_tokenizer_files_go_to_the_library(tmp_path, tokenizer_file, tokenizer):
+    assert tokens.encoder(tokenizer_file, 1).by_words
+    file = json.loads(tokenizer.to_str())
+    file["normalizer"] = {"type": "Lowercase"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(file))
+    other, library = tokens.TextEncoder(str(path), 1), encoder_library(str(path))
+    assert not other.by_words
+    for text in ("Été\u0301 x\t y", "a b", "", None):
+        assert np.frombuffer(other.document(text), "<u4").tolist() == plain.encode(library, text)
+
+
 def test_special_token_strings(tokenizer_file, tokenizer):
     for text in ("a<|endoftext|>b", "<|startoftext|> x", "it's we'll", None, ""):
         assert np.frombuffer(tokens.encoder(tokenizer_file, 1).document(text), "<u4").tolist() == plain.encode(tokenizer, text)
