@@ -60,6 +60,37 @@ def most_specific(text: Column) -> Column:
     return F.array_max(F.transform(all_mentions(text), rank))["v"]
 
 
+# Forms of the video suite's versions, once the product's name is off.
+_SUITE_PREFIX = r"(?i)^(?:blackmagic\s+)?(?:davinci\s+resolve|davinci|resolve)(?:\s+studio)?\s+(?:version\s+)?"
+_SUITE_BETA = r"(?i)^v?(\d{1,2})(?:\.(\d+))?(?:\.(\d+))?\s*(?:public\s+beta\s*|beta\s*|b\s*)(\d+)(?:\s+build\s+\d+)?$"
+_SUITE_STABLE = r"(?i)^v?(\d{1,2})(?:\.(\d+))?(?:\.(\d+))?$"
+
+
+def normalize_suite(raw: Column) -> Column:
+    """``struct(version, is_beta, beta_number, major, minor, rejected, reason)`` of the video suite's version in any of its written forms.
+
+    Betas become ``<major> Public Beta <n>``; abbreviations, wildcards, the
+    tier's name alone, betas without a number and anything else are rejected with the reason.
+    """
+    text = F.trim(F.coalesce(raw, F.lit("")))
+    core = F.trim(F.regexp_replace(F.regexp_replace(text, _SUITE_PREFIX, ""), r"(?i)\s+studio$", ""))
+    beta, stable = (lambda g: F.regexp_extract(core, _SUITE_BETA, g)), (lambda g: F.regexp_extract(core, _SUITE_STABLE, g))
+    points = lambda part: F.nullif(F.concat_ws(".", F.nullif(part(2), F.lit("")), F.nullif(part(3), F.lit(""))), F.lit(""))
+    reason = (
+        F.when(text == "", "empty_or_invalid_input").when(core.rlike(r"(?i)^dr\s*\d"), "abbreviation_dr_ambiguous").when(core.rlike(r"(?i)\d\.x"), "wildcard_version")
+        .when(F.lower(core).isin("studio", ""), "studio_tier_not_a_version").when(core.rlike(r"(?i)^v?\d{1,2}(?:\.\d+)*\s*(?:public\s+)?(?:beta|b)$"), "ambiguous_beta_no_number")
+        .when((beta(4) == "") & (stable(1) == ""), "unrecognized_version_format")
+    )
+    is_beta = beta(4) != ""
+    number = lambda c: c.try_cast("int")
+    name = F.when(is_beta, F.concat_ws(" ", number(beta(1)).cast("string"), F.lit("Public Beta"), number(beta(4)).cast("string"))).otherwise(F.concat_ws(".", number(stable(1)).cast("string"), points(stable)))
+    ok = reason.isNull()
+    return F.struct(
+        F.when(ok, name).alias("version"), F.when(ok, is_beta).alias("is_beta"), F.when(ok & is_beta, number(beta(4))).alias("beta_number"),
+        F.when(ok, F.coalesce(number(beta(1)), number(stable(1)))).alias("major"), F.when(ok, F.coalesce(points(beta), points(stable))).alias("minor"), (~ok).alias("rejected"), reason.alias("reason"),
+    )
+
+
 def normalize_release(raw: Column, product: str) -> Column:
     """``struct(version, channel)`` of a release title, or null: the product's name off, beta forms told apart.
 

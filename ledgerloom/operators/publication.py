@@ -420,3 +420,68 @@ def decision_label(official_only: Column, count: Column, label: Column, summary:
     before = lambda c: F.when(F.contains(F.coalesce(c, F.lit("")), F.lit(":")), F.trim(F.element_at(F.split(c, ":"), 1)))
     shown = F.coalesce(known(label), before(summary), before(verdict), F.lit("INSUFFICIENT DATA"))
     return F.when(official_only & (F.coalesce(count, F.lit(0)) == 0), "INSUFFICIENT DATA").otherwise(shown)
+
+
+# What a record with reports tells its readers, by product and state: label, advice, recommendations.
+ADVICE = {
+    ("blackmagic-davinci", "beta"): (
+        "WAIT for production systems",
+        "Use this beta only for non-critical testing. Active client projects should stay on a known-good stable build unless a Resolve 21 beta feature is worth the risk.",
+        ("Wait for production systems unless you have a specific Resolve 21 beta feature to test.", "Test beta projects separately from active client work and keep a known-good Resolve version available.",
+         "Review the user report sample before using this build on deadline-sensitive work."),
+    ),
+    ("blackmagic-davinci", "stable"): (
+        "WAIT", "{themes} Production editors with active delivery deadlines should wait or test on copied projects.",
+        ("Wait if you have active render/export deadlines.", "Test on copied projects before moving client work to this version.", "Review the sample reports before updating a production workstation."),
+    ),
+    ("obs-studio", "archived"): (
+        "WAIT", "{name} {version} is archived. Use a newer maintained OBS build unless you need this version for rollback testing or reproduction.",
+        ("Test with a backup scene collection and profile before production use.", "Check plugin, capture-device, and audio-routing behavior before a live stream or paid recording.",
+         "Keep a rollback installer available if your setup is already stable."),
+    ),
+    ("obs-studio", "current"): (
+        "TEST FIRST",
+        "Test on a backup profile before using this OBS build for live streams or important recordings, especially if your setup depends on plugins, capture devices, audio routing, or large scene collections.",
+        ("Test with a backup scene collection and profile before production use.", "Check plugin, capture-device, and audio-routing behavior before a live stream or paid recording.",
+         "Keep a rollback installer available if your setup is already stable."),
+    ),
+    ("adobe-premiere-pro", "any"): (
+        "WAIT", "{themes} Editors with active deadlines should wait or test on copied projects before moving production work to this build.",
+        ("Wait if you are in the middle of deadline-sensitive editing work.", "Test on copied projects before moving active client timelines to this version.",
+         "Keep a rollback path available if your current Premiere Pro build is stable."),
+    ),
+}
+
+
+def coherence(product: Column, version: Column, count: Column, name: Column, status: Column, themes: Column) -> Column:
+    """``struct(quick_verdict, label, body, recommendations)`` of a record with reports, by product and state; null for others and without reports."""
+    beta, archived = versions.channel(version) == "beta", F.lower(normal(status)) == "archived"
+    states = {"beta": beta, "stable": ~beta, "archived": archived, "current": ~archived, "any": F.lit(True)}
+    out = None
+    for (pid, state), (label, body, advice) in ADVICE.items():
+        told = F.lit(body)
+        for mark, value in (("{themes}", cluster_sentence(themes)), ("{name}", name), ("{version}", version)):
+            told = F.replace(told, F.lit(mark), value)
+        reports = F.when((count == 1) & (product == "adobe-premiere-pro"), "report").otherwise("reports")
+        kind = F.lit(" is a beta build with " if state == "beta" else " has ")
+        verdict = F.concat(F.lit(f"{label}: "), name, F.lit(" "), version, kind, count.cast("string"), F.lit(" user "), reports, F.lit(" found."))
+        made = F.struct(verdict.alias("quick_verdict"), F.lit(label).alias("label"), told.alias("body"), F.array(*map(F.lit, advice)).alias("recommendations"))
+        case = (product == pid) & states[state] & (count > 0)
+        out = F.when(case, made) if out is None else out.when(case, made)
+    return out
+
+
+def active(flags: dict[str, str], products: dict[str, str]) -> list[str]:
+    """Products whose collectors run: those without a flag, and those whose flag is exactly ``true``."""
+    return [product for product, name in products.items() if not name or flags.get(name) == "true"]
+
+
+def card_enrichment(cards: DataFrame, pages: DataFrame, products: DataFrame, companies: DataFrame) -> DataFrame:
+    """Cards (``url, product_name``) with the page of their URL, else the product of their name, then its company and the first logo that is known."""
+    by_url = pages.select(F.col("url"), F.col("product_id").alias("_by_url")).dropDuplicates(["url"])
+    by_name = products.select(F.lower("name").alias("_name"), F.col("product_id").alias("_by_name")).dropDuplicates(["_name"])
+    rows = cards.withColumn("_name", F.lower("product_name")).join(by_url, "url", "left").join(by_name, "_name", "left")
+    rows = rows.withColumn("product_id", F.coalesce("_by_url", "_by_name")).drop("_by_url", "_by_name", "_name")
+    rows = rows.join(products.select("product_id", "company_id", F.col("logo").alias("_own")), "product_id", "left")
+    rows = rows.join(companies.select("company_id", F.col("company"), F.col("logo").alias("_company")), "company_id", "left")
+    return rows.withColumn("logo", text.first_known(F.col("_own"), F.col("_company"))).drop("_own", "_company")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import reconcile
 from ledgerloom.operators.dedupe import recent_only
 
 
@@ -74,3 +75,29 @@ def save_ledger(rows: DataFrame, path: str, source: str, newest: list[Column], m
 def fresh_if_all(rows: DataFrame, guards: dict[str, Column]) -> Column:
     """Whether every row holds every guard (an empty table does not)."""
     return F.coalesce(F.every(F.array_min(F.array(*[F.coalesce(g, F.lit(False)) for g in guards.values()]))), F.lit(False))
+
+
+def transact(stored: DataFrame, produced: DataFrame, path: str, owner: dict[str, set[str]], valid: Column, keys: list[str]) -> tuple[bool, str]:
+    """Publish what one collector produced, or nothing: whether it was, and why not.
+
+    Rows outside the collector's allow-lists, stored rows that are changed or
+    gone, invalid rows and repeated keys each leave the stored table as it is.
+    """
+    bad = reconcile.ownership_violations(stored, produced, owner)
+    if (row := bad.groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason").first()) is not None:
+        return False, f"{row['reason']}: {row['n']}"
+    if (n := produced.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").count()) > 0:
+        return False, f"repeated keys: {n}"
+    try:
+        publish(produced, path, valid)
+    except ValueError as error:
+        return False, str(error)
+    return True, ""
+
+
+def refresh_dates(records: DataFrame, verified: DataFrame, key: list[str], expected: int, guards: dict[str, Column], now: Column, field: str = "evidence_last_checked") -> DataFrame:
+    """Records with one date set for the confirmed key, if the number of verified rows is the expected one and all hold every guard; else as they are."""
+    per = verified.groupBy(*key).agg(F.count("*").alias("_n"), fresh_if_all(verified, guards).alias("_ok"))
+    rows = records.join(per, key, "left")
+    ok = F.coalesce((F.col("_n") == expected) & F.col("_ok"), F.lit(False))
+    return rows.withColumn(field, F.when(ok, now.cast("string")).otherwise(F.col(field))).drop("_n", "_ok")

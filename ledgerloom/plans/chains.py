@@ -88,10 +88,11 @@ _SQL = " UNION ALL ".join(
 
 @query(_SQL)
 def product_chains(t: Tables):
-    """Reasons of the chains on line items that stand for cases (at most twenty a product, so their table is broadcast)."""
+    """Reasons of the chains on line items that stand for cases: each case is judged once, its lines take the reason (at most twenty rows a product are broadcast)."""
     out = None
     for k, (product, (_, cases)) in enumerate(CASES.items()):
+        judged = products.decide(candidates(t.spark, product), product).select("n", "product_id", "exclusion_reason")
         lines = t.lineitem.where(F.col("l_suppkey") % len(CASES) == k).select("l_orderkey", "l_linenumber", (F.col("l_partkey") % len(cases)).cast("int").alias("n"))
-        rows = products.decide(lines.join(F.broadcast(candidates(t.spark, product)), "n"), product).select("l_orderkey", "l_linenumber", "product_id", "exclusion_reason")
+        rows = lines.join(F.broadcast(judged), "n").drop("n")
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates
 from ledgerloom.operators import consensus, dedupe, health, temporal, views
+from ledgerloom.streaming import incremental
 from ledgerloom.registry import Tables, query
 
 NOW = "TIMESTAMP '2024-07-01 00:00:00'"
@@ -160,3 +163,15 @@ def status_changes(t: Tables):
 
     was = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return t.events.withColumn("was", was).where(~F.col("was").eqNullSafe(F.col("event_type"))).select("user_id", "event_id", "event_type")
+
+
+@query("""
+SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""")
+def seen_ledger_stream(t: Tables):
+    """The first event of each user and kind, appended by a stream that reads what has landed, batch by batch; a second run adds nothing."""
+    folder = f"{incremental.work_folder(t.spark)}/seen-{uuid.uuid4().hex}"
+    shape = t.events.schema
+    landed = t.spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(t.folder)
+    for _ in range(2):
+        incremental.ingest(landed, f"{folder}/store", f"{folder}/checkpoint", "user_id", "event_type", "ts")
+    return incremental.read_store(t.spark, f"{folder}/store", shape).select("user_id", "event_type", "event_id")

@@ -14,6 +14,16 @@ from pyspark.sql.types import StructType
 from ledgerloom.operators import consensus, dedupe
 
 
+def work_folder(spark: SparkSession) -> str:
+    """Where stores and checkpoints of registered streams go: ``spark.checkpoint.dir``, which only a local master may leave unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "/tmp/ledgerloom-streams"
+    return f"{folder.rstrip('/')}/ledgerloom-streams"
+
+
 def available_now(query, checkpoint: str):
     """Run a streaming writer over what has arrived, then stop; the checkpoint remembers it."""
     run = query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
