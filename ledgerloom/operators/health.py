@@ -56,6 +56,12 @@ def failure_streaks(runs: DataFrame, keys: tuple[str, ...], order: tuple[str, ..
     return runs.withColumn("state", state).drop("_failed", "_island")
 
 
+def changes(rows: DataFrame, keys: list[str], order: list[str], status: str) -> DataFrame:
+    """Rows whose status is another than that of the row before (the first of a key always)."""
+    was = F.lag(status).over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_was", was).where(~F.col("_was").eqNullSafe(F.col(status))).drop("_was")
+
+
 def status_totals(rows: DataFrame, status: str, classes: tuple[str, ...]) -> DataFrame:
     """Counts of a fixed list of statuses, zeros included."""
     spark = rows.sparkSession

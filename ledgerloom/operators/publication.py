@@ -483,5 +483,20 @@ def card_enrichment(cards: DataFrame, pages: DataFrame, products: DataFrame, com
     rows = cards.withColumn("_name", F.lower("product_name")).join(by_url, "url", "left").join(by_name, "_name", "left")
     rows = rows.withColumn("product_id", F.coalesce("_by_url", "_by_name")).drop("_by_url", "_by_name", "_name")
     rows = rows.join(products.select("product_id", "company_id", F.col("logo").alias("_own")), "product_id", "left")
-    rows = rows.join(companies.select("company_id", F.col("company"), F.col("logo").alias("_company")), "company_id", "left")
+    rows = rows.join(companies.withColumnRenamed("logo", "_company"), "company_id", "left")
     return rows.withColumn("logo", text.first_known(F.col("_own"), F.col("_company"))).drop("_own", "_company")
+
+
+def payload_totals(rows: DataFrame, keys: list[str], included: Column) -> DataFrame:
+    """Groups, rows, included and excluded rows, and groups of which none is included: one aggregation a group, then one over all."""
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~F.coalesce(included, F.lit(False))).alias("x"))
+    left = F.col("n") - F.col("x")
+    return groups.agg(
+        F.count("*").alias("groups"), F.sum("n").alias("rows_seen"), F.sum(left).alias("included"), F.sum("x").alias("excluded"), F.count_if(left == 0).alias("empty_groups")
+    )
+
+
+def method_outcomes(runs: DataFrame, keys: list[str], failed: Column) -> DataFrame:
+    """Number of methods and of failed ones of each key, and the outcome: failed if all did, partial if one did."""
+    counts = runs.groupBy(*keys).agg(F.count("*").alias("methods"), F.count_if(failed).alias("failed"))
+    return counts.withColumn("outcome", F.when(F.col("failed") == F.col("methods"), "failed").when(F.col("failed") > 0, "partial").otherwise("success"))

@@ -70,3 +70,10 @@ def ownership_violations(before: DataFrame, after: DataFrame, allowed: dict[str,
     for name, values in allowed.items():
         outside = outside | ~F.coalesce(F.col(name).isin(*sorted(values)), F.lit(False))
     return gone.unionByName(new.where(outside).withColumn("reason", F.lit("new_row_outside_allow_list")))
+
+
+def set_parts(a: DataFrame, b: DataFrame, only: str) -> DataFrame:
+    """Sizes of the difference, the intersection and the union of two sets of rows (both sides' columns alike)."""
+    both = a.distinct().withColumn("_a", F.lit(True)).join(b.distinct().withColumn("_b", F.lit(True)), a.columns, "full_outer")
+    counts = both.agg(F.count_if(F.col("_b").isNull()).alias("only"), F.count_if(F.col("_a") & F.col("_b")).alias("both"), F.count("*").alias("either"))
+    return counts.select(F.expr(f"stack(3, '{only}', only, 'both', both, 'either', either) AS (part, n)"))

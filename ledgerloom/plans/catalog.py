@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import consensus, dedupe, health, records, temporal, views
+from ledgerloom.operators import consensus, dedupe, health, publication, records, temporal, views
 from ledgerloom.registry import Tables, query
+from ledgerloom.sources import release_pages
 
 
 @query("""
@@ -13,11 +14,8 @@ WITH g AS (SELECT l_partkey, count(*) AS n, count(*) FILTER (l_discount > 0.05)
 SELECT count(*) AS groups, sum(n)::BIGINT AS rows_seen, sum(n - excluded)::BIGINT AS included, sum(excluded)::BIGINT AS excluded,
        count(*) FILTER (n - excluded = 0) AS empty_groups FROM g""")
 def run_payload_totals(t: Tables):
-    groups = t.lineitem.groupBy("l_partkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("x"))
-    left = F.col("n") - F.col("x")
-    return groups.agg(
-        F.count("*").alias("groups"), F.sum("n").alias("rows_seen"), F.sum(left).alias("included"), F.sum("x").alias("excluded"), F.count_if(left == 0).alias("empty_groups")
-    )
+    rows = t.lineitem.select("l_partkey", (F.col("l_discount") <= 0.05).alias("included"))
+    return publication.payload_totals(rows, ["l_partkey"], F.col("included"))
 
 
 @query("""
@@ -32,11 +30,10 @@ SELECT l_partkey AS product_id, count(*) FILTER (l_linestatus = 'O') AS active,
        count(*) FILTER (l_linestatus = 'O' AND l_quantity > 45) AS safeguards, bool_or(l_linestatus = 'O') AS known_issues_present
 FROM lineitem GROUP BY l_partkey""")
 def product_issue_rollup(t: Tables):
-    open_, done = F.col("l_linestatus") == "O", F.col("l_linestatus") == "F"
-    return t.lineitem.groupBy(F.col("l_partkey").alias("product_id")).agg(
-        F.count_if(open_).alias("active"), F.count_if(done).alias("resolved"), F.count_if(open_ & (F.col("l_quantity") > 45)).alias("safeguards"),
-        F.bool_or(open_).alias("known_issues_present"),
-    )
+    state = F.when(F.col("l_linestatus") == "O", "active").otherwise("resolved")
+    hold = F.when((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 45), "1").otherwise("")
+    issues = t.lineitem.select(F.col("l_partkey").alias("product_id"), state.alias("state"), hold.alias("safeguard_id"))
+    return release_pages.issue_counts(issues, ["product_id"]).withColumn("known_issues_present", F.col("active") > 0).drop("n")
 
 
 @query("""
@@ -56,9 +53,13 @@ def candidate_histograms(t: Tables):
 SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_name END, n_name, r_name) AS logo, n_name AS company, r_name AS category
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 def card_enrichment(t: Tables):
-    rows = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    logo = F.coalesce(F.when(F.col("c_acctbal") > 5000, F.col("c_name")), "n_name", "r_name")
-    return rows.select("c_custkey", logo.alias("logo"), F.col("n_name").alias("company"), F.col("r_name").alias("category"))
+    key = F.col("c_custkey").cast("string")
+    cards = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, key).alias("url"), F.upper("c_name").alias("product_name"))
+    pages = t.customer.where("c_custkey % 2 = 0").select(key.alias("url"), key.alias("product_id"))
+    products = t.customer.select(key.alias("product_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("company_id"), F.when(F.col("c_acctbal") > 5000, F.col("c_name")).alias("logo"))
+    companies = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    companies = companies.select(F.col("n_nationkey").alias("company_id"), F.col("n_name").alias("company"), F.col("r_name").alias("category"), F.coalesce("n_name", "r_name").alias("logo"))
+    return publication.card_enrichment(cards, pages, products, companies).select("c_custkey", "logo", "company", "category")
 
 
 @query("""
@@ -115,10 +116,7 @@ SELECT o_custkey AS product_id, count(*) AS methods, sum(CASE WHEN o_orderstatus
        CASE WHEN count(*) = sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) THEN 'failed' WHEN bool_or(o_orderstatus = 'P') THEN 'partial' ELSE 'success' END AS outcome
 FROM orders GROUP BY o_custkey""")
 def run_outcomes(t: Tables):
-    failed = F.count_if(F.col("o_orderstatus") == "P")
-    runs = t.orders.groupBy(F.col("o_custkey").alias("product_id")).agg(F.count("*").alias("methods"), failed.alias("failed"))
-    outcome = F.when(F.col("failed") == F.col("methods"), "failed").when(F.col("failed") > 0, "partial").otherwise("success")
-    return runs.withColumn("outcome", outcome)
+    return publication.method_outcomes(t.orders.select(F.col("o_custkey").alias("product_id"), F.col("o_orderstatus")), ["product_id"], F.col("o_orderstatus") == "P")
 
 
 @query("""

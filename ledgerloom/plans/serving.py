@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import buckets, text, versions
-from ledgerloom.operators import views
+from ledgerloom.operators import reconcile, views
 from ledgerloom.registry import Tables, query
 
 
@@ -95,8 +95,7 @@ UNION ALL SELECT 'both', count(*) FROM (SELECT o_custkey FROM orders INTERSECT S
 UNION ALL SELECT 'either', count(*) FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
 def set_algebra(t: Tables):
     a, b = t.orders.select(F.col("o_custkey").alias("k")), t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
-    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
-    return count(a.subtract(b), "only_orders").unionByName(count(a.intersect(b), "both")).unionByName(count(a.union(b).distinct(), "either"))
+    return reconcile.set_parts(a, b, "only_orders")
 
 
 @query("""

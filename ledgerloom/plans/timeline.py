@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates
 from ledgerloom.operators import consensus, dedupe, health, temporal, views
-from ledgerloom.streaming import incremental
 from ledgerloom.registry import Tables, query
+from ledgerloom.streaming import incremental
 
 NOW = "TIMESTAMP '2024-07-01 00:00:00'"
 
@@ -159,10 +159,7 @@ def json_props(t: Tables):
 SELECT user_id, event_id, event_type FROM (
   SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE was IS DISTINCT FROM event_type""")
 def status_changes(t: Tables):
-    from pyspark.sql import Window
-
-    was = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return t.events.withColumn("was", was).where(~F.col("was").eqNullSafe(F.col("event_type"))).select("user_id", "event_id", "event_type")
+    return health.changes(t.events, ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type")
 
 
 @query("""
