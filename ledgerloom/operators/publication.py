@@ -402,11 +402,15 @@ def captured_body(page: Column, product: Column, version: Column, least: int = 3
     )
 
 
-def source_health(sources: DataFrame) -> DataFrame:
-    """The source-health snapshot in its order: by status, then company and software in lower case."""
+def health_order() -> list[Column]:
+    """Sources by status, then company and software in lower case."""
     order = ("Error", "Needs adapter", "Unknown", "No new records", "Active", "Manual watch", "Disabled")
-    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("status")), F.lit(0)), F.lit(99))
-    return sources.orderBy(rank, F.lower("company"), F.lower("software"))
+    return [F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("status")), F.lit(0)), F.lit(99)), F.lower("company"), F.lower("software")]
+
+
+def source_health(sources: DataFrame) -> DataFrame:
+    """The source-health snapshot in its order."""
+    return sources.orderBy(*health_order())
 
 
 def brand_logos(brands: DataFrame, products: DataFrame) -> DataFrame:

@@ -59,9 +59,14 @@ def sort_feed(rows: DataFrame, mode: str, company: str, product: str, verdict: s
     return rows.orderBy(*order, tie)
 
 
-def sort_table(rows: DataFrame, primary: Column, moment: str, version: str, descending: bool = False) -> DataFrame:
+def table_order(primary: Column, moment: str, version: str, descending: bool = False) -> list[Column]:
     """By a column in either direction, then newest first, then natural version."""
-    return rows.orderBy(primary.desc_nulls_last() if descending else primary.asc_nulls_first(), F.desc_nulls_last(moment), natural_key(F.col(version)), version)
+    return [primary.desc_nulls_last() if descending else primary.asc_nulls_first(), F.desc_nulls_last(moment), natural_key(F.col(version)), F.col(version)]
+
+
+def sort_table(rows: DataFrame, primary: Column, moment: str, version: str, descending: bool = False) -> DataFrame:
+    """A table in the order of :func:`table_order`."""
+    return rows.orderBy(*table_order(primary, moment, version, descending))
 
 
 def orphans(rows: DataFrame, parents: DataFrame, foreign: str, primary: str, rule: str) -> DataFrame:
@@ -85,5 +90,10 @@ def banned_terms(rows: DataFrame, key: str, fields: list[str], terms: tuple[str,
     return rows.select(key, F.explode(hits).alias("hit")).select(key, "hit.*")
 
 
-def selected_first(rows: DataFrame, key: str, selected, pos: str) -> DataFrame:
-    return rows.orderBy((F.col(key) == F.lit(selected)).desc(), pos)
+def selected_order(key: str, selected: str, pos: str) -> list[Column]:
+    """The selected rows first, then the order of ``pos``."""
+    return [(F.col(key) == F.lit(selected)).desc(), F.col(pos)]
+
+
+def selected_first(rows: DataFrame, key: str, selected: str, pos: str) -> DataFrame:
+    return rows.orderBy(*selected_order(key, selected, pos))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import buckets, dates, ladders, text
@@ -77,10 +78,10 @@ def issue_buckets(t: Tables):
     return rows.select("l_orderkey", "l_linenumber", bucket.alias("bucket"), ladders.sample_issue(bucket, area).alias("sample"))
 
 
-RUNS = """SELECT l_suppkey AS method, count(*) FILTER (l_quantity > 25) AS c, count(*) FILTER (l_quantity > 45) AS a, count(*) FILTER (l_quantity < 5) AS r,
-CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_suppkey % 4 END AS e,
-['', 'HTTP_429', 'unusable page', 'feed_parse_failed', 'missing_brave_search_api_key', 'timeout', 'waf challenge'][l_suppkey % 7 + 1] AS why, l_suppkey % 2 AS near
-FROM lineitem WHERE l_orderkey % 40 = l_suppkey % 40 GROUP BY l_suppkey"""
+RUNS = """SELECT l_orderkey AS method, count(*) FILTER (l_quantity > 25) AS c, count(*) FILTER (l_quantity > 45) AS a, count(*) FILTER (l_quantity < 5) AS r,
+CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey % 4 END AS e,
+['', 'HTTP_429', 'unusable page', 'feed_parse_failed', 'missing_brave_search_api_key', 'timeout', 'waf challenge'][l_orderkey % 7 + 1] AS why, l_orderkey % 2 AS near
+FROM lineitem GROUP BY l_orderkey"""
 _WALL = {"forum": ("blocked", "challenge", "waf", "429"), "community": ("blocked", "challenge", "http_429"), "editions": ("blocked", "challenge", "http_429")}
 _wall = lambda k: "e > 0 AND (" + " OR ".join(f"contains(lower(why), '{w}')" for w in _WALL[k]) + ")"
 _FOUND = "WHEN a > 0 AND e > 0 THEN 'partial' WHEN a > 0 THEN 'success' WHEN c > 0 AND e > 0 THEN 'partial'"
@@ -97,7 +98,7 @@ SELECT method, CASE {_FOUND} WHEN c > 0 AND r > 0 THEN 'no_results' WHEN {_wall(
 FROM ({RUNS})""")
 def method_statuses(t: Tables):
     q = F.col("l_quantity")
-    runs = t.lineitem.where("l_orderkey % 40 = l_suppkey % 40").groupBy(F.col("l_suppkey").alias("method")).agg(F.count_if(q > 25).alias("c"), F.count_if(q > 45).alias("a"), F.count_if(q < 5).alias("r"))
+    runs = t.lineitem.groupBy(F.col("l_orderkey").alias("method")).agg(F.count_if(q > 25).alias("c"), F.count_if(q > 45).alias("a"), F.count_if(q < 5).alias("r"))
     why = pick(("", "HTTP_429", "unusable page", "feed_parse_failed", "missing_brave_search_api_key", "timeout", "waf challenge"), F.col("method"))
     runs = runs.withColumns({"e": F.when(F.col("method") % 3 == 0, 0).otherwise(F.col("method") % 4), "why": why})
     status = lambda policy: ladders.method_status(
@@ -397,13 +398,13 @@ def refreshed_bodies(t: Tables):
 
 
 @query("""
-SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_acctbal < -500 THEN 0 WHEN s_acctbal < 0 THEN 2 WHEN s_acctbal < 5000 THEN 4 ELSE 99 END, 's' || (s_suppkey % 7), lower(s_name)) AS place FROM supplier""")
+SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_acctbal < -500 THEN 0 WHEN s_acctbal < 0 THEN 2 WHEN s_acctbal < 5000 THEN 4 ELSE 99 END, 's' || (s_suppkey % 7), lower(s_name)) AS place FROM supplier""")
 def source_health_order(t: Tables):
     balance = F.col("s_acctbal")
     status = F.when(balance < -500, "Error").when(balance < 0, "Unknown").when(balance < 5000, "Active").otherwise("odd")
-    rows = t.supplier.select("s_suppkey", status.alias("status"), F.concat(F.lit("S"), F.col("s_suppkey") % 7).alias("company"), F.col("s_name").alias("software"))
-    ordered = publication.source_health(rows).coalesce(1)  # a row a source: a configuration's size
-    return ordered.withColumn("place", F.monotonically_increasing_id() + 1).select("s_suppkey", "place")
+    rows = t.supplier.select("s_suppkey", "s_nationkey", status.alias("status"), F.concat(F.lit("S"), F.col("s_suppkey") % 7).alias("company"), F.col("s_name").alias("software"))
+    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(*publication.health_order()))
+    return rows.withColumn("place", place).select("s_suppkey", "place")
 
 
 @query("SELECT c_custkey AS brand_id, coalesce(CASE WHEN p_size > 25 THEN p_name END, 'old') AS logo_path FROM customer LEFT JOIN part ON c_custkey = p_partkey")
