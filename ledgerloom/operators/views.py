@@ -97,3 +97,29 @@ def selected_order(key: str, selected: str, pos: str) -> list[Column]:
 
 def selected_first(rows: DataFrame, key: str, selected: str, pos: str) -> DataFrame:
     return rows.orderBy(*selected_order(key, selected, pos))
+
+
+def holding(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str) -> DataFrame:
+    """Pairs of keys of texts and of the needles that they hold, without a nested loop; empty needles hold nowhere.
+
+    A needle's key is its longest inner word, which is rare in most texts: a
+    needle of three words or more is met only by texts that have that word
+    (the first and last word may be parts of longer ones). Needles without an
+    inner word are met on their first characters, three or fewer. Ids are
+    joined first, texts only for the pairs that are left.
+    """
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    words = lambda c: F.regexp_extract_all(c, F.lit(word), F.lit(0))
+    asked = needles.where(F.col(needle) != "").select(F.col(needle_key).alias("n_key"), F.col(needle).alias("needle"), words(F.col(needle)).alias("ws"))
+    longest = F.array_max(F.transform(F.slice("ws", 2, F.greatest(F.size("ws") - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = asked.withColumn("part", longest).drop("ws")
+    rows = texts.select(F.col(key).alias("t_key"), F.col(text).alias("whole"))
+    met = rows.select("t_key", F.explode(F.array_distinct(words(F.col("whole")))).alias("part")).join(asked.where("part IS NOT NULL"), "part").select("t_key", "n_key", "needle")
+    short = asked.where("part IS NULL").select("n_key", "needle")
+    least = short.agg(F.min(F.length("needle"))).first()[0]
+    if least:
+        n = min(3, least)
+        starts = short.withColumn("part", F.substring("needle", 1, n))
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("whole") - n + 1, F.lit(1))), lambda i: F.substring(F.col("whole"), i, F.lit(n))))
+        met = met.unionByName(rows.select("t_key", F.explode(grams).alias("part")).join(starts, "part").select("t_key", "n_key", "needle"))
+    return rows.join(met, "t_key").where(F.contains("whole", F.col("needle"))).select(F.col("t_key").alias(key), F.col("n_key").alias(needle_key)).distinct()

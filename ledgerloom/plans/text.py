@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import buckets, text, urls, versions
-from ledgerloom.operators import consensus, dedupe
+from ledgerloom.operators import consensus, dedupe, views
 from ledgerloom.registry import Tables, query
 
 THEMES = (("render", ("en%%%", "###")), ("audio", ("pathetic", "scum", "worthless")), ("startup", ("token",)), ("export", ("licensed", "copyright")), ("install", (" | ",)))
@@ -107,29 +107,8 @@ def version_mentions(t: Tables):
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def containment_join(t: Tables):
-    """Texts that hold a needle: equi-join on the needle's rarest long word, then the exact test.
-
-    Words of the needles (few) keep only documents' words that can matter; of
-    a needle's inner words the one in fewest documents is its key, so the
-    exact test runs once for each needle and document that share it.
-    """
-    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    inner = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(word), F.lit(0)))
-    # the first and last word of a needle may be parts of longer words of a document
-    middle = lambda a: F.array_except(F.slice(a, 2, F.greatest(F.size(a) - 2, F.lit(0))), F.array(F.element_at(a, 1), F.element_at(a, -1)))
-    needles = t.benchmark.where("text <> ''").select("item_id", F.col("text").alias("needle"), F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("ws"))
-    needles = needles.withColumn("ws", F.when(F.size("ws") > 2, F.array_distinct(middle(F.col("ws")))).otherwise(F.array().cast("array<string>")))
-    words = needles.select("item_id", F.explode("ws").alias("w"))
-    held = t.documents.select("doc_id", F.explode(inner(F.col("text"))).alias("w")).join(words.select("w").distinct(), "w", "left_semi")
-    counts = held.groupBy("w").agg(F.count("*").alias("docs"))
-    rarest = words.join(counts, "w", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "w")).alias("key"))
-    keyed = needles.join(rarest, "item_id").select("item_id", "needle", F.col("key.w").alias("w"))
-    pairs = held.join(keyed, "w").select("item_id", "needle", "doc_id")
-    long = pairs.join(t.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("needle"))).select("item_id", "doc_id")
-    # needles without an inner word have no key: few and short, tested on all documents
-    short = needles.where("size(ws) = 0").select("item_id", "needle")
-    tested = t.documents.join(short, F.contains("text", F.col("needle"))).select("item_id", "doc_id")
-    return long.unionByName(tested).distinct()
+    """Texts that hold a needle, by equi-joins on a part of the needle, then the exact test."""
+    return views.holding(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
 
 
 STRIP = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,

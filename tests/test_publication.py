@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import ladders, text, versions
-from ledgerloom.operators import publication, sinks
+from ledgerloom.operators import publication, sinks, views
 
 
 def test_suite_versions(spark):
@@ -80,3 +80,11 @@ def test_release_note_texts(spark):
     assert got[0]["n"].split("\n")[:3] == ["## Changes", "* Fix by @me ([PR #12](https://github.com/a/b/pull/12))", "[Full changelog](https://github.com/a/b/compare/1...2)"]
     assert got[0]["s"] == "Changes Fix by @me (PR #12) Full changelog code and link"
     assert got[1]["s"].startswith("Official release notes were detected") and len(got[2]["s"]) <= 420 and got[2]["s"].endswith("word.")
+
+
+def test_texts_that_hold_needles(spark):
+    texts = spark.createDataFrame([(1, "the quick brown fox"), (2, "xaby"), (3, "quick brow"), (4, "é"), (5, None), (6, "")], "doc int, t string")
+    needles = spark.createDataFrame([(1, "quick brown f"), (2, "ab"), (3, "é"), (4, "e q"), (5, ""), (6, "ck brow"), (7, "nothing at all")], "item int, n string")
+    got = sorted((r["doc"], r["item"]) for r in views.holding(texts, "doc", "t", needles, "item", "n").collect())
+    assert got == [(1, 1), (1, 4), (1, 6), (2, 2), (3, 6), (4, 3)]
+    assert [(r["doc"], r["item"]) for r in views.holding(texts, "doc", "t", needles.where("item = 1"), "item", "n").collect()] == [(1, 1)]
