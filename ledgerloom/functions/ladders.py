@@ -16,7 +16,7 @@ from ledgerloom.functions.text import first_known, public_phrase
 class Rung:
     """Values, and the groups of terms: one of each group must stand in the text; ``pattern`` is another way in."""
 
-    values: tuple[str, ...]
+    values: tuple[str | int, ...]
     groups: tuple[tuple[str, ...], ...]
     pattern: str = ""
 
@@ -138,12 +138,15 @@ def climb(lowered: Column, rungs: tuple[Rung, ...], value: int, other: Column) -
 
 
 def classify(text: Column, product: str) -> Column:
-    """``struct(theme, area, platform, severity, sentiment)`` of a report's text."""
-    lowered, other = F.lower(F.coalesce(text, F.lit(""))), OTHER_THEMES[product]
-    part = lambda i: climb(lowered, THEMES[product], i, F.lit(other[i]))
-    names = PLATFORMS[product]
-    platform = F.lit(names) if isinstance(names, str) else climb(lowered, tuple(Rung((to,), ((word,),)) for word, to in names), 0, F.lit("unknown"))
-    return F.struct(part(0).alias("theme"), part(1).alias("area"), platform.alias("platform"), part(2).alias("severity"), part(3).alias("sentiment"))
+    """``struct(theme, area, platform, severity, sentiment)`` of a report's text: the ladder is climbed once, its number looks up the values."""
+    lowered, rungs = F.lower(F.coalesce(text, F.lit(""))), THEMES[product]
+    numbered = tuple(Rung((i,), r.groups, r.pattern) for i, r in enumerate(rungs))
+    names = ("theme", "area", "severity", "sentiment")
+    made = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(values, names)]) for values in (*(r.values for r in rungs), OTHER_THEMES[product])])
+    found = F.get(made, climb(lowered, numbered, 0, F.lit(len(rungs))))
+    words = PLATFORMS[product]
+    platform = F.lit(words) if isinstance(words, str) else climb(lowered, tuple(Rung((to,), ((word,),)) for word, to in words), 0, F.lit("unknown"))
+    return F.struct(found["theme"].alias("theme"), found["area"].alias("area"), platform.alias("platform"), found["severity"].alias("severity"), found["sentiment"].alias("sentiment"))
 
 
 def public_bucket(product: Column, theme: Column, workflow: Column, *titles: Column) -> Column:
