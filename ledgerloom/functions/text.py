@@ -165,7 +165,7 @@ def main_body(page: Column, least: int = 300, most: int = 9000) -> Column:
 
 
 def json_strings(c: Column) -> Column:
-    """All strings of a JSON text, however deep, joined by spaces in order; built-in functions do not recurse."""
+    """All strings of a JSON text, however deep, joined by spaces in order, empty for bad JSON; built-in functions do not recurse."""
 
     def walk(value) -> list[str]:
         if isinstance(value, str):
@@ -173,16 +173,14 @@ def json_strings(c: Column) -> Column:
         inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else []
         return [s for v in inner for s in walk(v)]
 
+    def read(text: str | None):
+        try:
+            return json.loads(text) if isinstance(text, str) else None
+        except ValueError:
+            return None
+
     @F.pandas_udf("string")
     def strings(texts: pd.Series) -> pd.Series:
-        return texts.map(_json).map(lambda v: " ".join(walk(v)))
+        return texts.map(lambda t: " ".join(walk(read(t))))
 
     return strings(c)
-
-
-def _json(text: str | None):
-    """The value of a JSON text; null for bad or no text."""
-    try:
-        return json.loads(text) if isinstance(text, str) else None
-    except ValueError:
-        return None
