@@ -153,3 +153,63 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws
        len(ws) < 10 OR 100 * coalesce(covered.n, 0) > 20 * len(ws) AS base_failed
 FROM w LEFT JOIN l ON w.doc_id = l.doc_id LEFT JOIN covered ON w.doc_id = covered.doc_id
 """
+
+OP11 = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+pos AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT pos.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM pos JOIN s ON pos.anchor_id = s.anchor_id AND NOT same
+  WHERE 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+WHERE rank <= 3
+"""
+
+
+def _op12(rounds: int = 4) -> str:
+    """Every round is an assignment a and the next books b."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS (
+  SELECT vec_id, label, p.part, x, 
+         min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)) * 256 + entry)::BIGINT AS best
+  FROM p JOIN b{i} ON p.part = b{i}.part GROUP BY vec_id, label, p.part, x)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} AS (
+  SELECT part, best % 256 AS entry, pos, sum(v::BIGINT) AS s, count(*) AS n
+  FROM (SELECT part, best, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM a{i}) GROUP BY part, best % 256, pos),
+c{i} AS (
+  SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY pos) AS c FROM m{i} GROUP BY part, entry),
+b{i + 1} AS (
+  SELECT b{i}.part, b{i}.entry, coalesce(c{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN c{i} ON b{i}.part = c{i}.part AND b{i}.entry = c{i}.entry)""")
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT vec_id, label, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS x FROM v, (SELECT unnest(range(4)) AS part)),
+b0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 256),{','.join(steps)},
+r AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error
+  FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY part, entry, pos))
+        FROM (SELECT part, entry, unnest(c) AS v, generate_subscripts(c, 1) AS pos FROM b{rounds})) AS codebooks_sha256
+FROM r
+"""
+
+
+OP12 = _op12()

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import license_scan, line_dedup, mixing, ngram_join, oracles, packing, pii, quality, token_files, topk_search, url_filter
+from ledgerloom.llm import (
+    hard_negatives, license_scan, line_dedup, mixing, ngram_join, oracles, packing, pii, quality, token_files, topk_search, toxicity, url_filter, vector_codes,
+)
 
 #: Host, path, verdict of the contract's rules, and hosts that the method blocks where none of these fits.
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -93,6 +95,22 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", "is_first")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = toxicity.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return judged.select("doc_id", "held_out", "score", predicted, "limit", "toxic")
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op1 owes to its contract alone."""
     return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -111,12 +129,14 @@ def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_best_fit_packing, op3_exact_top_k, op4_personal_data, op5_source_mix, op6_url_filter,
-        op7_quality_rules, op8_token_files, op9_line_dedup, op10_ngram_jaccard_join, license_base, personal_data_base, quality_statistics,
+        op7_quality_rules, op8_token_files, op9_line_dedup, op10_ngram_jaccard_join,
+        op11_hard_negatives, op12_vector_codes, op13_toxicity, license_base, personal_data_base, quality_statistics,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_top_k": oracles.OP3, "op5_source_mix": oracles.OP5, "op6_url_filter": oracles.OP6, "op9_line_dedup": oracles.OP9, "op10_ngram_jaccard_join": oracles.OP10,
+        "op11_hard_negatives": oracles.OP11, "op12_vector_codes": oracles.OP12,
         "license_base": oracles.LICENSE_BASE, "personal_data_base": oracles.PERSONAL_BASE, "quality_statistics": oracles.STATISTICS,
     }

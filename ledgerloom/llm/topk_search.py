@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import col, cut
@@ -29,10 +29,10 @@ from ledgerloom.llm.common import col, cut
 _EXACT, _EXACT_SINGLE = float(1 << 53), float(1 << 24)
 
 
-def _matrix(lists: pa.ListArray) -> np.ndarray:
-    """Rows of integer lists as a matrix, shorter ones filled with 0."""
+def matrix(lists: pa.ListArray, width: int | None = None) -> np.ndarray:
+    """Rows of integer lists as a matrix of that width (default: the longest), shorter ones filled with 0."""
     sizes = np.diff(lists.offsets.to_numpy())
-    out = np.zeros((len(lists), int(sizes.max()) if len(sizes) else 0), dtype=np.int64)
+    out = np.zeros((len(lists), width if width is not None else int(sizes.max()) if len(sizes) else 0), dtype=np.int64)
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
@@ -111,12 +111,12 @@ class Shard:
         return live[top], [max(-(1 << 63), min((1 << 63) - 1, int(scores[i]))) for i in top]
 
 
-def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """``id, vector`` with floor(scale * x) of every component; vectors null or with null, NaN or infinite ones go."""
+def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256, *more: Column) -> DataFrame:
+    """``id, vector`` with floor(scale * x) of every component, and ``more``; vectors null or with null, NaN or infinite ones go."""
     v = col(vector_col).cast("array<double>")
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
     rows = vectors.where(col(vector_col).isNotNull()).where(finite)
-    return rows.select(col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale)))).alias("vector"))
+    return rows.select(col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale)))).alias("vector"), *more)
 
 
 def top_k(
@@ -153,7 +153,7 @@ def top_k(
 
         def flush(asked: pa.RecordBatch) -> pa.RecordBatch:
             out: tuple[list, ...] = ([], [], [], [])
-            for own, key, reached, query in zip(asked["id"].to_pylist(), asked["key"].to_pylist(), asked["reached"].to_pylist(), _matrix(asked["vector"])):
+            for own, key, reached, query in zip(asked["id"].to_pylist(), asked["key"].to_pylist(), asked["reached"].to_pylist(), matrix(asked["vector"])):
                 places, scores = shard.best(query, own, k, -np.inf if reached is None else reached)
                 out[0].extend([own] * len(places))
                 out[1].extend([key] * len(places))
@@ -176,7 +176,7 @@ def top_k(
                 if shard is None and parts:
                     table = pa.Table.from_batches(parts).combine_chunks()
                     ids = table["id"].combine_chunks()
-                    shard = Shard(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), _matrix(table["vector"].combine_chunks()))
+                    shard = Shard(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), matrix(table["vector"].combine_chunks()))
                     parts = []
                 if shard is not None:
                     yield flush(run)
