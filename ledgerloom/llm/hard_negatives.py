@@ -167,7 +167,6 @@ def mine(
             windows = [(-(-window[0] * p // 100), window[1] * p // 100) for p in goals]
             for p, hits in zip(goals, shard.negatives(own, label, q, windows, negatives)):
                 out += [(own, key, p, *hit) for hit in hits]
-        out = list(dict.fromkeys(out))  # positives of one score share their negatives
         return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*out) if out else [()] * 5)], names=["id", "key", "positive_score", "negative_id", "negative_score"])
 
     first = ask(held, anchors.select(everywhere, "*", no_goals).select(names), shards, _columns, near, "id long, key long, positive_id long, positive_score long")
