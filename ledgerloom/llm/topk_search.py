@@ -2,11 +2,12 @@
 
 Components are the terms of a vector. A shard's postings of a term are its
 column; the term's largest and smallest value there bound what it adds to a
-query's score. For a threshold that k vectors are known to reach, the terms
-whose bounds together cannot lift a vector over it are non-essential. The
-essential postings are traversed block by block; vectors that still compete
-are probed in the non-essential terms, largest bound first, and dropped as soon
-as they cannot reach the threshold, which rises with every block.
+query's score. The columns are stored by falling bound. For a threshold that k
+vectors are known to reach, the last terms whose largest contributions together
+stay below it are non-essential. A block of queries traverses the postings of
+the essential terms only, by one product, and the next ones while most vectors
+still compete; the others are probed in the rest, largest bound first, and
+dropped as soon as they cannot reach the threshold, which rises by block.
 
 Vectors are dealt to shards once and stay there. Each query first searches the
 shard it lies in, then travels with the threshold found to all others, where
@@ -16,7 +17,6 @@ queries are read as a stream; shards' results are merged by score and id.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import col, cut
+from ledgerloom.llm.shards import ask, number_kind
 
-#: Sums below these are exact in doubles and in single floats.
-_EXACT, _EXACT_SINGLE = float(1 << 53), float(1 << 24)
 
 
 def matrix(lists: pa.ListArray, width: int | None = None) -> np.ndarray:
@@ -39,74 +38,105 @@ def matrix(lists: pa.ListArray, width: int | None = None) -> np.ndarray:
 
 
 class Shard:
-    """Postings of some vectors: one column per term, with its bounds."""
+    """Postings of some vectors: one column per term, by falling bound."""
+
+    #: Terms that are read or probed between two looks at what still competes.
+    STEP = 8
 
     def __init__(self, ids: np.ndarray, known: np.ndarray, vectors: np.ndarray, block: int = 4096):
         order = np.lexsort((ids, ~known))  # ties go to the smaller id, null last
         self.ids, self.known, self._block = ids[order], known[order], block
-        self._columns = np.ascontiguousarray(vectors[order].T)
-        self._held: dict[type, np.ndarray] = {}
-        self._high, self._low = vectors.max(axis=0), vectors.min(axis=0)
-
-    def best(self, query: np.ndarray, own: int, k: int, reached: float = -np.inf) -> tuple[np.ndarray, list[int]]:
-        """Places and scores of the k best vectors but ``own``, best first; those below ``reached`` may be left out.
-
-        ``reached`` is a score that k vectors are known to have, here or elsewhere.
+        high, low = vectors.max(axis=0).astype(float), vectors.min(axis=0).astype(float)
+        self.terms = np.argsort((low - high) * np.sqrt((vectors.astype(float) ** 2).mean(axis=0)), kind="stable")
+        self._high, self._low = high[self.terms], low[self.terms]
+        self._rows = np.ascontiguousarray(vectors[order][:, self.terms])
+        self._held: dict[type, tuple[np.ndarray, np.ndarray]] = {}
+        #: Postings read so far.
+        self.read = 0
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int, reached: np.ndarray | None = None, together: int = 32) -> list[tuple[np.ndarray, list[int]]]:
+        """For each query the places and scores of the k best vectors but its ``own``, best first.
+
+        ``reached`` are scores that k vectors are known to have, here or
+        elsewhere; vectors below may be left out.
         """
-        size = min(len(query), len(self._columns))  # terms that one side lacks add nothing
-        q = query[:size].astype(np.float64)
-        high, low = self._high[:size].astype(float), self._low[:size].astype(float)
-        most, least = np.maximum(q * high, q * low), np.minimum(q * high, q * low)
-        largest = np.maximum(np.abs(most), np.abs(least)).sum()
-        if largest >= _EXACT:
-            return self._plain(query, own, k)
-        postings = self._postings(np.float32 if largest < _EXACT_SINGLE else np.float64)[:size]
-        q = q.astype(postings.dtype)
-        order = np.argsort(least - most, kind="stable")  # terms by falling bound
-        bound = np.concatenate([np.cumsum((most - least)[order][::-1])[::-1], [0.0]])  # what terms from here on can add to the least score
-        floor = np.concatenate([np.cumsum(least[order][::-1])[::-1], [0.0]])
-        own_at = np.flatnonzero(self.known & (self.ids == own))
-        found, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for start in range(0, postings.shape[1], self._block):
-            block = postings[:, start : start + self._block]
-            # non-essential: the terms from the first on whose bounds cannot lift the least score to the threshold
-            essential = min(size, int((bound + floor[0] >= reached).sum())) if reached > -np.inf else size
-            mask = np.zeros(size, dtype=q.dtype)
-            mask[order[:essential]] = q[order[:essential]]
-            part = mask @ block
-            competes = part + (floor[essential] + bound[essential]) >= reached
-            competes[own_at[(own_at >= start) & (own_at < start + block.shape[1])] - start] = False
-            live = np.flatnonzero(competes)
-            if len(live) * 8 > block.shape[1]:  # most compete: their other postings are read in one go
-                part = (part + (q - mask) @ block)[live]
-            else:
-                part, at = part[live], essential
-                while at < size and len(live):
-                    terms = order[at : at + 8]
-                    part = part + q[terms] @ block[np.ix_(terms, live)]
-                    at = min(at + 8, size)
-                    competes = part + (floor[at] + bound[at]) >= reached
-                    live, part = live[competes], part[competes]
-            if len(live) > k:
-                best = np.flatnonzero(part >= np.partition(part, len(part) - k)[len(part) - k])
-                live, part = live[best], part[best]
-            found, scores = np.concatenate([found, live + start]), np.concatenate([scores, part.astype(np.float64)])
-            if len(found) >= k:
-                top = np.lexsort((found, -scores))[:k]
-                found, scores = found[top], scores[top]
-                reached = max(reached, float(scores[-1]))
-        top = np.lexsort((found, -scores))[:k]
-        return found[top], [int(s) for s in scores[top]]
-
-    def _postings(self, kind: type) -> np.ndarray:
+        full = np.zeros((len(queries), len(self.terms)), dtype=np.int64)  # terms that one side lacks add nothing
+        size = min(queries.shape[1], len(self.terms))
+        full[:, :size] = queries[:, :size]
+        q = full[:, self.terms].astype(np.float64)
+        most, least = np.maximum(q * self._high, q * self._low), np.minimum(q * self._high, q * self._low)
+        kinds = [number_kind(v) for v in np.maximum(np.abs(most), np.abs(least)).sum(axis=1)]
+        # the largest sum that the terms from each one on can add
+        rest = np.concatenate([np.cumsum(most[:, ::-1], axis=1)[:, ::-1], np.zeros((len(q), 1))], axis=1)
+        reached = np.full(len(q), -np.inf) if reached is None else reached.astype(float)
+        essential = (rest > reached[:, None]).sum(axis=1)
+        out: list[tuple[np.ndarray, list[int]]] = [(np.zeros(0, dtype=np.int64), [])] * len(q)
+        for kind in dict.fromkeys(kinds):
+            mine = np.array([i for i in range(len(q)) if kinds[i] is kind])
+            if kind is object:
+                for i in mine:
+                    out[i] = self._plain(queries[i], own[i], k)
+                continue
+            mine = mine[np.argsort(essential[mine], kind="stable")]  # queries with as many essential terms go together
+            for part in np.array_split(mine, -(-len(mine) // together)):
+                for i, found in zip(part, self._search(q[part].astype(kind), own[part], k, reached[part].copy(), rest[part], kind)):
+                    out[i] = found
+        return out
+
+    def _search(self, q: np.ndarray, own: np.ndarray, k: int, reached: np.ndarray, rest: np.ndarray, kind: type) -> list[tuple[np.ndarray, list[int]]]:
+        rows, columns = self._postings(kind)
+        size, found = q.shape[1], [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in q]
+        for start in range(0, len(rows), self._block):
+            stop = min(len(rows), start + self._block)
+            at = min(size, max(1, int(np.median((rest > reached[:, None]).sum(axis=1))))) if size else 0
+            score = q[:, :at] @ columns[:at, start:stop]
+            self.read += score.size * at
+            while True:
+                competes = score >= (reached - rest[:, at])[:, None].astype(kind) if at < size else score >= reached[:, None].astype(kind)
+                if at == size or 4 * int(np.count_nonzero(competes)) < score.size:
+                    break
+                upto = min(at + self.STEP, size)
+                score += q[:, at:upto] @ columns[at:upto, start:stop]
+                self.read += score.size * (upto - at)
+                at = upto
+            asking, live = np.nonzero(competes)
+            edges = np.searchsorted(asking, np.arange(len(q) + 1))
+            for i in np.flatnonzero(np.diff(edges)):
+                mine = live[edges[i] : edges[i + 1]]
+                part, place, term = score[i, mine], mine + start, at
+                while term < size and len(place):
+                    upto = min(term + self.STEP, size)
+                    part = part + rows[place, term:upto] @ q[i, term:upto]
+                    self.read += len(place) * (upto - term)
+                    term = upto
+                    keep = part >= reached[i] - rest[i, term]
+                    place, part = place[keep], part[keep]
+                other = ~(self.known[place] & (self.ids[place] == own[i]))
+                place, part = place[other], part[other]
+                if len(part) > k:
+                    keep = part >= np.partition(part, len(part) - k)[len(part) - k]
+                    place, part = place[keep], part[keep]
+                place, part = np.concatenate([found[i][0], place]), np.concatenate([found[i][1], part.astype(np.float64)])
+                top = np.lexsort((place, -part))[:k]
+                found[i] = (place[top], part[top])
+                if len(top) == k:
+                    reached[i] = max(reached[i], part[top[-1]])
+        return [(place, [int(s) for s in part]) for place, part in found]
+
+    def _postings(self, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """By vector and by term."""
         if kind not in self._held:
-            self._held[kind] = self._columns.astype(kind)
+            rows = self._rows.astype(kind)
+            self._held[kind] = rows, np.ascontiguousarray(rows.T)
         return self._held[kind]
 
     def _plain(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int]]:
         """Values too large for exact doubles: Python's integers, all vectors, cut to 64 bits at the end."""
         live = np.flatnonzero(~(self.known & (self.ids == own)))
-        scores = query.astype(object) @ self._columns[: len(query), live].astype(object) if len(query) else np.zeros(len(live), dtype=object)
+        full = np.zeros(max(len(query), len(self.terms)), dtype=object)
+        full[: len(query)] = query.astype(object)
+        self.read += len(live) * len(self.terms)
+        scores = self._rows[live].astype(object) @ full[self.terms] if len(self.terms) else np.zeros(len(live), dtype=object)
         top = sorted(range(len(live)), key=lambda i: (-scores[i], i))[:k]
         return live[top], [max(-(1 << 63), min((1 << 63) - 1, int(scores[i]))) for i in top]
 
@@ -143,47 +173,24 @@ def top_k(
     count, cores = rows.count(), vectors.sparkSession.sparkContext.defaultParallelism
     shards = max(1, math.ceil(count / shard_rows), min(cores, math.ceil(count / 4096)))
     at = F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).alias("s")
-    none = F.lit(None).cast("double")
-    held = rows.select(at, F.lit(0).alias("asks"), F.lit(0).cast("long").alias("key"), none.alias("reached"), "id", "vector")
-    queries = rows.where(F.col("id") % every == 0).distinct().select(at, F.lit(1).alias("asks"), F.xxhash64("vector").alias("key"), none.alias("reached"), "id", "vector")
-    queries = cut(queries, "queries")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, shard, here = [], None, None  # a partition has its shards one after the other, the vectors of each before its queries
-
-        def flush(asked: pa.RecordBatch) -> pa.RecordBatch:
-            out: tuple[list, ...] = ([], [], [], [])
-            for own, key, reached, query in zip(asked["id"].to_pylist(), asked["key"].to_pylist(), asked["reached"].to_pylist(), matrix(asked["vector"])):
-                places, scores = shard.best(query, own, k, -np.inf if reached is None else reached)
-                out[0].extend([own] * len(places))
-                out[1].extend([key] * len(places))
-                out[2].extend(int(shard.ids[p]) if shard.known[p] else None for p in places)
-                out[3].extend(scores)
-            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["query_id", "key", "vec_id", "score"])
-
-        for batch in batches:
-            kinds = batch["s"].to_numpy() * 2 + batch["asks"].to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if a == b:
-                    continue
-                run, which = batch.slice(a, b - a), int(kinds[a]) // 2
-                if which != here:
-                    parts, shard, here = [], None, which
-                if kinds[a] % 2 == 0:
-                    parts.append(run.select(["id", "vector"]))
-                    continue
-                if shard is None and parts:
-                    table = pa.Table.from_batches(parts).combine_chunks()
-                    ids = table["id"].combine_chunks()
-                    shard = Shard(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), matrix(table["vector"].combine_chunks()))
-                    parts = []
-                if shard is not None:
-                    yield flush(run)
+    none = F.lit(None).cast("double").alias("reached")
+    held = rows.select(at, F.lit(0).cast("long").alias("key"), none, "id", "vector")
+    queries = cut(rows.where(F.col("id") % every == 0).distinct().select(at, F.xxhash64("vector").alias("key"), none, "id", "vector"), "queries")
+
+    def build(table: pa.Table) -> Shard:
+        ids = table["id"].combine_chunks()
+        return Shard(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), matrix(table["vector"].combine_chunks()))
+
+    def answer(shard: Shard, asked: pa.RecordBatch) -> pa.RecordBatch:
+        own = asked["id"].to_numpy()
+        found = shard.best(matrix(asked["vector"]), own, k, asked["reached"].fill_null(-np.inf).to_numpy())
+        times = [len(places) for places, _ in found]
+        ids = [int(shard.ids[p]) if shard.known[p] else None for places, _ in found for p in places]
+        columns = [np.repeat(own, times), np.repeat(asked["key"].to_numpy(), times), ids, [v for _, scores in found for v in scores]]
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], names=["query_id", "key", "vec_id", "score"])
 
     def searched(asked: DataFrame) -> DataFrame:
-        dealt = held.unionByName(asked).repartition(shards, "s").sortWithinPartitions("s", "asks")
-        return dealt.mapInArrow(search, "query_id long, key long, vec_id long, score long")
+        return ask(held, asked, shards, build, answer, "query_id long, key long, vec_id long, score long")
 
     near = cut(searched(queries), "near")
     # the k-th score of a query's own shard is the threshold in the others

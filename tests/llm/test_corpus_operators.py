@@ -157,8 +157,29 @@ def test_shard_finds_the_best_for_any_threshold_that_k_reach(vectors, k, block):
     scores = x @ x[0]
     wanted = sorted(range(1, len(x)), key=lambda i: (-scores[i], i))[:k]
     for reached in (-np.inf, float(scores[wanted[-1]]) if len(wanted) == k else -np.inf):
-        places, found = shard.best(x[0], 0, k, reached)
+        asked = np.stack([x[0], x[-1]])
+        places, found = shard.best(asked, np.array([0, -1]), k, np.array([reached, -np.inf]))[0]
         assert (places.tolist(), found) == (wanted, [int(scores[i]) for i in wanted])
+        huge = [int(v) << 50 for v in x[0]]  # beyond exact doubles
+        assert shard.best(np.array([huge]), np.array([0]), k)[0][0].tolist() == wanted
+
+
+@pytest.mark.parametrize(("spread", "most"), [(1.0, 1.0), (0.9, 0.5), (0.8, 0.3)])
+def test_search_reads_essential_postings_and_no_more_than_all(spread, most):
+    """The more some terms count than others, the fewer postings are read."""
+    rng = np.random.default_rng(8)
+    x = (256 * rng.normal(0, 1, (20_000, 64)) * spread ** np.arange(64)).astype(np.int64)[:, rng.permutation(64)]
+    shard = topk_search.Shard(np.arange(len(x)), np.ones(len(x), dtype=bool), x)
+    asked = np.arange(0, len(x), 500)
+    found = shard.best(x[asked], asked, 5)
+    assert shard.read <= most * 64 * len(x) * len(asked)
+    shard.read = 0
+    again = shard.best(x[asked], asked, 5, np.array([float(s[-1]) for _, s in found]))
+    assert shard.read <= 64 * len(x) * len(asked) and [f[0].tolist() for f in again] == [f[0].tolist() for f in found]
+    scores = (x[asked[:3]] @ x.T).astype(float)
+    for i in range(3):
+        scores[i, asked[i]] = -np.inf
+        assert found[i][0].tolist() == np.lexsort((np.arange(len(x)), -scores[i]))[:5].tolist()
 
 
 def test_search_matches_sql_on_ties_and_bad_vectors(spark):
