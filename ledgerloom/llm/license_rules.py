@@ -12,10 +12,12 @@ from __future__ import annotations
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
 V = r"(?: version| v)?"
+_LATER = r" or (?:at your option )?(?:any )?later(?: versions?)?"
+GNU_VERSIONS = (("gpl", 1, 0), ("gpl", 2, 0), ("gpl", 3, 0), ("lgpl", 2, 0), ("lgpl", 2, 1), ("lgpl", 3, 0), ("agpl", 1, 0), ("agpl", 3, 0))
 #: Label, keyword, pattern of the name; each name holds "licen", "gpl", " cc ", " cc0 " or another root.
 NAMES = (
-    ("apache-1.1", "apache", rf"apache (?:software )?licen[cs]e{V} 1 1"),
-    ("apache-2.0", "apache", rf"apache (?:software )?licen[cs]e{V} (?:2 0|2)"),
+    ("apache-1.1", "apache", rf"apache (?:software )?licen[cs]e{V} ?1 1"),
+    ("apache-2.0", "apache", rf"apache (?:software )?licen[cs]e{V} ?(?:2 0|2)"),
     ("apache", "apache", r"apache (?:software )?licen[cs]e"),
     ("mit", "mit", r"(?:the )?mit (?:x11 )?licen[cs]e"),
     ("mit-0", "mit", r"mit no attribution licen[cs]e"),
@@ -27,33 +29,34 @@ NAMES = (
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd) licen[cs]e"),
     ("bsd-0-clause", "bsd", r"(?:bsd 0 clause|zero clause bsd) licen[cs]e"),
     ("bsd", "bsd", r"bsd (?:style )?licen[cs]e"),
-    ("gpl-1.0", "general public", rf"(?:gnu )?general public licen[cs]e{V} 1(?: 0)?"),
-    ("gpl-2.0", "general public", rf"(?:gnu )?general public licen[cs]e{V} 2(?: 0)?"),
-    ("gpl-3.0", "general public", rf"(?:gnu )?general public licen[cs]e{V} 3(?: 0)?"),
-    ("gpl-2.0+", "general public", rf"(?:gnu )?general public licen[cs]e{V} 2(?: 0)? or (?:at your option )?any later version"),
-    ("gpl-3.0+", "general public", rf"(?:gnu )?general public licen[cs]e{V} 3(?: 0)? or (?:at your option )?any later version"),
-    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: v| version)? ?2(?: 0)?"),
-    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: v| version)? ?3(?: 0)?"),
+    ("gpl-1.0", "general public", rf"(?:gnu )?general public licen[cs]e{V} ?1(?: 0)?"),
+    ("gpl-2.0", "general public", rf"(?:gnu )?general public licen[cs]e{V} ?2(?: 0)?"),
+    ("gpl-3.0", "general public", rf"(?:gnu )?general public licen[cs]e{V} ?3(?: 0)?"),
+    *((f"{kind}-{n}.{m}+", "general public", rf"(?:gnu )?{name}general public licen[cs]e{V} ?{n}{'(?: 0)?' if m == 0 else f' {m}'}{_LATER}")
+      for kind, name in (("gpl", ""), ("lgpl", "(?:library |lesser )"), ("agpl", "affero ")) for k, n, m in GNU_VERSIONS if k == kind),
+    *((f"{kind}-{n}.{m}+", kind, rf"(?:gnu )?{kind}(?: v| version| )?{n}{'(?: 0)?' if m == 0 else f' {m}'}{_LATER}") for kind, n, m in GNU_VERSIONS),
+    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: v| version)? ?2(?: 0)?(?: only)?"),
+    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: v| version)? ?3(?: 0)?(?: only)?"),
     ("gpl", "gnu gpl", r"gnu gpl"),
-    ("lgpl-2.0", "public licen", rf"(?:gnu )?(?:library|lesser) general public licen[cs]e{V} 2(?: 0)?"),
-    ("lgpl-2.1", "lesser", rf"(?:gnu )?lesser general public licen[cs]e{V} 2 1"),
-    ("lgpl-3.0", "lesser", rf"(?:gnu )?lesser general public licen[cs]e{V} 3(?: 0)?"),
+    ("lgpl-2.0", "public licen", rf"(?:gnu )?(?:library|lesser) general public licen[cs]e{V} ?2(?: 0)?"),
+    ("lgpl-2.1", "lesser", rf"(?:gnu )?lesser general public licen[cs]e{V} ?2 1"),
+    ("lgpl-3.0", "lesser", rf"(?:gnu )?lesser general public licen[cs]e{V} ?3(?: 0)?"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[cs]e"),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl(?: v?[0-9](?: [0-9])?)?"),
-    ("agpl-3.0", "affero", rf"(?:gnu )?affero general public licen[cs]e{V} 3(?: 0)?"),
+    ("agpl-3.0", "affero", rf"(?:gnu )?affero general public licen[cs]e{V} ?3(?: 0)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public licen[cs]e"),
     ("agpl", "agpl", r"(?:gnu )?agpl(?: v?[0-9](?: [0-9])?)?"),
     ("gfdl", "documentation", r"(?:gnu )?free documentation licen[cs]e"),
-    ("mpl-1.1", "mozilla", rf"mozilla public licen[cs]e{V} 1 1"),
-    ("mpl-2.0", "mozilla", rf"mozilla public licen[cs]e{V} 2(?: 0)?"),
+    ("mpl-1.1", "mozilla", rf"mozilla public licen[cs]e{V} ?1 1"),
+    ("mpl-2.0", "mozilla", rf"mozilla public licen[cs]e{V} ?2(?: 0)?"),
     ("mpl", "mozilla", r"mozilla public licen[cs]e"),
-    ("epl-1.0", "eclipse", rf"eclipse public licen[cs]e{V} 1(?: 0)?"),
-    ("epl-2.0", "eclipse", rf"eclipse public licen[cs]e{V} 2(?: 0)?"),
+    ("epl-1.0", "eclipse", rf"eclipse public licen[cs]e{V} ?1(?: 0)?"),
+    ("epl-2.0", "eclipse", rf"eclipse public licen[cs]e{V} ?2(?: 0)?"),
     ("epl", "eclipse", r"eclipse public licen[cs]e"),
     ("cddl-1.0", "common development", r"common development and distribution licen[cs]e"),
     ("cpl-1.0", "common public", r"common public licen[cs]e"),
     ("eupl", "european union", r"european union public licen[cs]e"),
-    ("artistic-2.0", "artistic", rf"artistic licen[cs]e{V} 2(?: 0)?"),
+    ("artistic-2.0", "artistic", rf"artistic licen[cs]e{V} ?2(?: 0)?"),
     ("artistic", "artistic", r"artistic licen[cs]e"),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e"),
     ("bsl-1.0", "boost", r"boost software licen[cs]e"),
@@ -92,7 +95,6 @@ NAMES = (
     ("cc-by", "creative commons", r"creative commons attribution(?: [0-9] [0-9])?(?: international| unported)?"),
     ("cc", "creative commons", r"creative commons licen[cs]e"),
 )
-_LATER = r"(?: or later)"
 #: Label, keyword, pattern of the identifiers that tags and "licensed under" name without the word license.
 IDENTIFIERS = (
     ("apache-1.1", "apache 1", r"apache 1 1"),
@@ -109,8 +111,7 @@ IDENTIFIERS = (
     ("bsd-4-clause", "bsd 4", r"bsd 4 clause"),
     ("bsd", "bsd", r"bsd"),
     *((f"{kind}-{n}.{m}{plus}", kind, rf"(?:gnu )?{kind} ?v?{n}{'(?: 0)?' if m == 0 else f' {m}'}{later}")
-      for kind, of in (("gpl", ((1, 0), (2, 0), (3, 0))), ("lgpl", ((2, 0), (2, 1), (3, 0))), ("agpl", ((1, 0), (3, 0)))) for n, m in of
-      for plus, later in (("+", _LATER), ("", "(?: only)?"))),
+      for kind, n, m in GNU_VERSIONS for plus, later in (("+", _LATER), ("", "(?: only)?"))),
     ("gpl", "gpl", r"(?:gnu )?gpl"),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
     ("agpl", "agpl", r"(?:gnu )?agpl"),
@@ -153,14 +154,20 @@ IDENTIFIERS = (
 )
 #: Identifiers that are products too: "available under x11" names no license.
 PRODUCTS = ("apache", "x11", "ruby", "openssl", "vim", "postgresql")
-#: An identifier of a tag's expression and the operator after it; longer ones are tried first.
-_OPERAND = rf"(?:{'|'.join(sorted((i[2] for i in IDENTIFIERS), key=len, reverse=True))})(?: with (?:[a-z0-9]+ ){{1,4}}exception(?: [0-9])*)? (?:or|and) "
-#: Priority, score, root, prefix, and what comes before the keyword. The second and third identifier of a tag begin a
-#: word later each, so that none lies in another.
+#: Set before each operator of a tag's expression; stands in no text of words.
+JOINER = "\x02"
+#: An operand of a tag's expression: an identifier (longer ones are tried first) or a reference of one's own, perhaps with an
+#: exception (whose names have at most seven words).
+_OPERAND = (
+    rf"(?:{'|'.join(sorted((i[2] for i in IDENTIFIERS), key=len, reverse=True))}|licenseref(?: (?!or |and |with )[a-z0-9]+){{1,8}})"
+    r"(?: with(?: (?!or |and |with )[a-z0-9]+){1,8}?)?"
+)
+#: An operand after "identifier" or after the last match, and its operator: all of an expression, of whatever length, in one pass.
+EXPRESSION = rf"(?:(?<= licen[cs]e identifier )|(?<!^)\G((?:or|and) ))({_OPERAND}) (?=(?:or(?! (?:later|any later|at your option))|and) )"
+#: Priority, score, root, prefix, and what comes before the keyword.
 IDENTIFIER_FORMS = (
     (3, 1.0, "spdx", r"spdx licen[cs]e identifier ", "identifier "),
-    (3, 1.0, "identifier", rf"licen[cs]e identifier {_OPERAND}", ""),
-    (3, 1.0, "identifier", rf"identifier {_OPERAND}{_OPERAND}", ""),
+    (3, 1.0, JOINER, rf"(?:(?<={JOINER}or )|(?<={JOINER}and ))", ""),
     (2, 0.95, "licen", r"(?:is |are )?licen[cs]ed (?:to you )?under (?:the )?(?:terms of )?(?:the |a )?", ""),
     (2, 0.9, "ed under", r"(?:released|distributed|published) under (?:the )?(?:terms of )?(?:the |a )?", ""),
     (2, 0.9, "available under", r"available under (?:the )?(?:terms of )?(?:the |a )?", ""),

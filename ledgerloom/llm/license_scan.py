@@ -41,6 +41,9 @@ def scan_licenses(docs: DataFrame, rules: list[dict] | None = None, id_col: str
     rules = rules or license_rules.rules()
     words = F.regexp_replace(F.translate(text_of(text_col), UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).alias("id"), F.concat(F.lit(" "), F.btrim(words), F.lit(" ")).alias("words"))
+    # every operand of a tag's expression but the first stands after a marked operator
+    marked = F.regexp_replace("words", license_rules.EXPRESSION, f"$1$2 {license_rules.JOINER}")
+    rows = rows.withColumn("words", F.when(F.contains("words", F.lit("e identifier ")), marked).otherwise(F.col("words")))
     rows = rows.withColumn("n_words", F.when(F.length("words") == 2, F.lit(0)).otherwise(_spaces(F.col("words")) - 1).cast("long"))
     tried = []
     for root in sorted({r["root"] for r in rules}):

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import reference as plain
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -19,6 +20,7 @@ LICENSE_RULES = [r | {"pattern": re.compile(r["pattern"])} for r in license_rule
 def plain_license(text):
     w = plain.words(text)
     norm, found, base = " " + " ".join(w) + " ", [], []
+    norm = regex.sub(license_rules.EXPRESSION, lambda m: f"{m[1] or ''}{m[2]} {license_rules.JOINER}", norm)
     for r in LICENSE_RULES:
         for m in r["pattern"].finditer(norm):
             start, length = norm[: m.start()].count(" ") - 1, m[0].count(" ") + 1
@@ -101,12 +103,42 @@ def test_license_identifiers_of_real_tags(spark):
         assert (max((d["score"] for d in r["found"]), default=0.0), ",".join(sorted({d["label"] for d in top}))) == (score, labels), text
 
 
+def test_license_expressions_of_any_length(spark):
+    """All operands of a tag, from one to dozens, in brackets, with exceptions and references of one's own."""
+    names = {"MIT": "mit", "LGPL-2.1-only": "lgpl-2.1", "BSD-3-Clause": "bsd-3-clause", "ISC": "isc", "GPL-2.0-or-later WITH Classpath-exception-2.0": "gpl-2.0+", "Zlib": "zlib",
+             "LicenseRef-Our-Own-1.0": None, "Apache-2.0 WITH LLVM-exception": "apache-2.0", "MPL-2.0": "mpl-2.0", "CC0-1.0": "cc0", "GPL-2.0-only WITH Linux-syscall-note": "gpl-2.0"}
+    order = list(names)
+    cases = [(f"/* SPDX-License-Identifier: ({' AND '.join(order[:n])}) */", set(order[:n])) for n in range(1, len(order) + 1)]
+    cases += [(f"SPDX-License-Identifier: {order[k]} OR (({order[k - 1]} AND {order[k - 2]}) OR {order[k - 3]})\nmain", {order[k - j] for j in range(4)}) for k in range(11)]
+    cases += [("SPDX-License-Identifier: " + " OR ".join(["MIT", "ISC"] * 40 + ["Zlib"]), {"MIT", "ISC", "Zlib"})]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id bigint, text string")
+    for r in license_scan.scan_licenses(df).collect():
+        text, held = cases[r["id"]]
+        found = [d for d in r["found"] if d["priority"] == 3]
+        assert {d["label"] for d in found} == {names[h] for h in held} - {None}, text
+        assert sorted((d["start"], d["length"], d["label"]) for d in r["found"]) == sorted((d[0], d[1], d[4]) for d in plain_license(text)[2])
+    assert max(len(r["found"]) for r in license_scan.scan_licenses(df).collect()) == 81
+
+
+def test_later_versions_outside_of_tags(spark):
+    cases = {
+        "GPL-2.0-or-later WITH Classpath-exception-2.0": "gpl-2.0+", "under the GPL v3 or any later version": "gpl-3.0+", "GNU LGPL 2.1 or later": "lgpl-2.1+",
+        "GNU Lesser General Public License version 2.1 or (at your option) any later version": "lgpl-2.1+", "GNU Affero General Public License v3 or later": "agpl-3.0+",
+        "GNU General Public License version 3 or later": "gpl-3.0+", "AGPL 3.0 or later": "agpl-3.0+", "GPL-2.0-only": "gpl-2.0",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    for r in license_scan.scan_licenses(df).collect():
+        text = list(cases)[r["id"]]
+        longest = max(r["found"], key=lambda d: d["length"])
+        assert longest["label"] == cases[text] and not [d for d in r["found"] if d["label"] == cases[text].rstrip("+") != cases[text]], (text, r["found"])
+
+
 def test_every_identifier_has_a_tag_that_its_rules_find():
     assert {i[0] for i in license_rules.NAMES} - {i[0] for i in license_rules.IDENTIFIERS} <= {"cc"}
     for r in license_rules.rules():
-        if r["root"] in ("spdx", "identifier", "ed under", "available under"):
+        if r["root"] in ("spdx", license_rules.JOINER, "ed under", "available under"):
             for label, keyword, _ in license_rules.IDENTIFIERS:
-                for lead in ("spdx license identifier ", "spdx license identifier mit or ", "spdx license identifier mit or isc and ", "released under ", "available under "):
+                for lead in ("spdx license identifier ", "spdx license identifier mit \x02or ", "released under ", "available under "):
                     norm = f" {lead}{keyword} 0 1 0 clause or later "
                     assert not re.search(r["pattern"], norm) or (r["keyword"] in norm and r["root"] in norm)
 
