@@ -2,9 +2,10 @@
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as
 Parquet and read again as the next stage's documents. What a stage writes for
-itself in the shared folder goes once its result is stored: run() knows when,
-a stage that is called by itself takes it that results of the stages before it
-are stored. Nothing else is deleted before Python ends.
+itself in the shared folder belongs to the result of that call: run() deletes it
+once the result is stored; a stage that is called by itself and writes more than
+totals stores its own result, deletes the rest at once, and returns what it
+stored. Nothing that a result needs is deleted before Python ends.
 """
 
 from __future__ import annotations
@@ -75,25 +76,25 @@ _PLAIN: list[tuple[str, Stage]] = [
     ("mixing sources", mix_sources),
     ("best-fit packing", pack),
 ]
-#: What stages that were called by themselves have written, by their number.
-_open: dict[int, list[common.Tables]] = {}
+#: Stages whose own tables are about as large as their documents.
+_LARGE = (dedup_lines, near_duplicates)
 
 
-def _alone(number: int, stage: Stage) -> Stage:
+def _alone(name: str, stage: Stage) -> Stage:
     @wraps(stage)
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for earlier in [k for k in _open if k < number]:
-            for tables in _open.pop(earlier):
-                common.release(tables)
+        if stage not in _LARGE:
+            return stage(spark, docs, sf_dir)
         with common.owned() as tables:
-            out = stage(spark, docs, sf_dir)
-        _open.setdefault(number, []).append(tables)
-        return out
+            made = stage(spark, docs, sf_dir)
+        stored = common.cut(made, name.replace(" ", "-"))
+        common.release(tables)
+        return stored
 
     return begin
 
 
-STAGES: list[tuple[str, Stage]] = [(name, _alone(k, stage)) for k, (name, stage) in enumerate(_PLAIN)]
+STAGES: list[tuple[str, Stage]] = [(name, _alone(name, stage)) for name, stage in _PLAIN]
 #: Fitted trees and a tokenizer are beyond SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
