@@ -3,11 +3,13 @@
 A window is the shortest run of consecutive non-blank lines, begun or ended at
 a line, that holds ``min_words`` words. The place of its smallest line hash is
 its fingerprint: a repeated run of ``min_words`` words holds a whole window, so
-its copies share a fingerprint. Places are joined on their fingerprints; from a
-shared one the match is extended both ways to the bounds of each window that it
-stands for, where digests of the whole content decide. Matched windows that
-stood earlier are extended by those they overlap to maximal runs, and deleted.
-Repeats that begin or end inside a line count only by their whole lines.
+its copies share a fingerprint at the same line. Places are joined on their
+fingerprints. Only from a place that another one shares is the match extended,
+backward and forward over the hashes of its document's lines, to the bounds of
+each window that it stands for; places whose lines agree both ways are copies,
+and the first of them stays. From window to window the later ones' matches grow
+to maximal runs, which are deleted. Repeats that begin or end inside a line
+count only by their whole lines.
 """
 
 from __future__ import annotations
@@ -18,22 +20,29 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import col, cut, source_columns, spread_join, text_of, whole_row, words_in
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc, k, text``; ``k`` hashes the text."""
+    return docs.select(col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).select("doc", F.xxhash64("text").alias("k"), "text")
+
+
 def _fingerprints(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per fingerprint place: ``doc, k, at, fp`` and the windows it stands for, as ``b, e, d1, d2``."""
-    lines = docs.select(col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).select(
-        "doc", F.xxhash64("text").alias("k"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
-    )
-    lines = lines.select("doc", "k", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), words_in(F.col("line")).alias("w"))
+    """One row per fingerprint place: ``doc, k, at, fp`` and the bounds of the windows it stands for.
+
+    ``at``, ``first`` and ``last`` count non-blank lines, ``b`` and ``e`` all lines.
+    """
+    lines = _named(docs, id_col, text_col).select("doc", "k", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = lines.select("doc", "k", "pos", F.xxhash64("line").alias("h"), words_in(F.col("line")).alias("w"))
     # rows that repeat a document's id and text count once
     lines = lines.where("w > 0").repartition("doc", "k").distinct()
     doc = Window.partitionBy("doc", "k")
-    lines = lines.withColumn("d", F.sum("w").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    upto = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("d", F.sum("w").over(upto)).withColumn("i", F.count("*").over(upto).cast("int") - 1)
     lines = lines.withColumn("c", F.col("d") - F.col("w"))
 
     def window(over: Window) -> list[Column]:
         return [
-            F.min("pos").over(over).alias("b"), F.max("pos").over(over).alias("e"), F.sum("w").over(over).alias("held"),
-            F.min(F.struct("h", "pos")).over(over).alias("least"), F.collect_list("h").over(over).alias("hs"), F.collect_list("g").over(over).alias("gs"),
+            F.min("i").over(over).alias("first"), F.max("i").over(over).alias("last"), F.min("pos").over(over).alias("b"), F.max("pos").over(over).alias("e"),
+            F.sum("w").over(over).alias("held"), F.min(F.struct("h", "i")).over(over).alias("least"),
         ]
 
     begun = lines.withColumn("begun", F.struct(*window(doc.orderBy("c").rangeBetween(0, min_words - 1))))
@@ -43,10 +52,23 @@ def _fingerprints(docs: DataFrame, min_words: int, id_col: str, text_col: str) -
     found = both.select("doc", "k", F.inline(F.array_compact(F.array(
         F.when(F.col("begun.held") >= min_words, F.col("begun")), F.when((F.col("ended.held") >= min_words) & ~again, F.col("ended"))
     ))))
-    found = found.select("doc", "k", F.col("least.pos").alias("at"), F.col("least.h").alias("fp"), F.struct("b", "e", F.xxhash64("hs").alias("d1"), F.xxhash64("gs").alias("d2")).alias("window"))
+    found = found.select("doc", "k", F.col("least.i").alias("at"), F.col("least.h").alias("fp"), F.struct("first", "last", "b", "e").alias("window"))
     return found.groupBy("doc", "k", "at", "fp").agg(F.collect_list("window").alias("windows"))
 
 
+def _extended(places: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc, k, b, e, d1, d2``: each place followed backward and forward to the bounds of its windows."""
+    filled = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    hashes = [F.transform(filled, lambda x: F.xxhash64(x)).alias("h"), F.transform(filled, lambda x: F.xxhash64(F.lit(1), x)).alias("g")]
+    lines = _named(docs, id_col, text_col).select("doc", "k", *hashes).groupBy("doc", "k").agg(F.first("h").alias("h"), F.first("g").alias("g"))
+    held = places.groupBy(F.col("doc").alias("of"), F.col("k").alias("key")).agg(F.collect_list(F.struct("at", "windows")).alias("places"))
+    met = lines.join(held.hint("merge"), F.col("doc").eqNullSafe(F.col("of")) & (F.col("k") == F.col("key")))
+    met = met.select("doc", "k", "h", "g", F.explode("places").alias("p")).select("doc", "k", "h", "g", "p.at", F.explode("p.windows").alias("w"))
+    back, forth = F.col("at") - F.col("w.first") + 1, F.col("w.last") - F.col("at") + 1
+    digest = lambda of: F.xxhash64(F.slice(of, F.col("w.first") + 1, back), F.slice(of, F.col("at") + 1, forth))
+    return met.select("doc", "k", "w.b", "w.e", digest("h").alias("d1"), digest("g").alias("d2"))
+
+
 def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc, k, b, e``: the maximal runs of lines (from 0) whose windows all stood earlier.
 
@@ -55,8 +77,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     places = cut(_fingerprints(docs, min_words, id_col, text_col), "fingerprints")
     # a fingerprint at one place may still stand for two windows; those share it and differ
     shared = cut(places.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    met = spread_join(places, shared, ["fp"], "left_semi").select("doc", "k", F.inline("windows"))
-    met = cut(met, "extended")
+    met = cut(_extended(spread_join(places, shared, ["fp"], "left_semi"), docs, id_col, text_col), "extended")
     place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "k", "b")
     first = cut(met.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "repeated")
     later = spread_join(met, first, ["d1", "d2"]).where(place != F.col("first")).select("doc", "k", "b", "e")

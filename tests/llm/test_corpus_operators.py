@@ -352,6 +352,14 @@ def test_a_pipeline_stage_deletes_no_other_result(spark, sf_dir):
     assert (packed.count(), first.count()) == (count, left)
     corpus_pipeline.run(spark, sf_dir).count()
     assert packed.count() == count
+    # two corpora with their stages interleaved, in any order
+    other = docs.where("doc_id < 50")
+    near, lines = corpus_pipeline.STAGES[2][1](spark, other, sf_dir), corpus_pipeline.STAGES[1][1](spark, other, sf_dir)
+    mixed = corpus_pipeline.STAGES[3][1](spark, first, sf_dir)
+    counts = (near.count(), lines.count(), mixed.count())
+    corpus_pipeline.STAGES[4][1](spark, lines, sf_dir).count()
+    corpus_pipeline.STAGES[2][1](spark, docs, sf_dir).count()
+    assert (first.count(), near.count(), lines.count(), mixed.count()) == (left, *counts)
 
 
 def test_components(spark):
