@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -166,7 +165,7 @@ def status_changes(t: Tables):
 SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""")
 def seen_ledger_stream(t: Tables):
     """The first event of each user and kind, appended by a stream that reads what has landed, batch by batch; a second run adds nothing."""
-    folder = f"{incremental.work_folder(t.spark)}/seen-{uuid.uuid4().hex}"
+    folder = incremental.new_folder(t.spark, "seen")
     shape = t.events.schema
     landed = t.spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(t.folder)
     for _ in range(2):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ledgerloom.operators import consensus, dedupe
+from ledgerloom.streaming.ledger import Ledger, names_in, remove
+
+_folders: list[tuple[SparkSession, str]] = []
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -24,6 +29,22 @@ def work_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/ledgerloom-streams"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one stream's files; it goes when Python ends."""
+    folder = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _folders.append((spark, folder))
+    return folder
+
+
+@atexit.register
+def _leave() -> None:
+    for spark, folder in _folders:
+        try:
+            remove(spark, folder)
+        except Exception:  # the session has ended; the files belong to its folder
+            return
+
+
 def available_now(query, checkpoint: str):
     """Run a streaming writer over what has arrived, then stop; the checkpoint remembers it."""
     run = query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -31,29 +52,36 @@ def available_now(query, checkpoint: str):
     return run
 
 
-def ingest(stream: DataFrame, store: str, checkpoint: str, source: str, record: str, order: str, limit: int | None = None):
+def ingest(stream: DataFrame, store: str, checkpoint: str, source: str, record: str, order: str, limit: int | None = None, buckets: int = 64, fan: int = 8):
     """Append records that the store does not hold, at most ``limit`` a source and batch; the others wait and come first in the next batch.
 
-    What waits is a table of its own (``deferred``), of which the last batch's
-    counts; a run that finds nothing new takes the next ones from it. A batch
-    is written under its id, so one that runs again after a failure replaces
-    its own files and appends nothing twice.
+    What the store holds is read from a :class:`~ledgerloom.streaming.ledger.Ledger`
+    of (source, record): only the hash buckets that a batch falls into, from a
+    number of runs that grows with the logarithm of the batches. What waits is a
+    table of its own (``deferred``), of which the last batch's counts; a run
+    that finds nothing new takes the next ones from it. A batch is written
+    under its id, so one that runs again after a failure replaces its own files
+    and appends nothing twice.
     """
+    ledger = Ledger(stream.sparkSession, f"{store}/seen", stream.select(source, record).schema, buckets, fan)
 
     def take(rows: DataFrame, epoch: float) -> None:
         spark, shape = rows.sparkSession, rows.schema
-        stored, waiting = read_store(spark, store, shape, before=epoch), read_deferred(spark, store, shape, before=epoch)
+        ledger.merge(before=epoch)
+        waiting = read_deferred(spark, store, shape, before=epoch)
         rows = rows.withColumn("_late", F.lit(1))
         if waiting is not None:
             rows = rows.unionByName(waiting.withColumn("_late", F.lit(0)))
-        new = dedupe.keep_first(rows, [F.col(source), F.col(record)], [F.col("_late"), F.col(order)])
-        if stored is not None:
-            new = new.join(stored.select(source, record).distinct(), [source, record], "left_anti")
+        new = ledger.unseen(dedupe.keep_first(rows, [F.col(source), F.col(record)], [F.col("_late"), F.col(order)]), before=epoch)
         if limit:
             new = dedupe.write_quota(new, source, F.lit(False), [F.col("_late"), F.col(order)], limit)
             new.where("action = 'defer'").drop("action", "is_seen", "_late").write.mode("overwrite").parquet(f"{store}/deferred/epoch={epoch}")
             new = new.where("action = 'create'").drop("action", "is_seen")
-        new.drop("_late").write.mode("overwrite").parquet(f"{store}/records/epoch={epoch}")
+        target = f"{store}/records/epoch={epoch}"
+        new.drop("_late").write.mode("overwrite").parquet(target)
+        ledger.add(spark.read.schema(shape).parquet(target), epoch)
+        for old in _epochs(spark, f"{store}/deferred")[:-2]:  # the last two may still be read
+            remove(spark, f"{store}/deferred/epoch={old}")
 
     took: list[int] = []
 
@@ -72,12 +100,7 @@ def ingest(stream: DataFrame, store: str, checkpoint: str, source: str, record:
 
 def _epochs(spark: SparkSession, folder: str) -> list[float]:
     """The batch ids under a folder, ascending."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(path)]
-    return sorted(float(n.split("=", 1)[1]) for n in names if n.startswith("epoch="))
+    return sorted(float(n) for n in names_in(spark, folder, "epoch="))
 
 
 def read_deferred(spark: SparkSession, store: str, schema: StructType | str, before: float | None = None) -> DataFrame | None:
@@ -86,10 +109,10 @@ def read_deferred(spark: SparkSession, store: str, schema: StructType | str, bef
     return spark.read.schema(schema).parquet(f"{store}/deferred/epoch={epochs[-1]}") if epochs else None
 
 
-def read_store(spark: SparkSession, store: str, schema: StructType | str, before: float | None = None) -> DataFrame | None:
-    """Rows appended so far (by earlier batches than ``before``), or None if there are none."""
-    epochs = [e for e in _epochs(spark, f"{store}/records") if before is None or e < before]
-    return spark.read.schema(schema).parquet(*[f"{store}/records/epoch={e}" for e in epochs]) if epochs else None
+def read_store(spark: SparkSession, store: str, schema: StructType | str) -> DataFrame | None:
+    """Rows appended so far, or None if there are none."""
+    folder = f"{store}/records"
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder) if names_in(spark, folder, "epoch=") else None
 
 
 def unseen(stream: DataFrame, keys: list[str], moment: str | None = None, delay: str = "30 days") -> DataFrame:
