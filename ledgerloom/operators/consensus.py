@@ -40,17 +40,18 @@ def top_themes(themes: DataFrame, keys: tuple[str, ...], theme: str, limit: int
 def representatives(rows: DataFrame, keys: tuple[str, ...], bucket: str, severity_rank: Column, arrival: str, limit: int = 5) -> DataFrame:
     """Up to ``limit`` rows a group: first the worst of each bucket by bucket frequency, then the worst of the rest.
 
-    Sizes of buckets are joined from an aggregation, so no window holds a
-    group only to count it.
+    A bucket can give no more than its ``limit`` worst rows, so only these are
+    kept, already before the shuffle (a limit a group on each side of it); hot
+    groups and buckets are neither sorted nor gathered whole. What is left is
+    joined with the buckets' sizes and ranked.
     """
-    ranks = histogram(rows, keys, bucket, arrival).select(*keys, bucket, F.col("rank").alias("bucket_rank"))
-    rows = rows.withColumn("severity_rank", severity_rank)
-    rows = rows.join(ranks, [*keys, bucket])
     inside = Window.partitionBy(*keys, bucket).orderBy(F.desc("severity_rank"), arrival)
-    rows = rows.withColumn("nth", F.row_number().over(inside))
+    worst = rows.withColumn("severity_rank", severity_rank).withColumn("nth", F.row_number().over(inside)).where(F.col("nth") <= limit)
+    ranks = histogram(rows, keys, bucket, arrival).select(*keys, bucket, F.col("rank").alias("bucket_rank"))
     heads = F.when(F.col("nth") == 1, F.col("bucket_rank"))
     order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(heads), F.desc("severity_rank"), arrival)
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("nth")
+    kept = worst.join(ranks, [*keys, bucket])
+    return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("nth")
 
 
 def latest(rows: DataFrame, keys: tuple[str, ...], moment: str) -> DataFrame:

@@ -11,23 +11,60 @@ def release_windows(records: DataFrame, keys: tuple[str, ...], start: str, tie:
     return records.withColumn("window_end", F.lead(start).over(Window.partitionBy(*keys).orderBy(start, tie)))
 
 
-def active_at(events: DataFrame, windows: DataFrame, keys: tuple[str, ...], moment: str, start: str, tie: str, payload: tuple[str, ...]) -> DataFrame:
+def active_at(
+    events: DataFrame, windows: DataFrame, keys: tuple[str, ...], moment: str, start: str, tie: str, payload: tuple[str, ...],
+    parts: int = 1024, splits: int = 64, least: int = 100_000,
+) -> DataFrame:
     """As-of join without pairs: the last window that starts at or before each event's moment.
 
     Events and window starts are put in one order per key; the last start seen
-    is carried forward. One shuffle, no candidate rows; of windows that start
-    together the last by ``tie`` counts.
+    is carried forward. Of windows that start together the last by ``tie``
+    counts. A key that holds over a ``parts``-th of the rows (there are fewer
+    than ``parts`` of them) and more than ``least`` is cut at quantiles of its own moments into up to
+    ``splits`` stretches; the last start of each, an aggregate, is carried over
+    the borders, so that no task orders a hot key whole. One shuffle of the
+    rows, no candidate rows.
     """
     kept = [F.col(c) for c in events.columns if c not in keys]
     stream = events.select(*keys, F.col(moment).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(dict(windows.dtypes)[tie]).alias("tie"),
                            F.struct(*kept).alias("event"), F.lit(None).cast(_type(windows, payload)).alias("window"))
     starts = windows.select(*keys, F.col(start).alias("at"), F.lit(0).alias("kind"), F.col(tie).alias("tie"),
                             F.lit(None).cast(_type(events, tuple(c for c in events.columns if c not in keys))).alias("event"), F.struct(*payload).alias("window"))
-    order = Window.partitionBy(*keys).orderBy("at", "kind", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    carried = stream.unionByName(starts).withColumn("window", F.last("window", ignorenulls=True).over(order)).where("kind = 1")
+    hot = _hot(events.select(*keys, F.col(moment).alias("at")).unionByName(windows.select(*keys, F.col(start).alias("at"))), keys, parts, splits, least)
+    if hot is None:
+        return _carried(stream.unionByName(starts).withColumn("stretch", F.lit(0)), keys, payload)
+    hot = F.broadcast(hot)
+    stretch = F.when(F.col("borders").isNotNull(), F.size(F.filter("borders", lambda b: b <= F.col("at")))).otherwise(0).alias("stretch")
+    dealt = lambda rows: rows.join(hot, list(keys), "left").select(*rows.columns, stretch)
+    starts = dealt(starts)
+    # the last start of each stretch of a hot key, carried into the following ones up to the next that has one
+    lasts = starts.join(hot, list(keys)).groupBy(*keys, "stretch").agg(F.max_by("window", F.struct("at", "tie")).alias("window"))
+    until = F.coalesce(F.lead("stretch").over(Window.partitionBy(*keys).orderBy("stretch")), F.lit(splits))
+    lasts = lasts.withColumn("until", until).where(F.col("until") > F.col("stretch")).withColumn("stretch", F.explode(F.sequence(F.col("stretch") + 1, "until")))
+    rows = dealt(stream).unionByName(starts)
+    nothing = [F.lit(None).cast(dict(rows.dtypes)[c]).alias(c) for c in ("at", "tie", "event")]
+    rows = rows.unionByName(lasts.select(*keys, "stretch", "window", F.lit(-1).alias("kind"), *nothing))
+    return _carried(rows, keys, payload)
+
+
+def _carried(rows: DataFrame, keys: tuple[str, ...], payload: tuple[str, ...]) -> DataFrame:
+    order = Window.partitionBy(*keys, "stretch").orderBy(F.col("kind") >= 0, "at", "kind", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    carried = rows.withColumn("window", F.last("window", ignorenulls=True).over(order)).where("kind = 1")
     return carried.select(*keys, "event.*", *[F.col("window").getField(c).alias(c) for c in payload])
 
 
+def _hot(moments: DataFrame, keys: tuple[str, ...], parts: int, splits: int, least: int) -> DataFrame | None:
+    """The keys with over a ``parts``-th of the rows and the borders of their stretches, fewer than ``parts`` rows; or None."""
+    counts = moments.groupBy(*keys).agg(F.count("*").alias("n"))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    if most is None or most <= least or most * parts <= total:
+        return None
+    names = counts.where((F.col("n") * parts > F.lit(total)) & (F.col("n") > least)).select(*keys)
+    shares = [i / splits for i in range(1, splits)]
+    found = moments.join(F.broadcast(names), list(keys), "left_semi").groupBy(*keys)
+    return found.agg(F.array_distinct(F.percentile_approx("at", shares, splits * 100)).alias("borders")).where("borders IS NOT NULL")
+
+
 def _type(df: DataFrame, columns: tuple[str, ...]) -> str:
     types = dict(df.dtypes)
     return "struct<" + ",".join(f"`{c}`:{types[c]}" for c in columns) + ">"

@@ -1,10 +1,12 @@
 import datetime as dt
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
-from ledgerloom.operators import dedupe, gates, health, reconcile, sinks, temporal, views
+from ledgerloom.operators import consensus, dedupe, gates, health, reconcile, sinks, temporal, views
 
 NOW = dt.datetime(2026, 7, 15)
 FRESH, STALE, PRE, FUTURE = (dt.datetime(2026, m, d) for m, d in ((7, 10), (6, 15), (5, 15), (8, 1)))
@@ -88,6 +90,40 @@ def test_as_of(spark):
     assert {r["id"]: r["version"] for r in found.collect()} == {1: None, 2: "v1", 3: "v3", 4: None}
 
 
+def test_as_of_on_a_hot_key(spark):
+    """One key with all but a few rows is cut into stretches of about equal size, and gives the same rows."""
+    rng = random.Random(6)
+    events = [("h" if i % 50 else f"k{i % 7}", i, None if i % 97 == 0 else int(rng.expovariate(0.01))) for i in range(3000)]
+    starts = [("h", f"v{i}", int(rng.expovariate(0.01))) for i in range(300)] + [("h", "late", 5000), ("h", "none", None), ("k1", "w", 40)]
+    e = spark.createDataFrame(events, "k string, id int, at int")
+    w = spark.createDataFrame(starts, "k string, version string, start int")
+    found = temporal.active_at(e, w, ("k",), "at", "start", "version", ("version", "start"), parts=4, splits=16, least=100)
+    low = lambda v: (v is not None, v or 0)
+    wanted = {}
+    for k, i, at in events:
+        before = [(low(s), v) for key, v, s in starts if key == k and low(s) <= low(at)]
+        wanted[i] = max(before)[1] if before else None
+    assert {r["id"]: r["version"] for r in found.collect()} == wanted
+    (borders,) = (r["borders"] for r in temporal._hot(e.select("k", "at"), ("k",), 4, 16, 100).collect())
+    sizes = Counter(sum(b <= at for b in borders) for k, _, at in events if k == "h" and at is not None)
+    assert len(sizes) == 16 and max(sizes.values()) <= 3 * sorted(sizes.values())[8]
+
+
+def test_representatives_keep_whole_buckets_apart(spark):
+    """Against a plain version, on one hot group and bucket with ties."""
+    rng = random.Random(2)
+    rows = [("hot" if i % 10 else f"g{i % 30}", rng.choice("aaaab"), rng.randrange(1, 5), i) for i in range(2000)] + [("few", "z", 1, 9000)]
+    df = spark.createDataFrame(rows, "k string, bucket string, sev int, arrival int")
+    got = consensus.representatives(df, ("k",), "bucket", F.col("sev"), "arrival", 3).collect()
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[2], r[3]))
+        sizes = Counter(r[1] for r in mine)
+        order = sorted(sizes, key=lambda b: (-sizes[b], min(r[3] for r in mine if r[1] == b)))
+        heads = [next(r for r in mine if r[1] == b) for b in order]
+        wanted = [r[3] for r in (heads + [r for r in mine if r not in heads])[:3]]
+        assert [r["arrival"] for r in sorted(got, key=lambda r: r["place"]) if r["k"] == key] == wanted
+
+
 def test_version_window_prefers_its_channel(spark):
     w = spark.createDataFrame([("p", "1", "beta", 1), ("p", "1", "stable", 2)], "p string, v string, channel string, window_start int")
     m = spark.createDataFrame([("p", "1", "stable"), ("p", "1", "rc"), ("p", "2", "stable")], "p string, v string, channel string")
