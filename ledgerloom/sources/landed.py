@@ -71,26 +71,28 @@ def answers(feeds_by_query: dict[str, DataFrame], first_day: str | None = None)
     return publication.union_first(*tagged, key=urls.normalize_url(F.col("source_url"))).drop("source_rank")
 
 
-def thread_links(pages: DataFrame, specific: Column, most: int = 25) -> DataFrame:
+def thread_links(pages: DataFrame, specific: Column, most: int | None = None) -> DataFrame:
     """``page_id, link``: the first distinct thread URLs of listing pages, canonical."""
     found = p.links(pages, F.lit(True), most=None).withColumn("link", urls.canonical_page(F.col("link"))).where(specific)
     first = found.groupBy("link").agg(F.min(F.struct("page_id", "nth")).alias("at"))
-    return first.select("at.page_id", "at.nth", "link").orderBy("page_id", "nth").limit(most).select("page_id", "link")
+    rows = first.select("at.page_id", "at.nth", "link").orderBy("page_id", "nth")
+    return (rows.limit(most) if most else rows).select("page_id", "link")
 
 
-def threads(pages: DataFrame, source_type: str, source_name: str, most: int = 4000) -> DataFrame:
+def threads(pages: DataFrame, source_type: str, source_name: str, most: int | None = None) -> DataFrame:
     """Candidates of landed thread pages (``url, html``): title, text, the first date that stands in it; walled pages give none."""
     said, title = text.collapse(text.strip_tags(F.col("html"), entities=False)), text.html_title(F.col("html"))
     walled = F.lower(said).rlike("captcha|access denied|forbidden") | (said == "")
     date = F.regexp_extract(said, r"\b(20\d{2}-\d{2}-\d{2})\b", 1)
     date = F.when(date != "", date).otherwise(F.coalesce(p.month_date(said).cast("string"), F.lit("")))
     name = F.when(title != "", title).otherwise(F.col("url"))
-    return _candidate(pages.where(~walled), source_type, F.lit(source_name), F.col("url"), name, F.substring(said, 1, most), date)
+    return _candidate(pages.where(~walled), source_type, F.lit(source_name), F.col("url"), name, F.substring(said, 1, most) if most else said, date)
 
 
-def hydrated(ids: DataFrame, topics: DataFrame, released: Column, source_type: str = "adobe_community_bug_report", most: int = 20) -> DataFrame:
-    """Topics (``id, url, title, body, created_at``) of the first ``most`` distinct ids that a search gave (``id, nth``), none from before the release."""
-    first = ids.where(F.col("id").rlike(r"^\d+$")).groupBy("id").agg(F.min("nth").alias("nth")).orderBy("nth").limit(most)
+def hydrated(ids: DataFrame, topics: DataFrame, released: Column, source_type: str = "adobe_community_bug_report", most: int | None = None) -> DataFrame:
+    """Topics (``id, url, title, body, created_at``) of the distinct ids that a search gave (the first ``most``) (``id, nth``), none from before the release."""
+    first = ids.where(F.col("id").rlike(r"^\d+$")).groupBy("id").agg(F.min("nth").alias("nth"))
+    first = first.orderBy("nth").limit(most) if most else first
     rows = topics.join(first, "id", "left_semi").where((F.coalesce("created_at", F.lit("")) == "") | (F.substring("created_at", 1, 10) >= released))
     made = _candidate(rows, source_type, F.lit("Community"), F.col("url"), F.col("title"), F.col("body"), F.col("created_at"))
     return made.dropDuplicates(["source_url"])

@@ -23,7 +23,7 @@ def absolute(base: Column, href: Column) -> Column:
     )
 
 
-def links(pages: DataFrame, keep: Column, most: int | None = 10) -> DataFrame:
+def links(pages: DataFrame, keep: Column, most: int | None = None) -> DataFrame:
     """``page_id, nth, link, label`` of a page's anchors that ``keep`` (of link, label) accepts, distinct, in order."""
     found = pages.select(
         "page_id", "url",

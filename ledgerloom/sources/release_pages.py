@@ -51,11 +51,16 @@ def sections(pages: DataFrame, heading: str) -> DataFrame:
 VERSION_HEADING = r"<h[1-4]\b[^>]*>(?:(?!</h[1-4]>).)*?\b\d{2,4}\.\d{1,3}(?:(?!</h[1-4]>).)*</h[1-4]>"
 
 
-def release_notes(pages: DataFrame, limit: int | None = 3, heading: str = VERSION_HEADING, version: str = r"(\d{2,4}\.\d{1,3}(?:\.\d{1,3})?)", skip: str = r"beta|mobile|ios|android", most: int = 2600) -> DataFrame:
-    """Releases of a sectioned page: a version heading owns the text up to the next one; beta and mobile headings are passed over."""
+def release_notes(pages: DataFrame, limit: int | None = None, heading: str = VERSION_HEADING, version: str = r"(\d{2,4}\.\d{1,3}(?:\.\d{1,3})?)", skip: str = r"beta|mobile|ios|android",
+                  most: int | None = None, section_chars: int | None = None) -> DataFrame:
+    """Releases of a sectioned page: a version heading owns the text up to the next one; beta and mobile headings are passed over.
+
+    ``limit`` bounds the versions, ``section_chars`` what is read of a section, ``most`` what is kept of its text.
+    """
     rows = sections(pages, heading).where(~F.lower("title").rlike(skip))
     number = F.regexp_extract("title", version, 1)
-    body = F.substring(plain(F.substring("section", 1, 14_000)), 1, most)
+    body = plain(F.substring("section", 1, section_chars) if section_chars else F.col("section"))
+    body = F.substring(body, 1, most) if most else body
     said = F.concat_ws(" ", "title", body)
     month = F.regexp_extract(said, rf"(?i)\b({_MONTH})\s+(20\d{{2}})\b", 1)
     dated = F.coalesce(p.month_date(F.regexp_replace(said, r"\s+", " ")), day(F.regexp_extract(said, rf"(?i)\b(?:{_MONTH})\s+(20\d{{2}})\b", 1), month, F.lit("1")))
@@ -76,7 +81,7 @@ UNSTABLE = (
 CORE = r"2[0-9]\.\d{1,2}(?:\.\d{1,2})?"
 
 
-def headed_releases(pages: DataFrame, limit: int | None = 3, product: str = "Photoshop", foreign: str = NON_DESKTOP, unstable: str = UNSTABLE, core: str = CORE) -> DataFrame:
+def headed_releases(pages: DataFrame, limit: int | None = None, product: str = "Photoshop", foreign: str = NON_DESKTOP, unstable: str = UNSTABLE, core: str = CORE) -> DataFrame:
     """Releases that a heading alone establishes: one version next to the product's name, no other, and one date.
 
     ``precision`` is day or month; a heading with several months, or several
@@ -152,7 +157,7 @@ def with_known_issues(records: DataFrame, issues: DataFrame, key: str = "page_id
     return rows.withColumns({"body": F.coalesce(rolled, "body"), "known_issues_present": present}).drop("lines", "n")
 
 
-def update_history(pages: DataFrame, channel: str = "Current Channel", limit: int | None = 3) -> DataFrame:
+def update_history(pages: DataFrame, channel: str = "Current Channel", limit: int | None = None) -> DataFrame:
     """Versions of an update-history table: rows whose first cell is exactly the channel, with version and build; the first date counts, none is no fault."""
     cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"), F.lit(1)), plain)
     rows = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<tr\b[^>]*>.*?</tr>"), F.lit(0))).alias("nth", "row")).withColumn("cells", cells)
@@ -166,7 +171,7 @@ def update_history(pages: DataFrame, channel: str = "Current Channel", limit: in
 SUITE = r"(?i)\b(?:all (?:microsoft 365 )?apps|all office apps|across (?:the )?(?:microsoft 365|office) apps|every (?:microsoft 365|office) app|microsoft 365 apps suite)\b"
 
 
-def app_notes(pages: DataFrame, app: str, limit: int | None = 3) -> DataFrame:
+def app_notes(pages: DataFrame, app: str, limit: int | None = None) -> DataFrame:
     """Versions of a suite's release notes that say something about one app, or about all.
 
     A section needs a build and a date; a date without a year gets it from
@@ -196,7 +201,7 @@ FOREIGN = (
 )
 
 
-def version_history(pages: DataFrame, cloud: tuple[str, ...] = ("public cloud", "public cloud offerings"), edition: str = "new teams app version", platform: str = "windows", limit: int | None = 3) -> DataFrame:
+def version_history(pages: DataFrame, cloud: tuple[str, ...] = ("public cloud", "public cloud offerings"), edition: str = "new teams app version", platform: str = "windows", limit: int | None = None) -> DataFrame:
     """Versions of the one table that stands directly under the headings of a cloud, an edition and a platform.
 
     Headings carry down to the next of their level; a table counts only if
