@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import buckets, text, urls, versions
 from ledgerloom.operators import consensus, dedupe, views
 from ledgerloom.registry import Tables, query
+from ledgerloom.sources import plain_yaml
 
 THEMES = (("render", ("en%%%", "###")), ("audio", ("pathetic", "scum", "worthless")), ("startup", ("token",)), ("export", ("licensed", "copyright")), ("install", (" | ",)))
 THEME_SQL = """CASE WHEN contains(lower(text), 'en%%%') OR contains(lower(text), '###') THEN 'render'
@@ -164,3 +165,23 @@ def prefix_version_join(t: Tables):
     fulls = t.part.select(F.col("p_partkey").alias("full_key"), "p_name", head.alias("s"))
     matched = (F.col("p_name") == F.col("s")) | F.startswith("p_name", F.concat(F.col("s"), F.lit(" ")))
     return shorts.join(fulls, "s").where(matched).select("short_key", "full_key")
+
+
+@query("""
+SELECT p_partkey, item, id, name, size, brand, refused FROM (
+  SELECT p_partkey, 1 AS item, p_partkey::VARCHAR AS id, p_name AS name, p_size::VARCHAR AS size, NULL AS brand, NULL AS refused FROM part WHERE p_size % 7 <> 0
+  UNION ALL SELECT p_partkey, 2, 'it''s', NULL, NULL, p_brand, NULL FROM part WHERE p_size % 7 <> 0
+  UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, 'no plain value' FROM part WHERE p_size % 7 = 0)""")
+def plain_yaml_items(t: Tables):
+    """Items of YAML texts, one a part, by the reader of the plain subset; texts with a flow list are refused."""
+    part = lambda c: F.col(c).cast("string")
+    written = F.concat(
+        F.lit("title: parts\nevidence:\n  - id: "), part("p_partkey"), F.lit('\n    name: "'), F.col("p_name"), F.lit('"\n    size: '), part("p_size"), F.lit(" # inches\n"),
+        F.when(F.col("p_size") % 7 == 0, "    tags: [a, b]\n").otherwise(""), F.lit("  - id: 'it''s'\n\n    brand: "), F.col("p_brand"),
+    )
+    texts = t.part.select(part("p_partkey").alias("path"), written.alias("text"))
+    d = lambda k: F.try_element_at("data", F.lit(k)).alias(k)
+    items = plain_yaml.list_items(texts, "evidence").select("path", F.col("item").cast("int").alias("item"), d("id"), d("name"), d("size"), d("brand"), F.lit(None).cast("string").alias("refused"))
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("item", "int"), ("id", "string"), ("name", "string"), ("size", "string"), ("brand", "string"))]
+    found = items.unionByName(plain_yaml.refusals(texts).select("path", *nothing, "refused"))
+    return found.withColumn("p_partkey", F.col("path").cast("bigint")).drop("path")
