@@ -100,7 +100,8 @@ WITH u AS (
          CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM pages),
 base(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-own(h) AS (SELECT n || '.example.' || t FROM (VALUES ('adult-x'), ('ads-track'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) a(n), (VALUES ('com'), ('net'), ('org')) b(t)),
+own(h) AS (SELECT unnest(['2o7.net', 'adnxs.com', 'adsrvr.org', 'bet365.com', 'betfair.com', 'criteo.com', 'doubleclick.net', 'exoclick.com', 'googleadservices.com', 'googlesyndication.com',
+  'outbrain.com', 'pokerstars.com', 'popads.net', 'pornhub.com', 'propellerads.com', 'quantserve.com', 'rubiconproject.com', 'scorecardresearch.com', 'taboola.com', 'xhamster.com', 'xnxx.com', 'xvideos.com'])),
 hit AS (
   SELECT page_id, host, path, h || p AS rule, v FROM u LEFT JOIN base ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
   QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) = 1)

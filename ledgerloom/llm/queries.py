@@ -14,7 +14,11 @@ from ledgerloom.llm import (
 
 #: Host, path, verdict of the contract's rules, and hosts that the method blocks where none of these fits.
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: Hosts of advertising, tracking, betting and adult pages; LEDGERLOOM_URL_RULES names a Parquet table of others.
+BLOCKED_HOSTS = (
+    "2o7.net", "adnxs.com", "adsrvr.org", "bet365.com", "betfair.com", "criteo.com", "doubleclick.net", "exoclick.com", "googleadservices.com", "googlesyndication.com", "outbrain.com",
+    "pokerstars.com", "popads.net", "pornhub.com", "propellerads.com", "quantserve.com", "rubiconproject.com", "scorecardresearch.com", "taboola.com", "xhamster.com", "xnxx.com", "xvideos.com",
+)
 CAPACITY, END_ID = 4096, 1
 MIN_WORDS = 50
 NGRAM, JACCARD = 5, 0.8
@@ -65,8 +69,11 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [(*r, 0) for r in URL_RULES] + [(f"{n}.example.{top}", "", "block", 1) for n in BLOCKED_NAMES for top in ("com", "net", "org")]
-    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), spark.createDataFrame(rules, url_filter.RULES))
+    base_rules = spark.createDataFrame([(*r, 0) for r in URL_RULES], url_filter.RULES)
+    given = os.environ.get("LEDGERLOOM_URL_RULES")
+    own_rules = spark.read.parquet(given) if given else spark.createDataFrame([(h, "", "block") for h in BLOCKED_HOSTS], "host string, path string, verdict string")
+    rules = base_rules.unionByName(own_rules.select("host", "path", "verdict", F.lit(1).alias("rank")))
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     base, own = F.col("hits")[0], F.col("hits")[1]
     return judged.select("page_id", "host", "path", base["rule"].alias("rule"), F.coalesce(base["verdict"], own["verdict"], F.lit("allow")).alias("verdict"))
 

@@ -238,3 +238,15 @@ def test_url_rules(spark, limit):
     assert bad["hits"][0] is None and bad["hits"][1]["verdict"] == "block"
     assert url_filter.judge_urls(urls.where("page_id < 0"), rules, broadcast_rules=limit).count() == 0
     assert url_filter.judge_urls(urls, rules.where("host = ''"), broadcast_rules=limit).count() == len(URLS) + 1
+
+
+def test_hosts_of_the_method_are_configuration(spark, sf_dir, tmp_path, monkeypatch):
+    """The method's rules block where no rule of the contract fits, and come from a table if one is named."""
+    urls = ["http://ads.DoubleClick.net/x", "http://www.example.com/en/", "http://a.net/es/", "https://news.example.org/", None]
+    folder = tmp_path / "in"
+    spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").write.parquet(f"{folder}/pages.parquet")
+    verdicts = lambda: [r["verdict"] for r in queries.op6_url_filter(spark, str(folder)).orderBy("page_id").collect()]
+    assert verdicts() == ["block", "allow", "block", "allow", "allow"]
+    spark.createDataFrame([("example.org", "/", "block"), ("net", "", "allow")], "host string, path string, verdict string").write.parquet(f"{tmp_path}/rules")
+    monkeypatch.setenv("LEDGERLOOM_URL_RULES", f"{tmp_path}/rules")
+    assert verdicts() == ["allow", "allow", "block", "block", "allow"]
