@@ -447,3 +447,24 @@ def flattened_events(t: Tables):
         .when(F.col("event_id") % 5 == 2, F.date_format("ts", "'on' yyyy-MM-dd")).when(F.col("event_id") % 5 == 3, "").otherwise("soon")
     )
     return t.events.select("event_id", text.json_strings(made).alias("said"), dates.normalize(raw, F.lit("2026-01-01 00:00:00")).alias("at"))
+
+
+@query("""
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'c' || o_custkey WHEN o_orderkey % 3 = 1 THEN lower(o_orderpriority) ELSE 'Source' END AS source_name,
+       CASE WHEN o_orderkey % 3 = 2 THEN 'community report' ELSE trim(regexp_replace(regexp_replace(lower(o_orderpriority), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g')) END AS source_type,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'about c' || o_custkey WHEN o_orderkey % 4 = 1 THEN 'in c' || o_custkey ELSE 'Community report' END AS source_title,
+       CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS source_date,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'm' || o_orderstatus ELSE 'u' || o_custkey END AS version_matched, o_orderstatus || ' area' AS workflow_area
+FROM orders""")
+def public_reports(t: Tables):
+    """What is shown of reports, orders standing for them: names, titles and versions with their fallbacks, plain dates, words for the public."""
+    n, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd'T'10:00:00'Z'")
+    rows = t.orders.select(
+        n.alias("id"), F.when(n % 3 == 0, F.concat(F.lit("c"), "o_custkey")).otherwise(" ").alias("source_name"), F.when(n % 3 != 2, F.lower("o_orderpriority")).alias("source_type"),
+        F.lit("https://a/1").alias("source_url"), F.when(n % 4 == 0, F.concat(F.lit("about c"), "o_custkey")).alias("report_title"), F.when(n % 4 == 1, F.concat(F.lit("in c"), "o_custkey")).alias("parent_title"),
+        F.when(n % 5 == 0, "soon").otherwise(day).alias("source_date"), F.when(n % 2 == 0, F.concat(F.lit("m"), "o_orderstatus")).alias("matched_version"),
+        F.concat(F.lit("u"), "o_custkey").alias("update_version"), F.lit("obs-studio").alias("product_id"), F.lit("crash").alias("issue_theme"),
+        F.concat(F.col("o_orderstatus"), F.lit("_-area")).alias("workflow_area"),
+    )
+    shown = publication.public_rows(rows)
+    return shown.select("id", "source_name", "source_type", "source_title", "source_date", "version_matched", "workflow_area")
