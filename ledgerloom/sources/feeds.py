@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, versions
 
-_ITEM = "title string, link string, description string, encoded string, `content:encoded` string, pubDate string, guid string"
-_ENTRY = "title string, link array<struct<_href:string>>, summary string, content string, published string, updated string, id string"
+ITEM = "title string, link string, description string, encoded string, `content:encoded` string, pubDate string, guid string"
+ENTRY = "title string, link array<struct<_href:string>>, summary string, content string, published string, updated string, id string"
+RELEASES = (
+    "id bigint, tag_name string, name string, body string, draft boolean, prerelease boolean, published_at string, created_at string, html_url string, "
+    "assets array<struct<name:string,size:bigint,browser_download_url:string>>"
+)
 
 
 def published(c: Column) -> Column:
@@ -29,8 +33,12 @@ def _limited(rows: DataFrame, order: list[Column], limit: int | None) -> DataFra
 
 
 def rss(spark: SparkSession, path: str, official_url: str = "") -> DataFrame:
-    """Items of RSS files: id is guid, link or title; the version is the title."""
-    rows = spark.read.schema(_ITEM).option("rowTag", "item").option("mode", "PERMISSIVE").format("xml").load(path)
+    """Items of RSS files."""
+    return rss_releases(spark.read.schema(ITEM).option("rowTag", "item").option("mode", "PERMISSIVE").format("xml").load(path), official_url)
+
+
+def rss_releases(rows: DataFrame, official_url: str = "") -> DataFrame:
+    """Releases of items (a batch or a stream): id is guid, link or title; the version is the title."""
     title, link = text.first_known(F.col("title"), F.lit("Untitled update")), text.first_known(F.col("link"), F.lit(official_url))
     body = text.strip_tags(text.first_known(F.col("`content:encoded`"), F.col("encoded"), F.col("description")))
     return rows.select(
@@ -41,7 +49,11 @@ def rss(spark: SparkSession, path: str, official_url: str = "") -> DataFrame:
 
 def atom(spark: SparkSession, path: str, official_url: str = "") -> DataFrame:
     """Entries of Atom files."""
-    rows = spark.read.schema(_ENTRY).option("rowTag", "entry").option("mode", "PERMISSIVE").format("xml").load(path)
+    return atom_releases(spark.read.schema(ENTRY).option("rowTag", "entry").option("mode", "PERMISSIVE").format("xml").load(path), official_url)
+
+
+def atom_releases(rows: DataFrame, official_url: str = "") -> DataFrame:
+    """Releases of entries (a batch or a stream)."""
     title = text.first_known(F.col("title"), F.lit("Untitled update"))
     link = text.first_known(F.get("link", F.lit(0))["_href"], F.lit(official_url))
     return rows.select(
@@ -58,9 +70,13 @@ def first_matching(items: Column, name: str, needles: tuple[str, ...]) -> Column
 
 
 def releases(spark: SparkSession, path: str, needles: tuple[str, ...] = (), prereleases: bool = False, checksums: str = "## Checksums") -> DataFrame:
-    """Release lists as JSON arrays: no drafts, prereleases only if asked for; assets by preference; checksums cut off the body."""
-    schema = "id bigint, tag_name string, name string, body string, draft boolean, prerelease boolean, published_at string, created_at string, html_url string, assets array<struct<name:string,size:bigint,browser_download_url:string>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).where(~F.coalesce("draft", F.lit(False)))
+    """Release lists as JSON arrays."""
+    return listed_releases(spark.read.schema(RELEASES).option("multiLine", True).json(path), needles, prereleases, checksums)
+
+
+def listed_releases(rows: DataFrame, needles: tuple[str, ...] = (), prereleases: bool = False, checksums: str = "## Checksums") -> DataFrame:
+    """Releases of list items (a batch or a stream): no drafts, prereleases only if asked for; assets by preference; checksums cut off the body."""
+    rows = rows.where(~F.coalesce("draft", F.lit(False)))
     if not prereleases:
         rows = rows.where(~F.coalesce("prerelease", F.lit(False)))
     version = F.regexp_replace(text.first_known(F.col("tag_name"), F.col("name")), "^v+", "")
