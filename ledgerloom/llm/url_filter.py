@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import col, source_columns, whole_row
+from ledgerloom.llm.common import col, cut, source_columns, whole_row
 
 RULES = "host string, path string, verdict string, rank int"
 
@@ -39,34 +39,44 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", broadcas
     empty host and path and fit no rule; URLs of any length are judged whole. Repeated rows are judged one by one;
     rules that repeat change nothing; empty tables are fine; input columns named
     like the added ones are replaced. Up to ``broadcast_rules`` rules are
-    broadcast; more are dealt by hash, the URLs' side salted.
+    broadcast; more are dealt by hash, the URLs' side salted and without the rows' own columns.
     """
     rules = rules.where("host IS NOT NULL AND path IS NOT NULL AND host <> ''").select("host", "path", "verdict", "rank")
     expression = F.concat("host", "path")
-    shape = rules.agg(
-        F.count("*"), F.collect_set(F.size(F.split("host", r"\."))), F.collect_set(F.length("path")), F.coalesce(F.max("rank"), F.lit(0))
-    ).first()
-    count, labels, lengths, last = shape  # sets of small numbers, bounded by the longest host and path
+    shape = rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("length"), "rank")
+    # small numbers that occur together, bounded by the longest host and path
+    shapes = {r["labels"]: sorted(r["lengths"]) for r in shape.groupBy("labels").agg(F.collect_set("length").alias("lengths")).collect()}
+    count, last = shape.agg(F.count("*"), F.coalesce(F.max("rank"), F.lit(0))).first()
     digests = rules.select(F.sha2(expression, 256).alias("digest"), F.length(expression).alias("length"), (F.col("verdict") == "block").alias("blocks"), "verdict", expression.alias("rule"), "rank")
     digests = digests.withColumn("short", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")).distinct()
 
     url = col(url_col).cast("string")
     rows = urls.select(F.monotonically_increasing_id().alias("row"), whole_row(urls).alias("src"), url_host(url).alias("host"), url_path(url).alias("path"))
     parts = F.split("host", r"\.")
-    suffixes = F.array(*[F.when(F.size(parts) >= k, F.array_join(F.slice(parts, -k, k), ".")) for k in sorted(labels)]).cast("array<string>")
-    prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths)]).cast("array<string>")
-    pairs = F.flatten(F.transform(F.array_compact(suffixes), lambda s: F.transform(F.array_compact(prefixes), lambda p: F.concat(s, p))))
-    opened = rows.select("row", "src", "host", "path", F.explode_outer(pairs).alias("expression"))
-    opened = opened.withColumn("hash", F.sha2("expression", 256)).withColumn("key", F.conv(F.substring("hash", 1, 8), 16, 10).cast("long"))
+
+    def expressions(k: int) -> Column:
+        """The suffix of ``k`` labels with each path prefix that a rule of so many labels has."""
+        fitting = F.filter(F.array(*map(F.lit, shapes[k])), lambda n: n <= F.length("path"))
+        suffix = F.array_join(F.slice(parts, -k, k), ".")
+        return F.when(F.size(parts) >= k, F.transform(fitting, lambda n: F.concat(suffix, F.substring(F.col("path"), F.lit(1), n))))
+
+    pairs = F.flatten(F.array_compact(F.array(*map(expressions, sorted(shapes))))) if shapes else F.array().cast("array<string>")
+    confirmed = F.col("hash") == F.col("digest")
+    best = lambda r: F.max(F.when(confirmed & (F.col("rank") == r), F.struct("length", "blocks", "verdict", "rule"))).alias(f"hit{r}")
+    hits = [best(r) for r in range(last + 1)]
+    hashed = lambda opened: opened.withColumn("hash", F.sha2("expression", 256)).withColumn("key", F.conv(F.substring("hash", 1, 8), 16, 10).cast("long"))
     if count <= broadcast_rules:
+        # rules come to the rows: what a row opens into meets again in its own task, before anything is shuffled
+        opened = hashed(rows.select("row", "src", "host", "path", F.explode_outer(pairs).alias("expression")))
         met = opened.join(F.broadcast(digests), F.col("key") == F.col("short"), "left")
+        judged = met.groupBy("row").agg(F.first("src").alias("src"), F.first("host").alias("host"), F.first("path").alias("path"), *hits)
     else:
+        # rows are written with their numbers, which alone go to the rules and come back
+        rows = cut(rows, "urls")
+        opened = hashed(rows.select("row", F.explode(pairs).alias("expression"))).withColumn("grain", (F.col("row") % salts).cast("int"))
         spread = digests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        opened = opened.withColumn("grain", (F.col("row") % salts).cast("int"))
-        met = opened.join(spread, (F.col("key") == F.col("short")) & (F.col("grain") == F.col("salt")), "left")
-    confirmed = F.col("hash") == F.col("digest")
-    best = lambda r: F.max(F.when(confirmed & (F.col("rank") == r), F.struct("length", "blocks", "verdict", "rule")))
-    judged = met.groupBy("row").agg(F.first("src").alias("src"), F.first("host").alias("host"), F.first("path").alias("path"), *[best(r).alias(f"hit{r}") for r in range(last + 1)])
+        met = opened.select("row", "hash", "key", "grain").join(spread, (F.col("key") == F.col("short")) & (F.col("grain") == F.col("salt")))
+        judged = rows.join(met.where(confirmed).groupBy("row").agg(*hits), "row", "left")
     added = {"host": F.col("host"), "path": F.col("path"), "hits": F.array(*[F.col(f"hit{r}") for r in range(last + 1)])}
     names = [c for c in urls.columns if c.lower() not in added]
     return judged.select(*[c for c, name in zip(source_columns(urls), urls.columns) if name in names], *[v.alias(k) for k, v in added.items()])
