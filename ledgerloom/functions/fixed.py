@@ -257,3 +257,24 @@ CAPTURE = {
     ),
     "broke": r"\b(?:regression|after\s+updat|since\s+updat|freez|crash|broken|bug)\b",
 }
+
+# Links, titles and dates of changelog pages.
+CHANGELOG = {
+    "entry": ("/changelog/", "/release-notes/", "/releases/"),
+    "no_entry": r"(?i)/(tag|tags|category|categories|author|page|feed|rss|atom)/",
+    "untitled": "Official changelog update",
+    "suffix": r"(?i)\s+[|–-]\s+Netlify\s*$",
+    "date": r"([A-Z][a-z]{2,8}\s+\d{1,2},\s+\d{4}|\d{4}-\d{2}-\d{2})",
+}
+CHANGELOG_SITES = {"netlify_changelog": (("www.netlify.com", "netlify.com"), r"(?i)/changelog/\d{4}/\d{1,2}/\d{1,2}/[^/?#]+/?$")}
+
+# The public sentences of a current Windows version.
+WINDOWS_RELEASE = {
+    "current": "{} is a current General Availability Channel servicing version. Latest OS build {}.",
+    "revised": " Latest revision date {}.",
+    "source": (
+        " This is the official Microsoft Windows release-health entry (learn.microsoft.com/windows/release-health). Known-issue and safeguard-hold"
+        " details are published on the per-version Windows release-health status page."
+    ),
+    "summary": "Windows 11 {} latest OS build is {}",
+}

@@ -133,29 +133,49 @@ def promotable(rows: DataFrame, stored: DataFrame, required: tuple[str, ...]) ->
     return out.withColumn("promotable", F.coalesce(ok, F.lit(False))).withColumn("duplicate", flag(F.col("stored"))).drop("stored")
 
 
-def release_gates(included: DataFrame, records: DataFrame) -> DataFrame:
-    """The gates before a record's count is written, for each product version of the included rows: failed ones and whether it may be written.
-
-    Rows are reduced to one row a version before records are met; a version
-    without a record fails.
+def release_gates(rows: DataFrame, records: DataFrame, candidates: bool = False) -> DataFrame:
+    """The gates before a record's count is written, for each product version of the rows: failed ones and whether it may be written.
+
+    ``n`` counts included rows (column ``included``; without it all are), and
+    gates look at these alone. A version without a record fails, one without a
+    number by a reason of its own. ``candidates`` asks of rows what candidates
+    owe: an exact match, and not to be left out of the dry run. ``warnings``
+    holds gates that block nothing: a count kept by hand that no row backs;
+    ``n_access_limited`` counts rows whose access was limited. That the count is
+    the number of its rows holds by construction. Rows are reduced to one row a
+    version before records are met.
     """
-    wrong = lambda c: F.count_if(F.coalesce(c, F.lit(True)))
-    counts = included.groupBy(*KEY).agg(
-        F.count("*").alias("n"), wrong(normal(F.col("row_version")) != normal(F.col("update_version"))).alias("other_version"), wrong(normal(F.col("row_version")) == "").alias("no_version"),
-        wrong(normal(F.col("source_url")) == "").alias("no_url"), F.count_if(~F.col("patch_version_matched").eqNullSafe(F.lit(True))).alias("unmatched"),
-        F.count_if(F.col("counted").eqNullSafe(F.lit(False))).alias("uncounted"), F.count_if(F.col("source_date_pass").eqNullSafe(F.lit(False))).alias("early"),
+    at = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    inside = F.coalesce(at("included").cast("boolean"), F.lit("included" not in rows.columns))
+    count = lambda c: F.count_if(inside & F.coalesce(c, F.lit(True)))
+    yes, no = (lambda c: at(c).eqNullSafe(F.lit(True))), (lambda c: at(c).eqNullSafe(F.lit(False)))
+    asked, left_out = ("exact_version_match", "include_in_dry_run") if candidates else ("patch_version_matched", "counted")
+    access = F.lower(normal(at("access_status")))
+    counts = rows.groupBy(*KEY).agg(
+        F.count_if(inside).alias("n"), count(normal(F.col("row_version")) != normal(F.col("update_version"))).alias("other_version"),
+        count(normal(F.col("row_version")) == "").alias("no_version"), count(normal(F.col("source_url")) == "").alias("no_url"),
+        count(~yes(asked)).alias("unmatched"), count(no(left_out)).alias("left_out"), count(no("source_date_pass")).alias("early"),
+        count(F.contains(access, F.lit("blocked")) | F.contains(access, F.lit("limited"))).alias("n_access_limited"),
     )
-    shown = records.select(*KEY, F.lit(True).alias("has_record"), "evidence_state")
-    rows = counts.join(shown, list(KEY), "left")
+    legacy = F.col("legacy_manual_report_count") if "legacy_manual_report_count" in records.columns else F.lit(None)
+    shown = records.select(*KEY, F.lit(True).alias("has_record"), legacy.cast("long").alias("legacy"))
+    made = counts.join(shown, list(KEY), "left")
     missing = F.col("has_record").isNull()
     gates = [
         ("gate_03_product_id_matches_record", missing), ("gate_04_version_matches_record", missing), ("gate_05_no_beta_stable_cross_match", F.col("other_version") > 0),
-        ("gate_07_official_only_zero_rows_stays_zero", (F.col("evidence_state") == "official_only") & (F.col("n") == 0)), ("gate_08_no_ambiguous_versions", F.col("no_version") > 0),
-        ("gate_09_record_must_exist_for_write", missing), ("gate_11_source_url_required", F.col("no_url") > 0), ("gate_12_patch_version_matched_required", F.col("unmatched") > 0),
-        ("gate_13_counted_required", F.col("uncounted") > 0), ("gate_16_source_date_gate_required", F.col("early") > 0),
-    ]
+        ("gate_08_no_ambiguous_versions", F.col("no_version") > 0), ("gate_09_record_must_exist_for_write", missing), ("gate_11_source_url_required", F.col("no_url") > 0),
+        (f"gate_12_{asked}_required", F.col("unmatched") > 0), (f"gate_13_{left_out}_required", F.col("left_out") > 0),
+    ] + ([] if candidates else [("gate_16_source_date_gate_required", F.col("early") > 0)])
     failed = F.concat_ws("; ", *[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in gates])
-    return rows.select(*KEY, "n", failed.alias("write_blocked_reason"), (failed == "").alias("would_write"))
+    unnamed = normal(F.col("update_version")) == ""
+    failed = F.when(unnamed, "all_rows_excluded_no_version").otherwise(failed)
+    n = F.when(unnamed, 0).otherwise(F.col("n"))
+    unbacked = (n == 0) & (F.col("legacy") == 0)
+    return made.select(
+        *KEY, n.alias("n"), failed.alias("write_blocked_reason"), (failed == "").alias("would_write"),
+        F.when(F.coalesce(unbacked, F.lit(False)), "gate_06_legacy_count_not_verified").otherwise("").alias("warnings"),
+        F.when(unnamed, 0).otherwise(F.col("n_access_limited")).alias("n_access_limited"),
+    )
 
 
 # Words that public texts must not hold.

@@ -1,4 +1,4 @@
-"""Queries through the session's table functions: pages by their links, orders as status pages of their line items."""
+"""Queries of page sources: table functions over pages and over status pages made of orders."""
 
 from __future__ import annotations
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import buckets, dates, ladders, text
 from ledgerloom.operators import publication
 from ledgerloom.registry import Tables, query
+from ledgerloom.sources import changelog
 
 #: Report texts by line, products by part: stand-ins that meet every kind of rung.
 PHRASES = (
@@ -229,7 +230,40 @@ def release_gates(t: Tables):
         (~((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1))).alias("source_date_pass"),
     )
     records = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").cast("string").alias("product_id"), F.lit("1").alias("update_version"), F.lit("pilot_sample").alias("evidence_state"))
-    return publication.release_gates(rows, records).drop("update_version")
+    return publication.release_gates(rows, records).drop("update_version", "warnings", "n_access_limited")
+
+
+@query("""
+WITH r AS (
+  SELECT l_orderkey, CASE WHEN l_orderkey % 7 = 0 THEN '' ELSE '1' END AS version, l_linenumber = 6 AS other, l_quantity > 25 AS ok, l_discount = 0.1 AS unmatched,
+         l_tax = 0.08 AS left_out, l_linenumber = 5 AS no_url, l_returnflag <> 'N' AS limited
+  FROM lineitem),
+g AS (
+  SELECT l_orderkey, version, count(*) FILTER (ok) AS n, bool_or(ok AND other) AS other, bool_or(ok AND unmatched) AS unmatched, bool_or(ok AND left_out) AS left_out,
+         bool_or(ok AND no_url) AS no_url, count(*) FILTER (ok AND limited) AS limited
+  FROM r GROUP BY ALL),
+f AS (
+  SELECT l_orderkey || '' AS product_id, version AS update_version, CASE WHEN version = '' THEN 0 ELSE n END AS n,
+         CASE WHEN version = '' THEN 'all_rows_excluded_no_version' ELSE concat_ws('; ', CASE WHEN o_orderkey IS NULL THEN 'gate_03_product_id_matches_record' END,
+         CASE WHEN o_orderkey IS NULL THEN 'gate_04_version_matches_record' END, CASE WHEN other THEN 'gate_05_no_beta_stable_cross_match' END,
+         CASE WHEN o_orderkey IS NULL THEN 'gate_09_record_must_exist_for_write' END, CASE WHEN no_url THEN 'gate_11_source_url_required' END,
+         CASE WHEN unmatched THEN 'gate_12_exact_version_match_required' END, CASE WHEN left_out THEN 'gate_13_include_in_dry_run_required' END) END AS write_blocked_reason,
+         CASE WHEN version = '' THEN 0 ELSE limited END AS n_access_limited,
+         CASE WHEN version <> '' AND n = 0 AND o_orderkey % 3 = 0 THEN 'gate_06_legacy_count_not_verified' ELSE '' END AS warnings
+  FROM g LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey AND version = '1')
+SELECT *, write_blocked_reason = '' AS would_write FROM f""")
+def candidate_gates(t: Tables):
+    """The gates of candidates: orders as products, line items as candidate rows, of which the small ones are left out before."""
+    version = F.when(F.col("l_orderkey") % 7 == 0, "").otherwise("1")
+    rows = t.lineitem.select(
+        F.col("l_orderkey").cast("string").alias("product_id"), version.alias("update_version"), F.when(F.col("l_linenumber") == 6, "2").otherwise(version).alias("row_version"),
+        F.when(F.col("l_linenumber") != 5, "https://a/b").alias("source_url"), F.when(F.col("l_discount") != 0.1, True).alias("exact_version_match"),
+        F.when(F.col("l_tax") == 0.08, False).alias("include_in_dry_run"), (F.col("l_quantity") > 25).alias("included"),
+        F.when(F.col("l_returnflag") == "R", "Blocked by a wall").when(F.col("l_returnflag") == "A", "limited").otherwise("open").alias("access_status"),
+    )
+    legacy = F.when(F.col("o_orderkey") % 3 == 0, 0).when(F.col("o_orderkey") % 3 == 1, 5)
+    records = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").cast("string").alias("product_id"), F.lit("1").alias("update_version"), legacy.alias("legacy_manual_report_count"))
+    return publication.release_gates(rows, records, candidates=True)
 
 
 @query("""
@@ -383,6 +417,24 @@ STRIPPED = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
  '<[^>]+>', ' ', 'g'), '[ \t]{{2,}}', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"""
 
 
+# entities that the pages hold, in the order in which none makes another
+SAID = STRIPPED
+for entity, sign in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    SAID = f"replace({SAID}, '{entity}', '{sign}')"
+
+
+@query(f"""
+SELECT 'html:p' || page_id || ':' || left(sha256(html), 16) AS record_id, title, title AS version, md5(CASE WHEN length(article) > 80 THEN article ELSE whole END) AS body_md5,
+       CASE WHEN day <> '' THEN day || 'T00:00:00Z' END AS published_at, 'html-changelog-snapshot' AS source_type
+FROM (SELECT *, {SAID.format("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title, {SAID.format("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)")} AS article,
+             {SAID.format("html")} AS whole, regexp_extract({SAID.format("html")}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS day FROM pages)""")
+def changelog_snapshots(t: Tables):
+    """All pages as listings of a changelog that link to no entry: each is its own record."""
+    listings = t.pages.select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("product_id"), "url", "html")
+    made = changelog.entries(listings, t.pages.select("url", "html"), snapshot=True)
+    return made.select("record_id", "title", "version", F.md5("body").alias("body_md5"), "published_at", "source_type")
+
+
 @query(f"""
 SELECT page_id, CASE WHEN length(b) >= 300 AND contains(lower(b), 'the') THEN md5(b) ELSE md5('') END AS body_md5, CASE WHEN length(b) >= 300 AND contains(lower(b), 'the') THEN 'captured-from-primary' ELSE 'official-source-parser-failed' END AS capture_status
 FROM (SELECT page_id, CASE WHEN length(a) > 300 THEN left(a, 9000) WHEN length(m) > 300 THEN left(m, 9000) ELSE '' END AS b

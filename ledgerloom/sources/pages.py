@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
+from ledgerloom.functions.fixed import WINDOWS_RELEASE
 from ledgerloom.operators.temporal import carry_forward
 
 ANCHOR = r"""(?is)<a\b[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
@@ -96,16 +97,17 @@ def cell(name: str) -> Column:
     return F.get("cells", (F.nullif(at, F.lit(0)) - 1).cast("int"))
 
 
-def current_versions(pages: DataFrame, skip: str = "(?i)ltsc|ltsb") -> DataFrame:
+def current_versions(pages: DataFrame, skip: str = "(?i)ltsc|ltsb|long-term") -> DataFrame:
     """Current versions with build, date and KB from a release-information page.
 
     Only the first table with version and latest build (and no KB column)
-    counts; long-term rows are skipped; a KB is taken from the history tables
-    where it is the only one of its build.
+    counts; long-term rows are skipped; a KB is taken from the rows of all tables
+    that state a build and a KB, where it is the only one of its build.
     """
     rows = table_rows(pages)
     has = lambda name: F.exists("header", lambda h: F.contains(h, F.lit(name)))
-    history = rows.where(has("kb article") & has("build")).select("page_id", cell("build").alias("build"), F.regexp_extract(cell("kb article"), r"(KB\d+)", 1).alias("kb")).where("kb <> ''")
+    told = lambda pattern: F.coalesce(F.get(F.filter("cells", lambda c: c.rlike(pattern)), F.lit(0)), F.lit(""))
+    history = rows.select("page_id", told(r"^\d+\.\d+$").alias("build"), F.regexp_extract(told(r"KB\d+"), r"(KB\d+)", 1).alias("kb")).where("build <> '' AND kb <> ''")
     kb = history.groupBy("page_id", "build").agg(F.min("kb").alias("kb"), F.max("kb").alias("most")).where("kb = most").drop("most")
     now = rows.where(has("version") & has("latest build") & ~has("kb article") & ~has("update type"))
     now = now.select("page_id", "table_no", "row_no", cell("version").alias("version"), cell("latest build").alias("build"), cell("latest revision").alias("revised"), F.coalesce(cell("servicing"), F.lit("")).alias("servicing"))
@@ -114,4 +116,20 @@ def current_versions(pages: DataFrame, skip: str = "(?i)ltsc|ltsb") -> DataFrame
     now = now.join(firsts, ["page_id", "table_no"])
     order = Window.partitionBy("page_id", "version").orderBy("row_no")
     now = now.withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    return now.join(kb, ["page_id", "build"], "left").select("page_id", "version", "build", F.to_date("revised").alias("published_at"), F.coalesce("kb", F.lit("")).alias("kb"))
+    return now.join(kb, ["page_id", "build"], "left").select("page_id", "version", "build", F.regexp_extract("revised", r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date").alias("published_at"), F.coalesce("kb", F.lit("")).alias("kb"))
+
+
+def windows_releases(pages: DataFrame, product_id: str, software: str) -> DataFrame:
+    """Records of the current Windows versions: id, version, build, KB, date and the public sentences about them."""
+    rows = current_versions(pages).join(pages.select("page_id", "url"), "page_id")
+    said = lambda pattern, *cs: F.format_string(pattern.replace("%", "%%").replace("{}", "%s"), *cs)
+    kb = F.when(F.col("kb") != "", F.concat(F.lit(" ("), "kb", F.lit(")"))).otherwise("")
+    build, day, named = F.concat("build", kb), F.date_format("published_at", "yyyy-MM-dd"), F.concat(F.lit(software + " "), "version")
+    on_day = F.when(day.isNotNull(), said(WINDOWS_RELEASE["revised"], day)).otherwise("")
+    revised = F.coalesce(F.concat(F.lit(" (revised "), day, F.lit(").")), F.lit("."))
+    return rows.select(
+        F.concat(F.lit(f"microsoft:{product_id}:"), "version", F.lit(":"), text.short_hash(F.col("url"), F.col("version"), F.col("build"))).alias("record_id"),
+        "page_id", "version", named.alias("title"), "build", "kb", "published_at", F.col("url").alias("source_url"),
+        F.concat(said(WINDOWS_RELEASE["current"], named, build), on_day, F.lit(WINDOWS_RELEASE["source"])).alias("body"),
+        F.concat(said(WINDOWS_RELEASE["summary"], F.col("version"), build), revised).alias("official_summary"),
+    )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.sources import feeds
+from ledgerloom.sources import changelog, feeds
 from ledgerloom.sources.landed_source import LandedSource
 
 Adapter = Callable[..., DataFrame]
@@ -16,6 +16,7 @@ ADAPTERS: dict[str, Adapter] = {
     "github_releases": feeds.releases,
     "vendor_downloads": feeds.downloads,
     "issues": feeds.issues,
+    "html_changelog": changelog.read,
     "manual_watch": lambda spark, path="", **_: feeds.empty(spark),
 }
 
