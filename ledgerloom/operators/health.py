@@ -69,6 +69,16 @@ def status_totals(rows: DataFrame, status: str, classes: tuple[str, ...]) -> Dat
     return wanted.join(rows.groupBy(status).agg(F.count("*").alias("n")), status, "left").fillna(0, ["n"])
 
 
+# States of sources in the order in which they are reported.
+SOURCE_STATES = ("Active", "Manual watch", "Needs adapter", "Disabled", "Error", "Unknown")
+
+
+def source_totals(rows: DataFrame, status: str = "status") -> DataFrame:
+    """Number of sources in each known state, zeros included, with its place in the report; other states are not reported."""
+    place = F.array_position(F.array(*map(F.lit, SOURCE_STATES)), F.col(status))
+    return status_totals(rows, status, SOURCE_STATES).withColumn("place", place.cast("int"))
+
+
 def validation_errors(rows: DataFrame, required: tuple[str, ...], counters: tuple[str, ...], statuses: tuple[str, ...], moment: str) -> DataFrame:
     """Rows with the array of rules that they break: required fields, known status, timestamp, counters."""
     rules = [F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(f"missing {c}")) for c in required]

@@ -123,3 +123,46 @@ def holding(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_ke
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("whole") - n + 1, F.lit(1))), lambda i: F.substring(F.col("whole"), i, F.lit(n))))
         met = met.unionByName(rows.select("t_key", F.explode(grams).alias("part")).join(starts, "part").select("t_key", "n_key", "needle"))
     return rows.join(met, "t_key").where(F.contains("whole", F.col("needle"))).select(F.col("t_key").alias(key), F.col("n_key").alias(needle_key)).distinct()
+
+
+def articles(rows: DataFrame, text: list[str], query: str = "", category: str = "all", categories: str = "categories") -> DataFrame:
+    """Articles of a category (``all`` is any) whose fields, joined by spaces, hold the query as one phrase; missing fields are empty."""
+    said = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in text]))
+    wanted = query.lower().strip()
+    kept = rows.where(F.contains(said, F.lit(wanted))) if wanted else rows
+    return kept if category == "all" else kept.where(F.contains(F.lower(F.coalesce(F.col(categories), F.lit(""))), F.lit(category)))
+
+
+def lane(status: str = "update_status", hidden: str = "feed_hidden") -> Column:
+    """``archived`` by status, ``current`` if neither archived nor hidden, else null; what is not said hides nothing."""
+    archived = F.col(status).eqNullSafe(F.lit("archived"))
+    return F.when(archived, "archived").when(~F.col(hidden).eqNullSafe(F.lit(True)), "current")
+
+
+def newest_first(moment: str, pos: str) -> list[Column]:
+    """Order of a list that is sorted by a moment and then reversed: undated first, ties in reversed order of their places."""
+    return [F.desc_nulls_first(moment), F.desc(pos)]
+
+
+def given(*choices: Column) -> Column:
+    """The first that is neither missing nor empty."""
+    return F.coalesce(*[F.when(c != "", c) for c in choices])
+
+
+# Labels that cards show for states of evidence.
+EVIDENCE_LABELS = {
+    "pilot_sample": "Verified reports", "static_sample": "Verified reports", "official_only": "Official source only", "consensus_live": "Live consensus", "insufficient_data": "Insufficient data",
+}
+
+
+def shown_fields() -> dict[str, Column]:
+    """What a card shows of ``update_consensus_label, community_reaction, evidence_state, evidence_state_label``: reaction and its class, state and its label."""
+    reaction = given(F.col("update_consensus_label"), F.col("community_reaction"), F.lit("Insufficient"))
+    state = F.replace(F.lower(given(F.col("evidence_state"), F.lit("insufficient_data"))), F.lit("-"), F.lit("_"))
+    said = F.replace(given(F.col("evidence_state_label"), state), F.lit("_"), F.lit(" "))
+    capital = F.concat(F.upper(F.substring(said, 1, 1)), F.lower(F.substring(said, F.lit(2), F.length(said))))
+    known = F.create_map(*[F.lit(x) for pair in EVIDENCE_LABELS.items() for x in pair])
+    return {
+        "reaction": reaction, "reaction_class": F.replace(F.lower(reaction), F.lit(" "), F.lit("-")), "feed_evidence_state": state,
+        "feed_evidence_label": F.coalesce(F.try_element_at(known, state), capital),
+    }

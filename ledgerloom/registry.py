@@ -35,7 +35,7 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
 
 def load() -> None:
     """Import the modules that register queries."""
-    from ledgerloom.plans import catalog, chains, evidence, plugins, publication, reports, rules, serving, streams, text, timeline  # noqa: F401
+    from ledgerloom.plans import catalog, chains, evidence, plugins, publication, reports, rules, serving, site, streams, text, timeline  # noqa: F401
 
 
 load()
