@@ -71,13 +71,21 @@ def _type(df: DataFrame, columns: tuple[str, ...]) -> str:
 
 
 def window_for_version(mentions: DataFrame, windows: DataFrame, product: str, version: str, channel: str) -> DataFrame:
-    """The window of a version in its channel, else in any channel (the first to start)."""
-    found = mentions.withColumn("mention", F.monotonically_increasing_id()).join(
-        windows.withColumnsRenamed({channel: "window_channel"}), [product, version], "left"
-    )
-    rank = F.when(F.col("window_channel") == F.col(channel), 0).otherwise(1)
-    first = Window.partitionBy("mention").orderBy(rank, "window_start")
-    return found.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "mention")
+    """The window of a version in its channel, else in any channel (the first to start; one without a start comes last).
+
+    Windows are brought down to the first of each channel and of each version
+    before the joins, so a mention meets one row of either.
+    """
+    named = windows.withColumnsRenamed({channel: "window_channel"})
+    payload = [c for c in named.columns if c not in (product, version)]
+    order = lambda start: F.struct(start.isNull(), start, F.col("window_channel"))
+    own = named.groupBy(product, version, "window_channel").agg(F.min_by(F.struct(*payload), order(F.col("window_start"))).alias("_own"))
+    first = own.groupBy(product, version).agg(F.min_by("_own", order(F.col("_own.window_start"))).alias("_first"))
+    own = own.where("window_channel IS NOT NULL").withColumnsRenamed({"window_channel": channel})
+    found = mentions.join(first, [product, version], "left").join(own, [product, version, channel], "left")
+    picked = F.coalesce("_own", "_first")
+    rest = [c for c in mentions.columns if c not in (product, version)]
+    return found.select(product, version, *rest, *[picked[c].alias(c) for c in payload])
 
 
 def carry_forward(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], value: Column, name: str, cleared: Column | None = None) -> DataFrame:

@@ -131,6 +131,16 @@ def test_version_window_prefers_its_channel(spark):
     assert sorted((r["v"], r["channel"], r["window_channel"]) for r in got if r["window_channel"]) == [("1", "rc", "beta"), ("1", "stable", "stable")]
 
 
+def test_window_of_a_version_without_pairs(spark):
+    m = spark.createDataFrame([(i, "p", "1", c) for i, c in enumerate(["a", "z", None] * 20)] + [(60, "p", "2", "a"), (61, "p", None, "a")], "id int, p string, v string, channel string")
+    w = [("p", "1", "a", None), ("p", "1", "a", 7), ("p", "1", "b", 3), ("p", "1", None, 5)] + [("p", "1", "c", 100 + i) for i in range(500)]
+    found = temporal.window_for_version(m, spark.createDataFrame(w, "p string, v string, channel string, window_start int"), "p", "v", "channel")
+    got = sorted((r["id"], r["window_channel"], r["window_start"]) for r in found.collect())
+    assert got == [(i, *(("a", 7) if i % 3 == 0 else ("b", 3))) for i in range(60)] + [(60, None, None), (61, None, None)]
+    # rows are ranked by no window: no mention is multiplied by its version's windows
+    assert "row_number" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sections_and_carry(spark):
     rows = spark.createDataFrame([("p", "A one B two")], "id string, text string")
     heads = F.expr("array(named_struct('heading', 'A', 'start', 1), named_struct('heading', 'B', 'start', 7))")
