@@ -82,13 +82,28 @@ def html_title(c: Column) -> Column:
     return collapse(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+def _whole(x: Column, unit: str) -> Column:
+    return F.format_string(f"%.0f {unit}", F.rint(x))
+
+
+def _tenths(x: Column, unit: str) -> Column:
+    """One decimal of a value from 1 to 100, rounded by its exact binary value, ties to even (Java's formats round its shortest digits, ties up)."""
+    below = F.floor(x)
+    # a multiple of 2^-52 below 1, so the integers here are exact
+    scaled = ((x - below) * float(1 << 52)).cast("bigint") * 10
+    n = below * 10 + F.shiftright(scaled, 52)
+    rest, half = scaled.bitwiseAND(F.lit((1 << 52) - 1)), F.lit(1 << 51)
+    n = n + F.when((rest > half) | ((rest == half) & (n % 2 == 1)), 1).otherwise(0)
+    return F.format_string(f"%d.%d {unit}", ((n - n % 10) / 10).cast("bigint"), n % 10)
+
+
 def asset_size(size: Column) -> Column:
-    """Bytes as B, KB, MB or GB; one decimal from MB on below 100; blank for none."""
+    """Bytes as B, KB, MB or GB; one decimal from MB on below 100; blank for none. Halves go to the even digit."""
     size = F.coalesce(size.cast("double"), F.lit(0.0))
-    shown = F.when(size <= 0, F.lit("")).when(size < 1024, F.format_string("%.0f B", size)).when(size < 1024**2, F.format_string("%.0f KB", size / 1024))
+    shown = F.when(size <= 0, F.lit("")).when(size < 1024, _whole(size, "B")).when(size < 1024**2, _whole(size / 1024, "KB"))
     for power, unit in ((2, "MB"), (3, "GB")):
         part = size / float(1024**power)
-        text = F.when(part >= 100, F.format_string(f"%.0f {unit}", part)).otherwise(F.format_string(f"%.1f {unit}", part))
+        text = F.when(part >= 100, _whole(part, unit)).otherwise(_tenths(part, unit))
         shown = shown.otherwise(text) if unit == "GB" else shown.when(size < 1024**3, text)
     return shown
 

@@ -28,6 +28,23 @@ def test_excerpt_and_html(spark):
     assert values(spark, [("<title> a\n b</title>",), (None,)], "x string", text.html_title(F.col("x"))) == ["a b", ""]
 
 
+def test_asset_size_rounds_as_printf(spark):
+    import math
+    import random
+
+    draw = random.Random(5)
+    sizes = [2.5, 2560.0, 1310720.0, 3932160.0, 1310720.0 * 3, 1.15 * 2**20, 99.95 * 2**20, 99.9499999 * 2**20, 1.25 * 2**30, 2.35 * 2**30, 2.0**20 - 0.25, 123456.5, 5e12]
+    sizes += [draw.randrange(1, 800) * 131072.0 for _ in range(200)] + [math.exp(draw.uniform(0, 30)) for _ in range(300)]
+
+    def shown(x):
+        k = 0
+        while x >= 1024 and k < 3:
+            x, k = x / 1024, k + 1
+        return f"{x:.{1 if k > 1 and x < 100 else 0}f} {('B', 'KB', 'MB', 'GB')[k]}"
+
+    assert values(spark, [(x,) for x in sizes], "x double", text.asset_size(F.col("x"))) == [shown(x) for x in sizes]
+
+
 def test_asset_size(spark):
     rows = [(0,), (None,), (512,), (2048,), (5 * 1024**2,), (300 * 1024**2,), (3 * 1024**3,)]
     assert values(spark, rows, "x bigint", text.asset_size(F.col("x"))) == ["", "", "512 B", "2 KB", "5.0 MB", "300 MB", "3.0 GB"]
