@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import json
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,18 +55,26 @@ def excerpt(c: Column, width: int = 280, mark: str = "...") -> Column:
     return F.when(F.length(text) <= width, text).otherwise(F.concat(F.rtrim(head), F.lit(mark)))
 
 
-def unescape(c: Column) -> Column:
-    """HTML entities as characters; Spark has no such function."""
+_ENDED = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+)|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _ended(found: re.Match) -> str:
+    return html.unescape(found[0]) if found[0][1] == "#" else html5.get(found[0][1:], found[0])
+
+
+def unescape(c: Column, loose: bool = True) -> Column:
+    """HTML entities as characters; Spark has no such function. Not ``loose``: only those that end with their semicolon."""
+    read = html.unescape if loose else lambda t: _ENDED.sub(_ended, t)
 
     @F.pandas_udf("string")
     def characters(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
+        return texts.map(lambda t: read(t) if isinstance(t, str) and "&" in t else t)
 
     return characters(c)
 
 
-def strip_tags(c: Column, entities: bool = True) -> Column:
-    """Text of an HTML fragment: no scripts, styles or tags; breaks kept as line feeds."""
+def strip_tags(c: Column, entities: bool = True, loose: bool = True) -> Column:
+    """Text of an HTML fragment: no scripts, styles or tags; breaks kept as line feeds; entities as :func:`unescape` reads them."""
     for pattern, to in (
         (r"(?is)<script\b[^>]*>.*?</script>", " "),
         (r"(?is)<style\b[^>]*>.*?</style>", " "),
@@ -73,7 +83,7 @@ def strip_tags(c: Column, entities: bool = True) -> Column:
         (r"<[^>]+>", " "),
     ):
         c = F.regexp_replace(c, pattern, to)
-    c = unescape(c) if entities else c
+    c = unescape(c, loose) if entities else c
     return strip(F.regexp_replace(F.regexp_replace(c, "[ \t]{2,}", " "), "[ \t]+\n", "\n"))
 
 

@@ -36,6 +36,14 @@ def test_entries_of_a_changelog(spark, tmp_path):
     assert [r["label"] for r in found.orderBy("nth").collect()] == ["a", "c"]
 
 
+def test_entities_without_semicolon(spark):
+    page = "<h1>a &amp; b &amp c &ampx; &#38; &#38 &copy;</h1>"
+    listing = spark.createDataFrame([(1, "p", "https://s.com/", page)], changelog.LISTING)
+    title = lambda **o: changelog.entries(listing, listing.select("url", "html"), snapshot=True, **o).first()["title"]
+    assert title() == "a & b & c &x; & & ©"
+    assert title(loose=False) == "a & b &amp c &ampx; & &#38 ©"
+
+
 def test_windows_records(spark):
     html = """<table><tr><th>Version</th><th>Servicing option</th><th>Latest revision date</th><th>Latest build</th></tr><tr><td>24H2</td><td>GA</td><td>2026-06-01</td><td>26100.8737</td></tr>
     <tr><td>23H2</td><td>Long-Term</td><td>2026-06-01</td><td>22631.1</td></tr><tr><td>25H2</td><td>GA</td><td>soon</td><td>26200.8737</td></tr></table>
