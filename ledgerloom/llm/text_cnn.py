@@ -128,34 +128,29 @@ def gathered(texts: pa.Array) -> Words:
     return Words(buckets[first], np.concatenate(places), np.concatenate([[0], np.cumsum(sizes)]))
 
 
-def vocabulary(words: Words, y: np.ndarray, least_texts: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket hashes that at least ``least_texts`` texts hold, the ``most`` most frequent, and their log-odds of class 1."""
+def bucket_counts(words: Words, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bucket hashes of some texts, how many texts hold each, and how many of class 1."""
     keys, codes = np.unique(words.buckets, return_inverse=True)
     codes = codes.reshape(words.buckets.shape).astype(np.int32)
-    counts, ones = np.zeros(len(keys)), np.zeros(len(keys))
+    counts, ones = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
     for a, b, label in zip(words.at[:-1], words.at[1:], y):
         held = np.unique(codes[np.unique(words.places[a:b])])
         counts[held] += 1
-        ones[held] += label
-    counts[keys == 0] = 0  # of words too short for a bucket
-    kept = np.flatnonzero(counts >= max(1, least_texts))
-    kept = np.sort(kept[np.argsort(-counts[kept], kind="stable")[:most]])
-    share = (ones[kept] + y.mean()) / (counts[kept] + 1)
-    odds = np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
-    return keys[kept], odds - np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3))
+        ones[held] += int(label)
+    told = keys != 0  # 0: of words too short for a bucket
+    return keys[told], counts[told], ones[told]
 
 
-def fit(texts: pa.Array, y: np.ndarray, dim: int = 8, filters: int = 8, epochs: int = 8, rate: float = 0.01, batch: int = 64, least_texts: int = 3, most: int = 1 << 15, seed: int = 7) -> TextCnn:
-    """Adam on logistic loss. With one class only, the model is that constant.
+def start(keys: np.ndarray, counts: np.ndarray, ones: np.ndarray, mean: float, rng: np.random.Generator, dim: int = 8, filters: int = 8) -> TextCnn:
+    """The classifier before its fit, for bucket hashes and the texts (of class 1) that hold them; ``mean`` is the share of class 1.
 
     The first component of a bucket's vector begins at its log-odds, so that a
     small sample suffices to tell rare words from telling ones.
     """
-    rng = np.random.default_rng(seed)
-    words = gathered(texts)
-    y = y.astype(np.float64)
-    mean = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
-    keys, odds = vocabulary(words, y, least_texts, most) if len(words.places) else (np.zeros(0, dtype=np.uint64), np.zeros(0))
+    order = np.argsort(keys)
+    keys, counts, ones = keys[order], counts[order], ones[order]
+    share = np.clip((ones + mean) / (counts + 1), 1e-3, 1 - 1e-3)
+    odds = np.log(share / (1 - share)) - np.log(max(mean, 1e-3) / max(1 - mean, 1e-3))
     table = rng.normal(0, 0.05, (len(keys) + 1, dim)).astype(np.float32)
     table[1:, 0] = odds / 4
     table[0] = 0
@@ -163,10 +158,27 @@ def fit(texts: pa.Array, y: np.ndarray, dim: int = 8, filters: int = 8, epochs:
     for conv in convs:
         conv[:, 0, : filters // 2] = np.abs(conv[:, 0, : filters // 2]) + 0.3  # half of them begin as sums of log-odds
     count = filters * len(WIDTHS)
-    model = TextCnn(keys, table, convs, np.zeros(count, dtype=np.float32), rng.normal(0.1, 0.02, (POOLED, count)).astype(np.float32), float(np.log(mean / (1 - mean))))
+    mean = float(np.clip(mean, 1e-3, 1 - 1e-3))
+    return TextCnn(keys, table, convs, np.zeros(count, dtype=np.float32), rng.normal(0.1, 0.02, (POOLED, count)).astype(np.float32), float(np.log(mean / (1 - mean))))
+
+
+def fit(texts: pa.Array, y: np.ndarray, epochs: int = 8, least_texts: int = 3, most: int = 1 << 15, seed: int = 7) -> TextCnn:
+    """A classifier of texts at hand, with the ``most`` frequent of the buckets that ``least_texts`` hold. With one class only, it is that constant."""
+    rng = np.random.default_rng(seed)
+    words = gathered(texts)
+    keys, counts, ones = bucket_counts(words, y) if len(words.places) else (np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 2)
+    kept = np.flatnonzero(counts >= max(1, least_texts))
+    kept = kept[np.argsort(-counts[kept], kind="stable")[:most]]
+    model = start(keys[kept], counts[kept], ones[kept], float(y.mean()) if len(y) else 0.5, rng)
     if not len(y) or y.min() == y.max():
         model.weight[:] = 0
         return model
+    return descend(model, words, y.astype(np.float64), epochs, rng)
+
+
+def descend(model: TextCnn, words: Words, y: np.ndarray, epochs: int, rng: np.random.Generator, rate: float = 0.01, batch: int = 64) -> TextCnn:
+    """Adam on logistic loss from a model on, in place; the order of the texts is drawn anew each epoch."""
+    table, convs, filters = model.table, model.filters, model.filters[0].shape[2]
     rows = model.rows(words.buckets)
     held = {"table": table, **{f"conv{i}": c for i, c in enumerate(convs)}, "shift": model.shift, "weight": model.weight}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in held.items()}

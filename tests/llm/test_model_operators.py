@@ -199,6 +199,30 @@ def test_toxicity_on_held_out_rows(spark, tmp_path):
     assert all(both[i] == both[i + 10_000] for i in truth)
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """What only labels beyond the 5,000 smallest hashes tell is learned, over several tasks whose steps are summed in two ways."""
+    rng = np.random.default_rng(4)
+    ids = spark.range(9_000).select(F.col("id").alias("doc_id"), toxicity.held_out("id").alias("out"), F.xxhash64("id").alias("h")).collect()
+    late = {r["doc_id"] for r in sorted((r for r in ids if not r["out"]), key=lambda r: r["h"])[5_000:]}
+    assert len(late) > 500
+    word = lambda: "".join(rng.choice(["ba", "lo", "mi", "ter", "no", "su"], 3))
+    rows = []
+    for r in ids:
+        toxic = int((r["out"] or r["doc_id"] in late) and r["doc_id"] % 2)
+        rows.append((r["doc_id"], " ".join([word() for _ in range(6)] + ["zorg"] * toxic), "en", toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    judged = toxicity.judge(docs, docs.select("doc_id", "toxic"), shard=1_000).where("held_out").select("toxic", "score").collect()
+    truth = {r[0]: r[3] for r in rows}
+    assert {r["toxic"] for r in judged} == {False, True} and len(judged) > 2_500
+    scores = {r["doc_id"]: r["score"] for r in toxicity.judge(docs.drop("toxic"), docs.select("doc_id", "toxic")).where("held_out").collect()}
+    assert np.mean([(s >= 0.7) == bool(truth[i]) for i, s in scores.items()]) > 0.99
+    # twenty tasks: their steps are summed in tasks first
+    few = docs.select(F.xxhash64("doc_id").alias("h"), "text", F.col("toxic").cast("long").alias("y")).repartition(20, "h")
+    model = text_cnn.fit(pa.array([r[1] for r in rows[:500]]), np.array([r[3] for r in rows[:500]]), epochs=0)
+    moved = toxicity._round(few, model, 1, 1).raw(pa.array(["balomi zorg", "balomi"]))
+    assert moved[0] - moved[1] > np.subtract(*model.raw(pa.array(["balomi zorg", "balomi"])))
+
+
 def test_toxicity_of_odd_documents(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (5, 1, 1), (5, 1, 0), (None, 1, 1), (10, None, None), (6, 1, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.judge(odd_documents, labels).collect()
