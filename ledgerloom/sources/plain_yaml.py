@@ -48,18 +48,22 @@ def lines(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame
         F.when(keyed, F.coalesce(F.trim(F.regexp_extract("line", key, 2)), F.lit(""))).alias("raw"), F.when(listed, F.length(dash)).alias("keys_at"),
     )
     upto = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    # every window has this one order, so a file's lines are dealt and sorted once; what holds since the last line of the root is taken by its place there
     rows = rows.withColumn("root_no", F.count_if(F.col("kind") == "root").over(upto))
-    here = Window.partitionBy("path", "root_no").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    at_root = F.last(F.when(F.col("kind") == "root", F.struct("key", "raw")), ignorenulls=True).over(upto)
+    rows = rows.withColumns({"items": F.count_if(F.col("kind") == "item").over(upto), "top": at_root})
+    before = F.coalesce(F.last(F.when(F.col("kind") == "root", F.col("items")), ignorenulls=True).over(upto), F.lit(0))
+    rows = rows.withColumn("item", F.col("items") - before)
+    first = F.last(F.when((F.col("kind") == "item") & (F.col("item") == 1), F.col("indent")), ignorenulls=True).over(upto)
+    latest = F.last(F.when(F.col("kind") == "item", F.struct("keys_at", "keyed")), ignorenulls=True).over(upto)
+    rows = rows.withColumns({"first": first, "latest": latest})
+    within = lambda c: F.when(F.col("item") > 0, c)
     rows = rows.withColumns(
         {
-            "root": F.first(F.when(F.col("kind") == "root", F.col("key")), ignorenulls=True).over(here),
-            "open": F.first(F.when(F.col("kind") == "root", F.col("raw")), ignorenulls=True).over(here),
-            "item": F.count_if(F.col("kind") == "item").over(here),
-            "dash_at": F.first(F.when(F.col("kind") == "item", F.col("indent")), ignorenulls=True).over(here),
-            "column": F.last("keys_at", ignorenulls=True).over(here),
-            "named": F.last(F.when(F.col("kind") == "item", F.col("keyed")), ignorenulls=True).over(here),
+            "root": F.col("top.key"), "open": F.col("top.raw"), "dash_at": within(F.col("first")),
+            "column": within(F.col("latest.keys_at")), "named": within(F.col("latest.keyed")),
         }
-    )
+    ).drop("items", "top", "first", "latest")
     value = _scalar(F.when(F.col("keyed"), F.col("raw")).otherwise(F.trim(F.regexp_replace("line", r"^ *- +", ""))))
     last_root = F.col("kind") == "root"
     opens = last_root & (F.regexp_replace("raw", r"^#.*$", "") == "")
@@ -71,7 +75,7 @@ def lines(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame
         .when((F.col("kind") == "item") & (F.col("indent") != F.col("dash_at")), "indentation of the item")
         .when((F.col("kind") == "field") & (F.col("item") == 0), "nested map").when((F.col("kind") == "field") & ~F.col("named"), "key under a scalar")
         .when((F.col("kind") == "field") & (F.col("indent") != F.col("column")), "indentation of the key")
-        .when((F.col("root_no") > 0) & (F.min("root_no").over(Window.partitionBy("path")) == 0), "list and map at the root")
+        .when((F.col("root_no") > 0) & (F.first("root_no").over(upto) == 0), "list and map at the root")
     )
     rows = rows.withColumns({"value": value, "refused": refused, "opens": opens})
     # a key without a value opens a list under the root; elsewhere something nested would follow, which the next line shows

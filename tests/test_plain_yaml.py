@@ -57,3 +57,12 @@ def test_front_matter_scalars(spark):
     got = {r["path"]: r["data"] for r in plain_yaml.scalars(texts(spark, rows)).collect()}
     assert got == {"a": {"product_id": "p", "update_version": "26.2", "note": "x -----"}}
     assert json.dumps(got["a"])
+
+
+def test_lines_are_sorted_once(spark):
+    """One order for all windows: a task holds its files' lines in one sort, not in one a window."""
+    texts = spark.createDataFrame([("a", "x:\n  - k: 1\n    j: 2\ny: 3\n- k: 4")], "path string, text string")
+    plan = plain_yaml.lines(texts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Sort [") == 1
+    got = plain_yaml.lines(texts).orderBy("n").select("root", "item", "key", "refused").collect()
+    assert [tuple(r) for r in got] == [("x", 0, "x", None), ("x", 1, "k", None), ("x", 1, "j", None), ("y", 0, "y", None), ("y", 1, "k", "item under a scalar")]
