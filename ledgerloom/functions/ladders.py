@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -129,6 +130,15 @@ BUCKETS = {
 }
 
 
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is worked out once, however often it is named.
+
+    A lambda is also no part of the generated method of a stage: hundreds of
+    tests in one such method are more than the JVM compiles.
+    """
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def climb(lowered: Column, rungs: tuple[Rung, ...], value: int, other: Column) -> Column:
     """The ``value``-th value of the first rung that holds, else ``other``."""
     out = None
@@ -139,29 +149,33 @@ def climb(lowered: Column, rungs: tuple[Rung, ...], value: int, other: Column) -
 
 def classify(text: Column, product: str) -> Column:
     """``struct(theme, area, platform, severity, sentiment)`` of a report's text: the ladder is climbed once, its number looks up the values."""
-    lowered, rungs = F.lower(F.coalesce(text, F.lit(""))), THEMES[product]
+    rungs, words = THEMES[product], PLATFORMS[product]
     numbered = tuple(Rung((i,), r.groups, r.pattern) for i, r in enumerate(rungs))
     names = ("theme", "area", "severity", "sentiment")
     made = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(values, names)]) for values in (*(r.values for r in rungs), OTHER_THEMES[product])])
-    found = F.get(made, climb(lowered, numbered, 0, F.lit(len(rungs))))
-    words = PLATFORMS[product]
-    platform = F.lit(words) if isinstance(words, str) else climb(lowered, tuple(Rung((to,), ((word,),)) for word, to in words), 0, F.lit("unknown"))
-    return F.struct(found["theme"].alias("theme"), found["area"].alias("area"), platform.alias("platform"), found["severity"].alias("severity"), found["sentiment"].alias("sentiment"))
+    platform = lambda x: F.lit(words) if isinstance(words, str) else climb(x, tuple(Rung((to,), ((word,),)) for word, to in words), 0, F.lit("unknown"))
+    values = lambda x, f: F.struct(f["theme"].alias("theme"), f["area"].alias("area"), platform(x).alias("platform"), f["severity"].alias("severity"), f["sentiment"].alias("sentiment"))
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda x: once(F.get(made, climb(x, numbered, 0, F.lit(len(rungs)))), lambda f: values(x, f)))
 
 
 def public_bucket(product: Column, theme: Column, workflow: Column, *titles: Column) -> Column:
     """Public name of a report's issue: its product's ladder, its theme, its workflow, or the general one."""
-    theme, workflow = public_phrase(theme), public_phrase(workflow)
-    said = F.lower(F.concat_ws(" ", theme, workflow, public_phrase(first_known(*titles))))
-    other = (
-        F.when((theme != "") & (F.lower(theme) != "unspecified issue"), F.lower(theme))
-        .when((workflow != "") & ~F.startswith(F.lower(workflow), F.lit("general ")), F.lower(workflow)).otherwise("general workflow reports")
-    )
-    out = None
-    for name, rungs in BUCKETS.items():
-        found = climb(said, rungs, 0, other)
-        out = F.when(product == name, found) if out is None else out.when(product == name, found)
-    return out.otherwise(other)
+
+    def named(r: Column) -> Column:
+        theme, workflow = r["theme"], r["workflow"]
+        other = (
+            F.when((theme != "") & (theme != "unspecified issue"), theme)
+            .when((workflow != "") & ~F.startswith(workflow, F.lit("general ")), workflow).otherwise("general workflow reports")
+        )
+        out = None
+        for name, rungs in BUCKETS.items():
+            found = climb(r["said"], rungs, 0, other)
+            out = F.when(r["product"] == name, found) if out is None else out.when(r["product"] == name, found)
+        return out.otherwise(other)
+
+    lowered = F.struct(*[F.lower(public_phrase(c)).alias(n) for n, c in (("theme", theme), ("workflow", workflow), ("title", first_known(*titles)))], product.alias("product"))
+    joined = lambda r: F.concat_ws(" ", r["theme"], r["workflow"], r["title"])
+    return once(lowered, lambda r: once(F.struct(r["theme"].alias("theme"), r["workflow"].alias("workflow"), joined(r).alias("said"), r["product"].alias("product")), named))
 
 
 def sample_issue(bucket: Column, workflow: Column) -> Column:

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import buckets, dates, text, urls, versions
+from ledgerloom.functions import buckets, dates, ladders, text, urls, versions
 
 
 def values(spark, rows, schema, column):
@@ -107,3 +107,13 @@ def test_ladders(spark):
     texts = [("It will freeze",), ("Announcement: a freeze",), ("Announcement of a crash",), ("fine",), (None,)]
     assert values(spark, texts, "t string", buckets.describes_issue(F.col("t"), terms)) == [True, False, True, False, False]
     assert values(spark, [(None,), ("HIGH",), ("odd",)], "s string", buckets.severity_rank(F.col("s"))) == [1, 3, 0]
+
+
+def test_ladders_are_climbed_once(spark):
+    """No rung of a ladder stands in the generated method of a stage, nor twice in a plan."""
+    rows = spark.createDataFrame([("Magic Mask crash on Mac", "obs-studio", "scene list"), (None, "x", None)], "x string, product string, area string")
+    found = rows.select(ladders.classify(F.col("x"), "blackmagic-davinci").alias("c"), ladders.public_bucket(F.col("product"), F.lit(""), F.col("area"), F.col("x")).alias("b"))
+    got = found.select("c.theme", "c.platform", "c.severity", "b").collect()
+    assert [tuple(r) for r in got] == [("magic mask crash", "macos", "high", "scene list workflow regressions"), ("unspecified issue", "unknown", "medium", "general workflow reports")]
+    plan = found.select("c.*", "b")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("magic mask)") == 1 + 1 and plan.count("xcomposite)") == 1
