@@ -38,17 +38,21 @@ FROM lineitem WHERE l_returnflag <> 'N'""")
 def known_issue_function(t: Tables):
     """Known issues of status pages by the table function: a page an order, a row a line item, no status for what is not returned yet."""
     table_functions.register(t.spark)
-    line, number = F.col("l_linenumber"), lambda c: F.col(c).cast("string")
-    cells = (
-        F.concat(F.lit("Part "), number("l_partkey"), F.lit(" <b>fails</b>"), F.when(line == 2, F.concat(F.lit(" safeguard ID: "), number("l_suppkey"))).otherwise("")),
-        F.when(line % 3 == 0, "N/A").otherwise(F.concat(F.lit("OS Build 26100."), number("l_linenumber"))),
-        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("Resolved KB"), (F.col("l_suppkey") + 5_000_000).cast("string"))).when(F.col("l_returnflag") == "A", "Confirmed").otherwise(""),
-    )
-    row = F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *cells), F.lit("</td></tr>"))
+
+    def row(x):
+        line, number = x["l_linenumber"], lambda c: x[c].cast("string")
+        cells = (
+            F.concat(F.lit("Part "), number("l_partkey"), F.lit(" <b>fails</b>"), F.when(line == 2, F.concat(F.lit(" safeguard ID: "), number("l_suppkey"))).otherwise("")),
+            F.when(line % 3 == 0, "N/A").otherwise(F.concat(F.lit("OS Build 26100."), number("l_linenumber"))),
+            F.when(x["l_returnflag"] == "R", F.concat(F.lit("Resolved KB"), (x["l_suppkey"] + 5_000_000).cast("string"))).when(x["l_returnflag"] == "A", "Confirmed").otherwise(""),
+        )
+        return F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *cells), F.lit("</td></tr>"))
+
     head = F.lit("<table><tr><th>Summary</th><th>Originating update</th><th>Status</th></tr>")
-    # an order has few lines
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))), lambda x: x["row"]), "\n")
-    pages = t.lineitem.groupBy("l_orderkey").agg(F.concat(head, body, F.lit("</table>")).alias("html"))
+    # an order has few lines; they are written after the shuffle, which carries their numbers alone
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("lines")
+    pages = t.lineitem.groupBy("l_orderkey").agg(lines)
+    pages = pages.select("l_orderkey", F.concat(head, F.array_join(F.transform("lines", row), "\n"), F.lit("</table>")).alias("html"))
     return t.spark.sql(
         "SELECT l_orderkey, summary, state, originating_build, resolving_kb, safeguard_id FROM known_issues(TABLE({pages}))", pages=pages
     )

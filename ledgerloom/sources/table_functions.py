@@ -24,9 +24,16 @@ _ANCHOR = re.compile(r"""<a\b[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>""", _FLAG
 _UNSEEN = re.compile(r"<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>", _FLAGS)
 
 
+_SPACE = re.compile(r"\s+", re.A)
+_UNEVEN = re.compile(r"[^\S ]|  ", re.A)
+_TAG = re.compile(r"<[^>]+>")
+
+
 def plain(fragment: str) -> str:
     """Collapsed text of a fragment, entities as they are."""
-    return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", _UNSEEN.sub(" ", fragment)), flags=re.A).strip(" ")
+    if "<" in fragment:
+        fragment = _TAG.sub(" ", _UNSEEN.sub(" ", fragment))
+    return (_SPACE.sub(" ", fragment) if _UNEVEN.search(fragment) else fragment).strip(" ")
 
 
 def tables(html: str) -> Iterator[tuple[int, list[str], list[list[str]]]]:
@@ -67,6 +74,7 @@ class _Pages:
     """What all functions share: the columns that go through, and one call of ``rows`` a page."""
 
     parsed: StructType
+    through: list[str] | None = None
 
     @classmethod
     def carried(cls, columns: list[str]) -> list[str]:
@@ -82,7 +90,9 @@ class _Pages:
 
     def opened(self, page, *options) -> Iterator[tuple]:
         row = page.asDict()
-        keep = tuple(row[c] for c in self.carried(list(row)))
+        if self.through is None:  # one object reads the pages of one table
+            self.through = self.carried(list(row))
+        keep = tuple(row[c] for c in self.through)
         for found in self.rows(row, *options) if row["html"] is not None else ():
             yield keep + found
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from test_release_pages import STATUS, page
@@ -45,3 +47,13 @@ def test_tables_keep_the_callers_columns(session):
     assert session.sql("SELECT * FROM page_tables(TABLE({p}))", p=made.limit(0)).count() == 0
     with pytest.raises(Exception, match="column html"):
         session.sql("SELECT * FROM page_tables(TABLE({p}))", p=made.drop("html"))
+
+
+def test_pages_of_orders_are_written_after_the_shuffle(spark, sf_dir):
+    """The query's shuffle carries numbers, not rows of HTML."""
+    from ledgerloom import registry
+
+    plan = registry.QUERIES["known_issue_function"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    collected = re.search(r"collect_list\((struct\(.*?\)), 0", plan)[1]
+    assert "l_suppkey" in collected and "<td>" not in collected
+    assert table_functions.plain("a\t<b>b</b>  c\u00a0\n") == "a b c\u00a0"
